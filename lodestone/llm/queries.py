@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op01_language_id, op03_token_counts, op05_quality, op08_packing
+from . import op06_embedding_dedup, op07_minhash_dedup, op09_html
 from . import op10_mixing as mixing
 from .common import remainder, table
 
@@ -39,10 +40,22 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_minhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,4 +63,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_quality, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing)}
