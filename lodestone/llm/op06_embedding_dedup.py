@@ -70,7 +70,7 @@ def dedup(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str
     spark = rows.sparkSession
     all_rows = rows.select(F.col(key).cast("long").alias("id"), F.when(F.col(label).isNotNull() & valid(F.col(vector)), F.col(vector).cast("array<double>")).alias("vector"), F.col(label).cast("string").alias("label"))
     good = all_rows.where("vector is not null")
-    classes = written(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
+    classes = written(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("rep is not null"))
     n = classes.count()
     n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_PER_PIVOT)))
     pivots = spark.sparkContext.broadcast(choose_pivots(classes, n_pivots))
@@ -126,4 +126,4 @@ def dedup(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str
     # A row without a valid vector keeps its null on the left side and finds no class.
     out = all_rows.join(per_class, ["label", "vector"], "left")
     own = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("id") == own).alias("kept"))
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

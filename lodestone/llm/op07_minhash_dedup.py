@@ -210,11 +210,11 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
     """Per row: key, n_shingles, component_id, kept; links have den * |intersection| >= num * |union|.
 
     A null text, or one without words, has no shingles and links with nothing. Keys are integers; rows that repeat a
-    key are linked with each other's links. Empty input gives no rows."""
+    key are linked with each other's links, and a row with a null key is no one's representative. Empty input gives no rows."""
     source = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).cast("long").alias("id"))
     described = written(source.mapInArrow(_describe(k), "id long, n long, digest binary, sig binary"))
     classes = written(described.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    reps = classes.where("n > 0").select("rep", "sig")
+    reps = classes.where("n > 0 and rep is not null").select("rep", "sig")
 
     # Branch level by level; small nodes are compared, single sets drop out.
     alike = None
@@ -277,4 +277,4 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
 
     per_class = classes.join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = described.select("id", "n", "digest").join(per_class, "digest")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -42,21 +42,20 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: key, size, source_size, target, taken (words the mix takes of it: 0, size, 2 * size, ...).
+def _hash(key: Column) -> Column:
+    return F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
-    A source with target t and size s takes every document floor(t / s) times, and once more those with the smallest
-    hashes, up to the sum that comes nearest to t - s * floor(t / s). Rows with the same key in a source share a hash
-    and are taken alike. Words are counted once per row; a null text has size 0. The number of sources, not of
-    documents, bounds what reaches the driver. `keep`: further columns to carry (small ones; texts are joined later)."""
-    rows = written(docs.select(F.col(key).alias("k"), F.col(source).alias("s"), size_of(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("h"), *keep))
+
+def thresholds(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> list[tuple]:
+    """(source, its size, target, times, bound, closed) for rows (s, size, h): documents of the source are taken
+    `times` times, and once more where the hash is below the bound (or at it, if closed)."""
+    spark = rows.sparkSession
     sizes = [(r["s"], r["n"]) for r in rows.groupBy("s").agg(F.sum("size").alias("n")).collect()]
     goal = targets(sizes, weights, share, most)
-    spark = docs.sparkSession
     size = dict(sizes)
     times = {s: int(goal[s] // n) if n else 0 for s, n in sizes}
     budget = {s: goal[s] - times[s] * n for s, n in sizes}
-    at = {s: ("", 0, 0) for s, _ in sizes}  # hashes before the prefix, their sum, and the sum of those with the prefix
+    at = {s: ("", 0, 0) for s, _ in sizes}  # a prefix of the hash, the sizes before it, and the sizes with it
     for level in range(LEVELS):
         plan = spark.createDataFrame([(s, float(budget[s]), at[s][0], at[s][1]) for s in at], "p string, budget double, prefix string, below long")
         there = rows.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("p")) & F.col("h").startswith(F.col("prefix")))
@@ -66,9 +65,37 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         first = over.groupBy("p").agg(F.min(F.struct(F.concat("prefix", "d").alias("prefix"), (F.col("upto") - F.col("n")).alias("below"), "n")).alias("b"))
         at = {r["p"]: tuple(r["b"]) for r in first.collect()}
     # The boundary is down to one hash: it is taken if that comes nearer. A source without one has no words.
-    ends = [(s, size[s], float(goal[s]), times[s], at[s][0], at[s][2] - (budget[s] - at[s][1]) < budget[s] - at[s][1]) if s in at else (s, size[s], float(goal[s]), times[s], "", False) for s in size]
-    ends = spark.createDataFrame(ends, "p string, source_size long, target double, times long, bound string, closed boolean")
-    head = F.substring("h", 1, DIGITS * LEVELS)
-    once = (head < F.col("bound")) | (F.col("closed") & (head == F.col("bound")))
-    taken = F.col("size") * (F.col("times") + F.when(once & (F.col("times") < most), 1).otherwise(0))
-    return rows.join(F.broadcast(ends), F.col("s").eqNullSafe(F.col("p"))).select(F.col("k").alias(key), "size", "source_size", "target", taken.alias("taken"), *keep)
+    near = {s: n - (budget[s] - below) < budget[s] - below for s, (_, below, n) in at.items()}
+    return [(s, size[s], float(goal[s]), times[s], at[s][0] if s in at else "", near.get(s, False)) for s in size]
+
+
+def with_times(rows: DataFrame, ends: list[tuple], source: Column, h: Column, most: int = MOST) -> DataFrame:
+    """rows with source_size, target and times (how often the mix takes the row)."""
+    ends = rows.sparkSession.createDataFrame(ends, "_p string, source_size long, target double, _times long, _bound string, _closed boolean")
+    head = F.substring(h, 1, DIGITS * LEVELS)
+    once = (F.col("_times") < most) & ((head < F.col("_bound")) | (F.col("_closed") & (head == F.col("_bound"))))
+    joined = rows.join(F.broadcast(ends), source.eqNullSafe(F.col("_p")))
+    return joined.withColumn("times", F.col("_times") + F.when(once, 1).otherwise(0)).drop("_p", "_times", "_bound", "_closed")
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return written(docs.select(F.col(key).alias("k"), F.col(source).alias("s"), size_of(F.col(text)).alias("size"), _hash(F.col(key)).alias("h")))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Per document: key, size, source_size, target, taken (words the mix takes of it: 0, size, 2 * size, ...).
+
+    A source with target t and size s takes every document floor(t / s) times, and once more those with the smallest
+    hashes, up to the sum that comes nearest to t - s * floor(t / s). Rows with the same key in a source share a hash
+    and are taken alike. Words are counted once per row; a null text has size 0, and null is a source of its own.
+    What reaches the driver is bounded by the number of sources. Empty input gives no rows."""
+    rows = _sized(docs, key, text, source)
+    out = with_times(rows, thresholds(rows, weights, share, most), F.col("s"), F.col("h"), most)
+    return out.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken. The texts are filtered where they lie."""
+    ends = thresholds(_sized(docs, key, text, source), weights, share, most)
+    out = with_times(docs.select("*", F.col(source).alias("_s"), _hash(F.col(key)).alias("_h")), ends, F.col("_s"), F.col("_h"), most)
+    return out.where("times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_language_id, op03_token_counts, op05_quality, op08_packing
+from . import op01_language_id, op02_ann, op04_lm, op03_token_counts, op05_quality, op08_packing
 from . import op06_embedding_dedup, op07_minhash_dedup, op09_html
 from . import op10_mixing as mixing
 from .common import remainder, table
@@ -29,10 +29,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op04_lm.score(docs, remainder(F.col("doc_id"), 10) == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = op05_quality.fit(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
@@ -63,4 +72,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_ann, op3_token_counts, op4_lm, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
