@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that one worker keeps; further ones are encoded anew in each chunk. Bounds memory, not results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
 #: White space to Python's split(), but not to the tokenizers.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
