@@ -1,9 +1,433 @@
 """Queries over the given tables, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from lodestone.functions import OUT_OF_SCOPE, SECRET, TOKEN, clip, content_hash, dot, quote, refuse_reason, tokens
+from lodestone.operators import answers as A
+from lodestone.operators import chunking as C
+from lodestone.operators import retrieval as R
+from lodestone.sources import frontmatter
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The documents' sources are numbered; these rules stand for a catalog.
+NUM = "CAST(substr(source, 4) AS INT)"
+META = {
+    "priority": f"CASE {NUM} % 3 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' ELSE 'exclude' END",
+    "team": f"concat('team', CAST({NUM} % 4 AS VARCHAR(9)))",
+    "acl": f"CASE {NUM} % 3 WHEN 0 THEN 'public-to-company' WHEN 1 THEN 'team-only' ELSE 'need-to-know' END",
+}
+
+
+def with_meta(df: DataFrame) -> DataFrame:
+    return df.selectExpr("*", *[f"{e.replace('VARCHAR(9)', 'STRING')} AS {c}" for c, e in META.items()])
+
+
+DOCS = f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in META.items())} FROM documents)"
+
+
+@query(f"SELECT doc_id, source AS source_id, priority, team, acl FROM {DOCS} WHERE priority IN ('p0', 'p1')")
+def scope_filter(spark, d):
+    return with_meta(read(spark, d, "documents")).where("priority IN ('p0', 'p1') AND priority <> 'exclude'").selectExpr("doc_id", "source AS source_id", "priority", "team", "acl")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE priority = 'p0') AS BIGINT) AS in_scope, CAST(count(*) FILTER (WHERE priority <> 'p0') AS BIGINT) AS skipped FROM {DOCS}")
+def scope_skip_counts(spark, d):
+    p0 = F.col("priority") == "p0"
+    return with_meta(read(spark, d, "documents")).agg(F.count("*").alias("total"), F.count_if(p0).alias("in_scope"), F.count_if(~p0).alias("skipped"))
+
+
+@query("SELECT source AS source_id, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source")
+def docs_by_source(spark, d):
+    return read(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("n")).orderBy("source_id")
+
+
+@query(f"SELECT doc_id, source AS source_id, lang AS language, priority, team, acl, CAST(length(text) AS BIGINT) AS char_count FROM {DOCS} WHERE priority <> 'exclude'")
+def catalog_join_documents(spark, d):
+    docs = read(spark, d, "documents")
+    catalog = with_meta(docs.select("source").distinct()).where("priority <> 'exclude'")
+    return docs.join(catalog, "source").selectExpr("doc_id", "source AS source_id", "lang AS language", "priority", "team", "acl", "CAST(length(text) AS BIGINT) AS char_count")
+
+
+@query("SELECT doc_id, concat('sha256:', sha256(text)) AS content_hash FROM documents")
+def content_hashes(spark, d):
+    return read(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT min(doc_id) AS doc_id, concat('sha256:', sha256(text)) AS content_hash FROM documents GROUP BY text")
+def dedupe_keep_first(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    return C.keep_first(rows, order=("doc_id",)).select("doc_id", "content_hash")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(DISTINCT sha256(text)) AS BIGINT) AS rows_out, CAST(count(*) - count(DISTINCT sha256(text)) AS BIGINT) AS deduped FROM documents")
+def dedupe_report(spark, d):
+    h = content_hash(F.col("text"))
+    return read(spark, d, "documents").agg(F.count("*").alias("rows_in"), F.countDistinct(h).alias("rows_out"), (F.count("*") - F.countDistinct(h)).alias("deduped"))
+
+
+@query("SELECT doc_id, concat('Title of ', CAST(doc_id AS VARCHAR)) AS title, lang AS language, CAST(length(text) + 1 AS BIGINT) AS body_chars FROM documents WHERE text IS NOT NULL")
+def frontmatter_parse(spark, d):
+    raw = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit('\ntitle: "Title of '), F.col("doc_id"), F.lit('"\nlanguage: '), F.col("lang"), F.lit("\n---\n\n"), F.col("text"), F.lit("\n\n"))
+    fields, body = frontmatter(F.col("raw"))
+    rows = read(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", fields.alias("f"), body.alias("body")).where("body IS NOT NULL")
+    return rows.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["language"].alias("language"), F.length("body").cast("long").alias("body_chars"))
+
+
+def _threads(spark, d):
+    turns = read(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(F.lit("## turn "), F.col("turn"), F.lit("\n"), F.col("text")).alias("t"))
+    joined = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("x"))
+    return joined.select("conv_id", F.concat(F.lit("# conversation "), F.col("conv_id"), F.lit("\n"), F.array_join(F.transform("x", lambda s: s["t"]), "\n")).alias("text"))
+
+
+@query("""SELECT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR), ' > turn ', CAST(turn AS VARCHAR)) AS heading, CAST(length(concat('## turn ', CAST(turn AS VARCHAR), chr(10), regexp_replace(text, '\\s+$', ''))) AS BIGINT) AS n_chars FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT DISTINCT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR)), CAST(length(concat('# conversation ', CAST(conv_id AS VARCHAR))) AS BIGINT) FROM conversations WHERE text IS NOT NULL""")
+def section_split(spark, d):
+    parts = _threads(spark, d).select("conv_id", F.explode(C.split_markdown(1 << 30, 0)("text")).alias("p"))
+    return parts.select("conv_id", F.array_join("p.heading_path", " > ").alias("heading"), F.length("p.text").cast("long").alias("n_chars"))
+
+
+@query()
+def fence_safe_packing(spark, d):
+    parts = _threads(spark, d).select("conv_id", F.posexplode(C.split_markdown(600, 80)("text")).alias("i", "p"))
+    return parts.select("conv_id", "i", F.array_join("p.heading_path", " > ").alias("heading"), F.length("p.text").cast("long").alias("n_chars"))
+
+
+WINDOWS = r"""raw AS (SELECT doc_id, source, i, regexp_replace(substr(text, CAST(i * 1320 + 1 AS BIGINT), 1500), '^\s+|\s+$', '', 'g') AS part
+  FROM documents, LATERAL (SELECT unnest(generate_series(0, CASE WHEN length(text) <= 1500 THEN 0 ELSE CAST(ceil((length(text) - 1500) / 1320.0) AS BIGINT) END)) AS i) WHERE text IS NOT NULL),
+k AS (SELECT *, count(*) FILTER (WHERE length(part) >= 40) OVER (PARTITION BY doc_id) AS ok FROM raw),
+chunks AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, concat(part, chr(10)) AS text FROM k WHERE length(part) >= 40 OR (ok = 0 AND i = 0))"""
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """Chunks of the documents table: plain text, so every document is one section and one paragraph."""
+    rows = docs.where("text IS NOT NULL").select("*", F.posexplode(C.long_enough(C.hard_cut(F.col("text")))).alias("chunk_index", "part"))
+    text = F.concat("part", F.lit("\n"))
+    return rows.select(F.format_string("%d::%04d", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "source", "lang", F.col("chunk_index").cast("long").alias("chunk_index"), text.alias("text"), content_hash(text).alias("content_hash"))
+
+
+@query(f"WITH {WINDOWS} SELECT printf('%d::%04d', doc_id, chunk_index) AS chunk_id, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(length(text) AS BIGINT) AS char_count, concat('sha256:', sha256(text)) AS content_hash FROM chunks")
+def hard_cut_chunks(spark, d):
+    return chunks_of(read(spark, d, "documents")).select("chunk_id", "doc_id", "chunk_index", F.length("text").cast("long").alias("char_count"), "content_hash")
+
+
+@query(f"WITH {WINDOWS} SELECT source AS source_id, CAST(count(*) AS BIGINT) AS n FROM chunks GROUP BY source")
+def chunk_counts_by_source(spark, d):
+    return chunks_of(read(spark, d, "documents")).groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WINDOWS} SELECT printf('%d::%04d', doc_id, chunk_index) AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id, chunk_index) AS r FROM chunks) WHERE r = 1")
+def chunk_dedupe(spark, d):
+    return C.keep_first(chunks_of(read(spark, d, "documents"))).select("chunk_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphan_docs(spark, d):
+    return read(spark, d, "documents").join(read(spark, d, "embeddings").selectExpr("vec_id AS doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings)")
+def docs_with_chunks(spark, d):
+    return read(spark, d, "documents").select("doc_id").intersect(read(spark, d, "embeddings").select("vec_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def gold_coverage_missing(spark, d):
+    return read(spark, d, "documents").select("doc_id").subtract(read(spark, d, "labels").select("doc_id"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) FILTER (WHERE doc_id IS NULL OR text IS NULL OR lang IS NULL OR source IS NULL) AS BIGINT) AS incomplete FROM documents")
+def metadata_null_check(spark, d):
+    broken = F.col("doc_id").isNull() | F.col("text").isNull() | F.col("lang").isNull() | F.col("source").isNull()
+    return read(spark, d, "documents").agg(F.count("*").alias("rows_in"), F.count_if(broken).alias("incomplete"))
+
+
+@query("SELECT role, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY role")
+def gold_histograms(spark, d):
+    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS content, CAST(count(*) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return read(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""SELECT conv_id, turn, concat_ws(';', CASE WHEN length(text) < 5 THEN 'short question' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad role' END, CASE WHEN text LIKE '%?%' THEN NULL ELSE 'no question' END) AS errors FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+def validation_errors(spark, d):
+    errors = F.array_compact(F.array(F.when(F.length("text") < 5, "short question"), F.when(~F.col("role").isin("user", "assistant"), "bad role"), F.when(~F.col("text").contains("?"), "no question")))
+    return read(spark, d, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", F.array_join(errors, ";").alias("errors"))
+
+
+TOK = f"[lower(x) for x in regexp_extract_all(coalesce(text, ''), '{TOKEN}')]"
+LEX = f"""tok AS (SELECT doc_id, {TOK} AS t FROM documents), post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL),
+bm25 AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN tf USING (term), st GROUP BY item_id, doc_id)"""
+
+
+@query(f"SELECT doc_id, CAST(len({TOK}) AS BIGINT) AS n_tokens FROM documents")
+def tokenize_counts(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {LEX} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf WHERE tf > 1")
+def term_frequency(spark, d):
+    return R.build_lexical(read(spark, d, "documents"), "doc_id").postings.where("tf > 1").select(F.col("id").alias("doc_id"), "term", "tf")
+
+
+@query(f"WITH {LEX} SELECT term, CAST(df AS BIGINT) AS df FROM df")
+def document_frequency(spark, d):
+    return R.build_lexical(read(spark, d, "documents"), "doc_id").terms.select("term", "df")
+
+
+@query(f"WITH {LEX} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocab FROM st")
+def corpus_stats(spark, d):
+    i = R.build_lexical(read(spark, d, "documents"), "doc_id")
+    return i.stats.join(i.terms.agg(F.count("*").alias("vocab"))).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocab")  # one row each
+
+
+def _lexical(spark, d):
+    return R.lexical_scores(R.build_lexical(read(spark, d, "documents"), "doc_id"), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
+
+
+@query(f"WITH {LEX} SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0) WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return R.ranking(_lexical(spark, d), 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+DENSE = """d AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS label, q.label AS qlabel, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vid) AS rank FROM d)"""
+
+
+def _dense(spark, d, k):
+    e = read(spark, d, "embeddings")
+    return R.dense_scores(e.selectExpr("vec_id AS id", "embedding AS vector"), e.where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding AS vector"), k)
+
+
+@query(f"WITH {DENSE} SELECT qid AS query_id, vid AS vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM dr WHERE rank <= 10")
+def dense_topk(spark, d):
+    return R.ranking(_dense(spark, d, 10), 10, overfetch=None).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def l2_norms(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+@query("SELECT vec_id, source AS source_id, label FROM embeddings JOIN documents ON doc_id = vec_id")
+def index_alignment(spark, d):
+    return read(spark, d, "embeddings").join(read(spark, d, "documents").selectExpr("doc_id AS vec_id", "source AS source_id"), "vec_id").select("vec_id", "source_id", "label")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS new, CAST(count(*) FILTER (WHERE doc_id % 3 <> 0) AS BIGINT) AS reused FROM documents WHERE text IS NOT NULL")
+def incremental_reuse(spark, d):
+    docs = read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", content_hash(F.col("text")).alias("content_hash"), "doc_id")
+    e = R.HashEmbedder(8)
+    before = R.embed_incremental(docs.withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, "changed").otherwise(F.col("content_hash"))), None, e)
+    now = R.embed_incremental(docs, before, e)
+    return now.agg(F.count("*").alias("total"), F.count_if(~F.col("reused")).alias("new"), F.count_if("reused").alias("reused"))
+
+
+# Lexical and dense rankings share the ids of documents; the queries are the benchmark texts with the vectors of the same ids.
+HYB = f"""{LEX}, {DENSE.replace('WHERE q.vec_id < 20', 'WHERE q.vec_id IN (SELECT item_id FROM benchmark)')},
+b AS (SELECT item_id AS qid, doc_id AS vid, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0)"""
+FUSE = """f AS (SELECT qid, vid, sum(1.0 / (60 + rank)) AS score, max(CASE WHEN s = 'd' THEN rank END) AS dense_rank, max(CASE WHEN s = 'b' THEN rank END) AS bm25_rank FROM (SELECT qid, vid, rank, 'd' AS s FROM d1 UNION ALL SELECT qid, vid, rank, 'b' FROM b1) GROUP BY qid, vid),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, vid) AS rank FROM f)
+SELECT qid AS query_id, vid AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, CAST(dense_rank AS BIGINT) AS dense_rank, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM o WHERE rank <= 5"""
+
+
+def _hybrid(spark, d, **options):
+    docs, e = with_meta(read(spark, d, "documents")), read(spark, d, "embeddings")
+    queries = read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question").join(e.selectExpr("vec_id AS query_id", "embedding AS vector"), "query_id")
+    meta = docs.selectExpr("doc_id AS id", "source AS source_id", "team", "acl", "priority")
+    hits = R.search(R.build_lexical(docs, "doc_id"), e.selectExpr("vec_id AS id", "embedding AS vector"), meta, queries, **options)
+    return hits.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "dense_rank", "bm25_rank")
+
+
+@query(f"WITH {HYB}, d1 AS (SELECT qid, vid, rank FROM dr WHERE rank <= 20), b1 AS (SELECT * FROM b WHERE rank <= 20 AND qid IN (SELECT vec_id FROM embeddings)), {FUSE}")
+def hybrid_rrf_topk(spark, d):
+    return _hybrid(spark, d, overfetch=None)
+
+
+@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a) AND qid IN (SELECT vec_id FROM embeddings)) WHERE rank <= 20), {FUSE}")
+def filtered_search(spark, d):
+    return _hybrid(spark, d, team="team1")
+
+
+@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE vid IN (SELECT doc_id FROM a) AND qid IN (SELECT vec_id FROM embeddings)) WHERE rank <= 20), {FUSE}")
+def filtered_search_prefilter(spark, d):
+    return _hybrid(spark, d, team="team1", overfetch=None)
+
+
+# Dense hits against the vectors' labels: a hit is relevant if it has the query's label.
+REL = f"{DENSE}, r AS (SELECT qid, min(CASE WHEN label = qlabel THEN rank END) AS first_rank FROM (SELECT qid, label, qlabel, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE qid <> vid AND rank <= 11) GROUP BY qid)"
+
+
+def _ranks(spark, d):
+    e = read(spark, d, "embeddings")
+    hits = _dense(spark, d, 11).where("query_id <> id")
+    docs = hits.select("query_id", F.col("id").alias("doc_id"), R.rank_by(F.col("score"), "id").alias("doc_rank"))
+    q = e.where("vec_id < 20").selectExpr("vec_id AS query_id", "label")
+    relevant = docs.join(e.selectExpr("vec_id AS doc_id", "label AS own"), "doc_id").join(q, "query_id").where("own = label").select("query_id", "doc_id")
+    return A.first_relevant(docs, relevant, q)
+
+
+@query(f"WITH {REL} SELECT qid AS query_id, CAST(first_rank AS BIGINT) AS first_rank FROM r")
+def first_relevant_rank(spark, d):
+    return _ranks(spark, d)
+
+
+@query(f"WITH {REL}, m AS (SELECT count(*) AS n, avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0 END) AS recall_at_1, avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0 END) AS recall_at_5, avg(CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0 END) AS recall_at_10, avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END) AS mrr FROM r) SELECT CAST(n AS BIGINT) AS n, round(recall_at_1, 6) AS recall_at_1, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(mrr, 6) AS mrr, recall_at_10 >= 0.7 AS recall_ok, mrr >= 0.5 AS mrr_ok FROM m")
+def recall_mrr(spark, d):
+    m = A.recall_mrr(_ranks(spark, d))
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr")], "recall_ok", "mrr_ok")
+
+
+_word = lambda p: p.replace(r"\w", r"[\pL\pN_]")
+REFUSE = f"CASE WHEN coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') = '' THEN 'empty_query' WHEN regexp_matches(text, '(?i){SECRET}') THEN 'secret' WHEN regexp_matches(text, '(?i){_word(OUT_OF_SCOPE)}') THEN 'out_of_scope' END"
+
+
+@query(f"SELECT doc_id, {REFUSE} AS reason FROM documents")
+def refuse_classify(spark, d):
+    return read(spark, d, "documents").select("doc_id", refuse_reason(F.col("text")).alias("reason"))
+
+
+@query(f"SELECT coalesce({REFUSE}, 'answer') AS reason, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1")
+def refuse_reason_counts(spark, d):
+    return read(spark, d, "documents").groupBy(F.coalesce(refuse_reason(F.col("text")), F.lit("answer")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DENSE} SELECT qid AS query_id, round(max(score), 6) AS confidence FROM dr WHERE rank <= 5 GROUP BY qid")
+def confidence(spark, d):
+    e = read(spark, d, "embeddings")
+    vectors = e.selectExpr("vec_id AS id", "embedding AS vector")
+    out = A.confidence(_dense(spark, d, 5), vectors, e.where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding AS vector"))
+    return out.select("query_id", F.round("confidence", 6).alias("confidence"))
+
+
+def _hits(spark, d):
+    docs = read(spark, d, "documents").selectExpr("doc_id AS id", "source AS source_id", "text")
+    hits = R.ranking(_lexical(spark, d), 5, overfetch=None).join(docs, "id")
+    return hits.select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("doc_id"), "source_id", F.array("source_id").alias("heading_path"), "text")
+
+
+TOP5 = f"{LEX}, h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0), t AS (SELECT * FROM h JOIN documents USING (doc_id) WHERE rank <= 5)"
+QUOTE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+CLIP = f"CASE WHEN length({QUOTE}) <= 280 THEN {QUOTE} ELSE concat(rtrim(substr({QUOTE}, 1, 280)), '…') END"
+
+
+@query(f"WITH {TOP5} SELECT item_id AS query_id, CAST(rank AS BIGINT) AS index, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN source = 'src1' THEN concat('https://wiki.example/one#', CAST(doc_id AS VARCHAR)) ELSE concat('docs://', CAST(doc_id AS VARCHAR)) END AS url, concat('corpus/', source, '/', CAST(doc_id AS VARCHAR), '.md') AS path, {CLIP} AS quote FROM t")
+def citations(spark, d):
+    places = spark.createDataFrame([("src1", "https://wiki.example/one/")], "source_id string, location string")
+    paths = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("path"))
+    return A.citations(_hits(spark, d), paths, places).select("query_id", "index", "doc_id", "url", "path", "quote")
+
+
+@query(f"SELECT doc_id, {CLIP} AS quote FROM documents")
+def quote_clip(spark, d):
+    return read(spark, d, "documents").select("doc_id", quote(F.col("text"), 280).alias("quote"))
+
+
+@query(f"WITH {TOP5} SELECT item_id AS query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS docs FROM t WHERE rank <= 3 GROUP BY item_id")
+def nearest_unique_docs(spark, d):
+    first = A.first_per_document(_hits(spark, d), A.NEAREST)
+    return first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_rank", "doc_id"))), lambda x: x["doc_id"]), ",").alias("docs"))
+
+
+@query(rf"WITH {TOP5} SELECT item_id AS query_id, concat('{A.LEAD}', chr(10), chr(10), string_agg(concat('**', source, '** [', CAST(rank AS VARCHAR), ']', chr(10), CASE WHEN length(text) <= 420 THEN text ELSE concat(regexp_replace(substr(text, 1, 420), '\s+$', ''), '…') END), concat(chr(10), chr(10)) ORDER BY rank)) AS answer FROM t WHERE rank <= 4 GROUP BY item_id")
+def extractive_answer(spark, d):
+    cited = _hits(spark, d).withColumn("index", F.col("rank"))
+    return A.extractive(cited, lambda t: clip(t, A.EXCERPT))
+
+
+CASES = f"cases AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuse' ELSE 'answer' END AS expected_behavior, {REFUSE} IS NOT NULL AS refuse, quality = 1 AS citation_ok, quality = 1 AS grounded_ok FROM labels JOIN documents USING (doc_id))"
+RATES = "round(CASE WHEN count(*) FILTER (WHERE expected_behavior = 'refuse') = 0 THEN 1.0 ELSE count(*) FILTER (WHERE expected_behavior = 'refuse' AND refuse) / count(*) FILTER (WHERE expected_behavior = 'refuse')::DOUBLE END, 6) AS refuse_rate, round(count(*) FILTER (WHERE citation_ok) / count(*)::DOUBLE, 6) AS citation_contract_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND grounded_ok) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS grounded_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS answered_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse AND grounded_ok) / count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse)::DOUBLE, 6) AS grounded_among_answered"
+RATE_NAMES = ("refuse_rate", "citation_contract_rate", "grounded_rate", "answered_rate", "grounded_among_answered")
+
+
+@query(f"WITH {CASES} SELECT {RATES} FROM cases")
+def ask_rates(spark, d):
+    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    cases = rows.select(F.when(F.col("toxic") == 1, "refuse").otherwise("answer").alias("expected_behavior"), refuse_reason(F.col("text")).isNotNull().alias("refuse"), (F.col("quality") == 1).alias("citation_ok"), (F.col("quality") == 1).alias("grounded_ok"))
+    return A.ask_rates(cases).select(*[F.round(c, 6).alias(c) for c in RATE_NAMES])
+
+
+SWEEP = f"""WITH {DENSE}, s AS (SELECT 'top' || CAST(k AS VARCHAR) AS run, qid, min(CASE WHEN label = qlabel THEN rank END) AS first_rank FROM (SELECT dr.*, k FROM dr, (VALUES (3), (5), (10)) v(k) WHERE rank <= k AND qid <> vid) GROUP BY ALL),
+m AS (SELECT run, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr FROM s GROUP BY run)"""
+
+
+def _sweep(spark, d):
+    """One set of hits serves every depth of the sweep."""
+    e = read(spark, d, "embeddings").select("vec_id", "label")
+    hits = R.ranking(_dense(spark, d, 10), 10, overfetch=None).where("query_id <> id").withColumn("k", F.explode(F.array(*map(F.lit, (3, 5, 10))))).where("rank <= k")
+    rows = hits.join(e.selectExpr("vec_id AS id", "label"), "id").join(e.selectExpr("vec_id AS query_id", "label AS wanted"), "query_id")
+    ranks = rows.groupBy(F.concat(F.lit("top"), "k").alias("run"), "query_id").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("rank"))).alias("first_rank"))
+    return A.recall_mrr(ranks, by=("run",)).select("run", F.round("recall_at_10", 6).alias("recall_at_10"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(f"{SWEEP} SELECT * FROM m")
+def retrieval_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query(f"{SWEEP} SELECT * FROM m ORDER BY recall_at_10 DESC, mrr DESC, run LIMIT 1")
+def winners(spark, d):
+    return A.winner(_sweep(spark, d), ("recall_at_10", "mrr"))
+
+
+@query(f"WITH {DENSE}, c AS (SELECT qid, max(score) AS conf FROM dr WHERE rank <= 5 AND qid <> vid GROUP BY qid) SELECT m AS min_dense, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE conf >= m) AS BIGINT) AS answered FROM c, (VALUES (0.2::DOUBLE), (0.28::DOUBLE), (0.4::DOUBLE)) v(m) GROUP BY m")
+def ask_sweep(spark, d):
+    conf = R.ranking(_dense(spark, d, 5), 5, overfetch=None).where("query_id <> id").groupBy("query_id").agg(F.max("score").alias("conf"))
+    rows = conf.withColumn("min_dense", F.explode(F.array(*map(F.lit, (0.2, 0.28, 0.4)))))
+    refused = A.reason(F.lit("a question"), F.lit(1), F.col("conf"), F.col("min_dense")).isNotNull()
+    return rows.groupBy("min_dense").agg(F.count("*").alias("n"), F.count_if(~refused).alias("answered"))
+
+
+@query()
+def hash_embed(spark, d):
+    return R.embed(read(spark, d, "documents").select("doc_id", "text"), R.HashEmbedder(16)).select("doc_id", "embedding")
+
+
+@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(value), 2) AS mean_value, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
+def request_log_summary(spark, d):
+    return read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean_value"), F.countDistinct("user_id").alias("users"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, their index, and the five best for every benchmark text, with where they come from."""
+    chunks = C.keep_first(chunks_of(read(spark, sf_dir, "documents")))
+    scores = R.lexical_scores(R.build_lexical(chunks, "chunk_id"), read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
+    best = R.ranking(scores, 5, overfetch=None)
+    return best.join(chunks.selectExpr("chunk_id AS id", "doc_id", "source"), "id").selectExpr("query_id AS item_id", "CAST(rank AS BIGINT) AS rank", "id AS chunk_id", "doc_id", "source AS source_id", "round(score, 6) AS score")
+
+
+Q["flagship_chunks"] = flagship
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
