@@ -409,9 +409,9 @@ def hash_embed(spark, d):
     return R.embed(read(spark, d, "documents").select("doc_id", "text"), R.HashEmbedder(16)).select("doc_id", "embedding")
 
 
-@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(value), 2) AS mean_value, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total_value, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
 def request_log_summary(spark, d):
-    return read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean_value"), F.countDistinct("user_id").alias("users"))
+    return read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total_value"), F.countDistinct("user_id").alias("users"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
