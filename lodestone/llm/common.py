@@ -55,6 +55,7 @@ def byte_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame) -> DataFrame:

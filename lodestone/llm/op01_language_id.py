@@ -10,7 +10,7 @@ language), so that scoring is two array look-ups a byte.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from .common import byte_chunks
 
 ORDER = 3
 #: Labelled texts learned from, per language, in expectation: a bounded sample by hash of the id.
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 300
 #: Contexts seen fewer times in all languages together are left to the next shorter one.
 MIN_CONTEXT = 2
 UNKNOWN = "und"
@@ -118,14 +118,15 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> tuple[list[
     return langs, [g["gram"].to_numpy(np.int64) for g in by], [g["n"].to_numpy(np.int64) for g in by]
 
 
-def predict(docs: DataFrame, stats, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the share of the best language's 2^-bits in their sum; 0 where unknown).
+def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (None: all) with lang_pred and score (the share of the best language's 2^-bits in
+    their sum; 0 where unknown); columns of docs with these two names are replaced.
 
     A null text, or one without a letter, is `und`; so is every text if nothing was learned. Equal code lengths go to
-    the first language by code point. Other columns pass unchanged, whatever their names: the text goes through Python
-    under names of its own."""
+    the first language by code point."""
+    names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     if not stats[0]:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared, key = docs.sparkSession.sparkContext.broadcast(stats), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +135,14 @@ def predict(docs: DataFrame, stats, text: str = "text") -> DataFrame:
             _models[key] = Model(*shared.value)
         model = _models[key]
         for batch in batches:
-            for part in byte_chunks(batch, "_text"):
-                texts = part.column("_text").to_pylist()
-                bits = model.bits([t or b"" for t in texts])
+            for part in byte_chunks(batch, text, 2 << 20):
+                known = part.column("_lettered").to_pylist()
+                bits = model.bits([t.encode() if k else b"" for t, k in zip(part.column(text).to_pylist(), known, strict=True)])
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                known = [t is not None for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]), pa.array(np.where(known, share, 0.0))],
-                    names=[*part.schema.names[1:], "lang_pred", "score"],
-                )
-
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    lettered = F.when(F.col(text).rlike(_LETTER), F.col(text).cast("binary")).alias("_text")
+                found = pa.array([model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), found, pa.array(np.where(known, share, 0.0))], names=[*names, "lang_pred", "score"])
+
+    lettered = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("_lettered")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(lettered, *names).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*names, text]), lettered).mapInArrow(score, f"{schema}, lang_pred string, score double")

@@ -131,7 +131,7 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
         hashes = int(min(MAX_HASHES, max(1, round(math.log(max(r["n"] / BUCKET_ROWS, 1)) / _SPREAD))))
         own = good.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id"), "id")
         some, ask = (x.select("id", "v").collect() for x in (own.limit(SAMPLE_ROWS), own.where("q").limit(SAMPLE_QUERIES)))
-        mat = lambda z: (np.array([y["v"] for y in z], float).reshape(len(z), -1), np.array([y["id"] for y in z]))
+        mat = lambda z, dim=r["dim"]: (np.array([y["v"] for y in z], float).reshape(len(z), dim), np.array([y["id"] for y in z]))
         s = similarity(*mat(some), *mat(ask), r["norm"], k, r["n"])
         plans[r["dim"]] = (*functions(r["dim"], hashes), r["norm"], s)
     shared = sc.broadcast(plans)

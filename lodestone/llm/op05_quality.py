@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,16 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return Additive(data[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), (data["y"].to_numpy() > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5). A null text scores as an empty one."""
+def score(docs: DataFrame, model: Additive, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (None: all) with score (0 to 1) and predicted (1 if score >= 0.5); columns of docs
+    with these two names are replaced. A null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_chunks(batch, "_text"):
-                s = shared.value.score(features([t or "" for t in part.column("_text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*part.schema.names[1:], "score", "predicted"])
+            for part in byte_chunks(batch, text):
+                s = shared.value.score(features([t or "" for t in part.column(text).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(F.col(text).alias("_text"), *names).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{schema}, score double, predicted int")

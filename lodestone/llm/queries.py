@@ -25,7 +25,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 4) == 2
     seen = docs.where(~held)
     stats = op01_language_id.fit(seen, F.col("text"), F.col("lang"), F.col("doc_id"))
-    out = op01_language_id.predict(docs.select("text", "doc_id"), stats)
+    out = op01_language_id.predict(docs, stats, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
@@ -45,7 +45,7 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = op05_quality.fit(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
-    out = op05_quality.score(docs.select("doc_id", "text"), model)
+    out = op05_quality.score(docs, model, keep=["doc_id"])
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 

@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that one worker keeps; further ones are encoded anew in each chunk. Bounds memory, not results.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
 #: White space to Python's split(), but not to the tokenizers.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -97,17 +97,26 @@ class WordIds:
     def __init__(self, path: str):
         self.tok = load(path)
         self.special = _specials(self.tok)
-        self._reset()
-
-    def _reset(self):
         self.at: dict[str, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the half of the words that was used most."""
+        words = list(self.at)
+        keep = np.sort(np.argpartition(-self.hits, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
+        start, size = self.start[keep], self.size[keep]
+        total = np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        self.at = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.start, self.size, self.hits = total[:-1], size, self.hits[keep] // 2
+
     def _add(self, words: list[str]) -> None:
         cut = {w: (b, w[len(b) :]) for w in words if (b := w.rstrip(_TAIL)) != w and _plain(b)}
-        parts = list({x for bt in cut.values() for x in bt}.union(w for w in words if w not in cut))
-        ids = dict(zip(parts, (e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)), strict=True))
+        parts = {x for bt in cut.values() for x in bt}.union(w for w in words if w not in cut)
+        known = {x: self.ids[self.start[i] : self.start[i] + self.size[i]].tolist() for x in parts if (i := self.at.get(x)) is not None}
+        parts = [x for x in parts if x not in known]
+        ids = known | dict(zip(parts, (e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)), strict=True))
         encoded = [ids[cut[w][0]] + ids[cut[w][1]] if w in cut else ids[w] for w in words]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((x for e in encoded for x in e), np.uint32, int(size.sum()))
@@ -115,12 +124,13 @@ class WordIds:
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
         self.ids = np.concatenate([self.ids, flat])
 
     def of(self, texts: list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; `close` is put after each text."""
         if len(self.at) > CACHE_WORDS:
-            self._reset()
+            self._forget()
         split = []
         for t in texts:
             if _ODD_SPACE.search(t):
@@ -136,6 +146,7 @@ class WordIds:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.at.__getitem__
         index = np.fromiter((i for words in split for i in map(get, words)), np.int64, int(counts.sum()))
+        self.hits += np.bincount(index, minlength=len(self.hits))
         ends = np.cumsum(counts)
         if close is not None:
             mark = len(self.ids)
