@@ -33,12 +33,14 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
     weigh = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
     size = dict(order)
-    left, open_ = share * sum(size.values()), [s for s, _ in order]
-    out: dict[str | None, float] = {}
-    for s in sorted(open_, key=lambda s: most * size[s] / weigh[s]):
-        out[s] = min(float(most * size[s]), left * weigh[s] / sum(weigh[x] for x in open_))
-        left -= out[s]
-        open_.remove(s)
+    left, open_, out = share * sum(size.values()), sum(weigh.values()), {}
+    full = True
+    for s in sorted(size, key=lambda s: most * size[s] / weigh[s]):
+        full = full and most * size[s] * open_ <= left * weigh[s]
+        out[s] = float(most * size[s]) if full else left / open_ * weigh[s]
+        if full:
+            left -= most * size[s]
+            open_ -= weigh[s]
     return out
 
 

@@ -11,6 +11,7 @@ from . import op01_language_id, op02_ann, op04_lm, op03_token_counts, op05_quali
 from . import op06_embedding_dedup, op07_minhash_dedup, op09_html
 from . import op10_mixing as mixing
 from .common import remainder, table
+from .oracles import SQL
 
 
 def tokenizer(name: str) -> str:
@@ -76,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
