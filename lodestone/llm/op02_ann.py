@@ -4,7 +4,8 @@ Largest inner product becomes nearest direction: rows are scaled by the largest
 that makes them unit vectors, queries are scaled to unit length. Each table has `hashes` functions
 floor((a.x + b) / WIDTH) with Gaussian a. For a neighbour at similarity s to the query, a.x is normal with mean
 s * (a.q) and variance 1 - s^2, so the chance of every bucket is known; a query visits buckets in falling order of
-that chance until the chance of having met the neighbour reaches what the tables need together for RECALL. s is
+that chance until the chance of having met the neighbour reaches what the tables need together for RECALL; the first bucket's k best
+scores are a floor for the rows that the others return. s is
 measured on a bounded sample, at the similarity of the k-th neighbour. Candidates of all tables are ranked by their
 exact inner products.
 
@@ -96,12 +97,13 @@ def similarity(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query
     return float(np.clip(np.percentile(-np.sort(-sims, axis=1)[:, rank - 1], 20), 0.05, 0.999))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k rows with the largest inner products for each query, without its own; equal scores by smaller id."""
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
+    """The k rows with the largest inner products for each query, without its own and those below its floor; equal
+    scores by smaller id."""
     s = q @ x.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     m = min(k, len(ids))
-    least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+    least = np.maximum(-np.partition(-s, m - 1, axis=1)[:, m - 1], floor)
     out = []
     for i in range(len(q)):
         at = np.flatnonzero((s[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) & (s[i] > -np.inf)) if np.isfinite(least[i]) else np.flatnonzero(s[i] > -np.inf)
@@ -149,9 +151,9 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     def placed(v: pd.Series) -> pd.Series:
         return by_dim(v, lambda x, a, b, norm, s: buckets_of(x, norm, a, b))
 
-    @F.pandas_udf("array<struct<t:int,b:long>>")
+    @F.pandas_udf("array<struct<t:int,b:long,o:int>>")
     def probed(v: pd.Series) -> pd.Series:
-        return by_dim(v, lambda x, a, b, norm, s: [[{"t": t, "b": c} for t, c in p] for p in probes_of(x, s, a, b)])
+        return by_dim(v, lambda x, a, b, norm, s: [[{"t": t, "b": c, "o": o} for o, (t, c) in enumerate(p)] for p in probes_of(x, s, a, b)])
 
     cells = ["dim", "t", "b"]
     index = written(good.withColumn("p", placed("v")).select("id", "v", "dim", F.posexplode("p").alias("t", "b")))
@@ -163,21 +165,27 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
         block, seat = (F.pmod(F.xxhash64("id", F.lit(i)), F.col(c)).cast("int") for i, c in enumerate(("blocks", "seats")))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = index.join(plan, cells).withColumn("block", block).withColumn("seat", every("seats")).select(*cells, "block", "seat", "id", "v")
-        right = probes.join(plan, cells).withColumn("seat", seat).withColumn("block", every("blocks")).select(*cells, "block", "seat", "id", "v")
+        right = probes.join(plan, cells).withColumn("seat", seat).withColumn("block", every("blocks")).select(*cells, "block", "seat", "id", "v", "floor")
         task = [*cells, "block", "seat"]
 
         def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(q):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            return best(q["id"].to_numpy(), _matrix(q["v"]), x["id"].to_numpy(), _matrix(x["v"]), k)
+            return best(q["id"].to_numpy(), _matrix(q["v"]), x["id"].to_numpy(), _matrix(x["v"]), k, q["floor"].to_numpy())
 
         return left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(compare, "query_id long, vec_id long, score double")
 
     queries = good.where("q").select("id", "v", "dim")
-    hits = written(ranked(written(queries.withColumn("p", F.explode(probed("v"))).select("id", "v", "dim", "p.t", "p.b"))).dropDuplicates(["query_id", "vec_id"]))
+    none = F.lit(float("-inf"))
+    asked = written(queries.withColumn("p", F.explode(probed("v"))).select("id", "v", "dim", "p.t", "p.b", "p.o"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # The likeliest bucket first: what lies below its k best can't be among the k best of all.
+    first = written(ranked(asked.where("o = 0").withColumn("floor", none)).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    rest = asked.where("o > 0").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    hits = written(first.union(ranked(written(rest))).dropDuplicates(["query_id", "vec_id"]))
     few = queries.join(hits.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "v", "dim")
-    few = written(few.join(sizes.where("t = 0").select("dim", "t", "b"), "dim").select("id", "v", "dim", "t", "b"))
+    few = written(few.join(sizes.where("t = 0").select("dim", "t", "b"), "dim").select("id", "v", "dim", "t", "b", none.alias("floor")))
     if few.limit(1).count():
         hits = hits.union(ranked(few)).dropDuplicates(["query_id", "vec_id"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
