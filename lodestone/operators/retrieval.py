@@ -16,8 +16,8 @@ from lodestone.functions import tokens
 
 K1, B, RRF = 1.5, 0.75, 60
 TOP_K, CANDIDATES = 5, 20
-#: Queries that one pass over the vectors answers; more take further passes.
-QUERY_BLOCK = 4096
+#: Queries that are broadcast at once, or make one block; vectors in one block.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
 
 
 def rank_by(score: Column, *ties: str | Column, name: str = "query_id") -> Column:
@@ -53,40 +53,55 @@ def lexical_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: f
     return weighed.join(index.postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _best_of(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k largest inner products of each query in a block; ties at the edge go on, and are settled by id later."""
+    s = x @ q.T
+    m = min(k, len(x))
+    least = np.partition(s, len(x) - m, axis=0)[len(x) - m]
+    at, who = np.nonzero(s >= least - 1e-9)
+    return pd.DataFrame({"query_id": names[who], "id": ids[at], "score": (x[at] * q[who]).sum(axis=1)})
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.array(v.tolist(), float)
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, most: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score): for each query its k largest inner products, zero and negative ones included.
 
-    vectors: (id, vector); queries: (query_id, vector). Each task multiplies blocks of vectors by a block of queries
-    and returns its own best k, so what is shuffled is tasks * queries * k rows."""
+    vectors: (id, vector); queries: (query_id, vector); null vectors take no part. Up to `most` queries are broadcast
+    and vectors stay where they lie. More are dealt to blocks, as are the vectors, and each pair of blocks is one task.
+    Either way a task multiplies two blocks and returns its own best k, so no product of single rows is shuffled."""
     spark = vectors.sparkSession
-    numbered = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block"))
-    blocks = [r[0] for r in numbered.select("block").distinct().orderBy("block").collect()]
-    kinds = {"q": queries.schema["query_id"].dataType.simpleString(), "i": vectors.schema["id"].dataType.simpleString()}
-    parts = []
-    for block in blocks:
-        rows = numbered.where(F.col("block") == block).select("query_id", "vector").orderBy("query_id").collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float)))
-
-        def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
+    # Names of their own: both sides may come from one table, and a cogroup keeps no two columns that are the same.
+    queries = queries.select("query_id", F.col("vector").alias("q")).where("q is not null")
+    vectors = vectors.select("id", F.col("vector").alias("v")).where("v is not null")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    few = queries.limit(most + 1).toPandas()
+    if len(few) <= most:
+        few = few.sort_values("query_id")
+        shared = spark.sparkContext.broadcast((few["query_id"].to_numpy(), _matrix(few["q"])))
+
+        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch["vector"].tolist(), float)
-                s = x @ q.T
-                m = min(k, len(x))
-                least = np.partition(s, len(x) - m, axis=0)[len(x) - m]
-                at, who = np.nonzero(s >= least - 1e-9)  # ties at the edge go on, and are settled by id later
-                exact = (x[at] * q[who]).sum(axis=1)
-                yield pd.DataFrame({"query_id": [names[w] for w in who], "id": batch["id"].to_numpy()[at], "score": exact})
-
-        parts.append(vectors.select("id", "vector").where("vector is not null").mapInPandas(multiply, f"query_id {kinds['q']}, id {kinds['i']}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kinds['q']}, id {kinds['i']}, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("rank", rank_by(F.col("score"), "id")).where(F.col("rank") <= k).drop("rank")
+                if len(batch) and len(shared.value[0]):
+                    yield _best_of(*shared.value, batch["id"].to_numpy(), _matrix(batch["v"]), k)
+
+        best = vectors.mapInPandas(multiply, schema)
+    else:
+        seats, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, most), (vectors, VECTOR_BLOCK)))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = queries.withColumn("seat", own("query_id", seats)).withColumn("block", every(blocks))
+        right = vectors.withColumn("block", own("id", blocks)).withColumn("seat", every(seats))
+
+        def pair(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(x):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return _best_of(q["query_id"].to_numpy(), _matrix(q["q"]), x["id"].to_numpy(), _matrix(x["v"]), k)
+
+        best = left.groupBy("seat", "block").cogroup(right.groupBy("seat", "block")).applyInPandas(pair, schema)
+    return best.withColumn("rank", rank_by(F.col("score"), "id")).where(F.col("rank") <= k).drop("rank")
 
 
 def allowed(meta: DataFrame, team: str = "", acl: str = "", priority: str = "", source_id: str = "") -> DataFrame | None:

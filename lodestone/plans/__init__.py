@@ -211,18 +211,23 @@ def _lexical(spark, d):
     return R.lexical_scores(R.build_lexical(read(spark, d, "documents"), "doc_id"), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
 
 
+@query(f"WITH {LEX} SELECT item_id, doc_id, round(score, 6) AS score FROM bm25 WHERE score > 0")
+def bm25_scores(spark, d):
+    return _lexical(spark, d).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {LEX} SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark, d):
     return R.ranking(_lexical(spark, d), 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-DENSE = """d AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS label, q.label AS qlabel, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+DENSE = """d AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS label, q.label AS qlabel, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vid) AS rank FROM d)"""
 
 
 def _dense(spark, d, k):
     e = read(spark, d, "embeddings")
-    return R.dense_scores(e.selectExpr("vec_id AS id", "embedding AS vector"), e.where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding AS vector"), k)
+    return R.dense_scores(e.selectExpr("vec_id AS id", "embedding AS vector"), e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), k)
 
 
 @query(f"WITH {DENSE} SELECT qid AS query_id, vid AS vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM dr WHERE rank <= 10")
@@ -250,7 +255,7 @@ def incremental_reuse(spark, d):
 
 
 # Lexical and dense rankings share the ids of documents; the queries are the benchmark texts with the vectors of the same ids.
-HYB = f"""{LEX}, {DENSE.replace('WHERE q.vec_id < 20', 'WHERE q.vec_id IN (SELECT item_id FROM benchmark)')},
+HYB = f"""{LEX}, {DENSE.replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id IN (SELECT item_id FROM benchmark)')},
 b AS (SELECT item_id AS qid, doc_id AS vid, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0)"""
 FUSE = """f AS (SELECT qid, vid, sum(1.0 / (60 + rank)) AS score, max(CASE WHEN s = 'd' THEN rank END) AS dense_rank, max(CASE WHEN s = 'b' THEN rank END) AS bm25_rank FROM (SELECT qid, vid, rank, 'd' AS s FROM d1 UNION ALL SELECT qid, vid, rank, 'b' FROM b1) GROUP BY qid, vid),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, vid) AS rank FROM f)
@@ -288,11 +293,19 @@ def _ranks(spark, d):
     e = read(spark, d, "embeddings")
     hits = _dense(spark, d, 11).where("query_id <> id")
     docs = hits.select("query_id", F.col("id").alias("doc_id"), R.rank_by(F.col("score"), "id").alias("doc_rank"))
-    q = e.where("vec_id < 20").selectExpr("vec_id AS query_id", "label")
+    q = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "label")
     relevant = docs.join(e.selectExpr("vec_id AS doc_id", "label AS own"), "doc_id").join(q, "query_id").where("own = label").select("query_id", "doc_id")
     return A.first_relevant(docs, relevant, q)
 
 
+@query(f"WITH {DENSE}, l AS (SELECT qid, label, min(rank) AS first FROM dr WHERE rank <= 11 AND qid <> vid GROUP BY qid, label) SELECT qid AS query_id, CAST(label AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS BIGINT) AS doc_rank FROM l")
+def ranked_docs(spark, d):
+    """Labels stand for documents that several hits share."""
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc_id"))
+    hits = R.ranking(_dense(spark, d, 11), 11, overfetch=None).where("query_id <> id").join(labels, "id")
+    return A.first_per_document(hits).select("query_id", "doc_id", F.col("doc_rank").cast("long").alias("doc_rank"))
+
+
 @query(f"WITH {REL} SELECT qid AS query_id, CAST(first_rank AS BIGINT) AS first_rank FROM r")
 def first_relevant_rank(spark, d):
     return _ranks(spark, d)
@@ -322,7 +335,7 @@ def refuse_reason_counts(spark, d):
 def confidence(spark, d):
     e = read(spark, d, "embeddings")
     vectors = e.selectExpr("vec_id AS id", "embedding AS vector")
-    out = A.confidence(_dense(spark, d, 5), vectors, e.where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding AS vector"))
+    out = A.confidence(_dense(spark, d, 5), vectors, e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"))
     return out.select("query_id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -423,6 +436,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["flagship_chunks"] = flagship
+SQL["flagship_chunks"] = f"""WITH {WINDOWS}, uniq AS (SELECT printf('%d::%04d', doc_id, chunk_index) AS chunk_id, doc_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id, chunk_index) AS r FROM chunks) WHERE r = 1),
+{LEX.replace('SELECT doc_id,', 'SELECT chunk_id AS doc_id,', 1).replace('FROM documents', 'FROM uniq', 1)},
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0)
+SELECT item_id, CAST(rank AS BIGINT) AS rank, chunk_id, u.doc_id, source AS source_id, round(score, 6) AS score FROM best JOIN uniq u ON best.doc_id = chunk_id WHERE rank <= 5"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
