@@ -292,3 +292,15 @@ def test_pipeline(spark, tables):
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(i for i, c in comp.items() if i == c)
     labels = tables["labels"]
     assert 0 < seen["near_copies"] < seen["quality"] < seen["language"] <= 200 and seen["quality"] > 0.7 * len(tables["documents"]) and len(labels)
+
+
+def test_pipeline_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars", "path AS lang_pred")
+    docs = docs.unionByName(docs.where("doc_id IS NULL").withColumn("text", F.lit("another text without a key")))
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    assert kept.count(None) == 2 and kept.count(4) == 1 and 5 not in kept and set(range(len(TEXTS))) - {5} <= {*kept, 4}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert stage(spark, docs, SF).count() >= 0, name
