@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -89,6 +90,19 @@ class _Layers(dict):
         return self.kept[key]
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first looked up; `new` holds those since it was last emptied."""
+
+    def __init__(self, known: dict[str, int] | None = None):
+        super().__init__(known or {})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Token ids of whole texts under a tokenizer that drops white space: text.split() commutes with it.
 
@@ -97,7 +111,7 @@ class WordIds:
     def __init__(self, path: str):
         self.tok = load(path)
         self.special = _specials(self.tok)
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
         self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -108,20 +122,21 @@ class WordIds:
         start, size = self.start[keep], self.size[keep]
         total = np.concatenate([[0], np.cumsum(size)])
         self.ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        self.at = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.at = _Numbers({words[k]: i for i, k in enumerate(keep.tolist())})
         self.start, self.size, self.hits = total[:-1], size, self.hits[keep] // 2
 
     def _add(self, words: list[str]) -> None:
+        """Ids of words that were just numbered, in that order."""
         cut = {w: (b, w[len(b) :]) for w in words if (b := w.rstrip(_TAIL)) != w and _plain(b)}
-        parts = {x for bt in cut.values() for x in bt}.union(w for w in words if w not in cut)
-        known = {x: self.ids[self.start[i] : self.start[i] + self.size[i]].tolist() for x in parts if (i := self.at.get(x)) is not None}
-        parts = [x for x in parts if x not in known]
+        whole = [w for w in words if w not in cut]
+        old = len(self.start)
+        parts = {x for bt in cut.values() for x in bt}.difference(whole)
+        known = {x: self.ids[self.start[i] : self.start[i] + self.size[i]].tolist() for x in parts if (i := self.at.get(x, old)) < old}
+        parts = whole + [x for x in parts if x not in known]
         ids = known | dict(zip(parts, (e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)), strict=True))
         encoded = [ids[cut[w][0]] + ids[cut[w][1]] if w in cut else ids[w] for w in words]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((x for e in encoded for x in e), np.uint32, int(size.sum()))
-        n = len(self.at)
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum()))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
@@ -139,13 +154,12 @@ class WordIds:
                 split.append(t.lower().split())
             else:
                 split.append(t.split())
-        new = [w for w in set().union(*split) if w not in self.at]
-        if new:
-            self._add(new)
         mark = None
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.at.__getitem__
-        index = np.fromiter((i for words in split for i in map(get, words)), np.int64, int(counts.sum()))
+        index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.at.new:
+            self._add(self.at.new)
+            self.at.new = []
         self.hits += np.bincount(index, minlength=len(self.hits))
         ends = np.cumsum(counts)
         if close is not None:
