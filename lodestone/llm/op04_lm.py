@@ -4,11 +4,12 @@ Texts are tokenised once into blocks: the block's distinct tokens as sorted 64-b
 into them. Exact unigram counts are summed over blocks in shards of the hash space, each block sending each distinct
 token once, and go back to the blocks in the same packed form. Bigrams of the learning texts are counted likewise.
 
-The filter holds unigrams and bigrams with quantised counts: an n-gram of count c enters with every level from 0 to
-floor(log_BASE(c)), and its count is read by probing rising levels until one is missing. Its size follows the corpus up
-to FILTER_BITS, so it can be broadcast; where a corpus needs more, the least counts that fit are found from exact
-histograms of all counts. A bigram is stored from count 2. The model is
-P(w | v) = BIGRAM * c(v w) / c(v) + (1 - BIGRAM) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with counts from the filter.
+The filter holds quantised counts: an n-gram of count c enters with every level from 0 to floor(log_BASE(c)), and its
+count is read by probing rising levels until one is missing. It is never in one place: each shard of the bigrams' hash
+space builds its own part, ENTRY_BITS for each entry, probes it for the bigrams of every block, held-out texts too, and
+sends the levels back. So the filter grows with the corpus, without a ceiling, and its parts don't grow. A bigram is
+stored from count 2. Unigrams' counts are at hand in each block, and are quantised there. The model is
+P(w | v) = BIGRAM * c(v w) / c(v) + (1 - BIGRAM) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with quantised counts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, written
 
-FILTER_BITS, PROBES, BASE = 1 << 28, 4, 1.5
+#: With so many bits an entry, 1 of 5,000 absent n-grams reads as held.
+ENTRY_BITS, PROBES, BASE = 32, 4, 1.5
 SEGMENTS = 64
 BIGRAM, LEAST_BIGRAM = 0.15, 2
 BLOCK_BYTES = 8 << 20
@@ -51,6 +53,11 @@ _lows = np.ceil(BASE ** np.arange(65) - 1e-9)
 COUNT_AT = np.maximum(_lows[:-1], (_lows[:-1] + _lows[1:] - 1) / 2)
 
 
+def quantised(held: np.ndarray) -> np.ndarray:
+    """The count that a level stands for, of levels plus one; 0 for 0."""
+    return np.append(0.0, COUNT_AT)[held]
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
@@ -117,18 +124,17 @@ def _deal_unigrams(bits: int):
 
 
 def _sum_unigrams(t: pa.Table) -> pa.Table:
-    """For each block its tokens' counts in the corpus, and once (block -1) the shard's tokens that were learned."""
+    """For each block its tokens' counts in the corpus, and once (block -1) how many types and tokens the shard has learned."""
     blocks, shard = t.column("block").to_pylist(), t.column("shard")[0].as_py()
     keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
     n = np.concatenate([_unpack(x, np.uint32) for x in t.column("n").to_pylist()]).astype(np.int64)
     every, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, n, len(every)).astype(np.int64)
     out = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
-    seen = total > 0
     return pa.table({
         "shard": pa.array([shard] * (len(blocks) + 1), pa.int32()), "block": pa.array([*blocks, -1], pa.int64()),
-        "n": pa.array([*map(_pack, out), _pack(total[seen])], pa.binary()), "keys": pa.array([None] * len(blocks) + [every[seen].tobytes()], pa.binary()),
-        "types": pa.array([0] * len(blocks) + [int(seen.sum())], pa.int64()), "tokens": pa.array([0] * len(blocks) + [int(total.sum())], pa.int64()),
+        "n": pa.array([*map(_pack, out), None], pa.binary()),
+        "types": pa.array([0] * len(blocks) + [int((total > 0).sum())], pa.int64()), "tokens": pa.array([0] * len(blocks) + [int(total.sum())], pa.int64()),
     })
 
 
@@ -146,54 +152,56 @@ def bigram_keys(hv: np.ndarray, hw: np.ndarray, bits: int) -> np.ndarray:
 _END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 
 
+def _pairs(r: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct bigrams in order, the one at each token, and the token before each token."""
+    hashes, words, ends = np.frombuffer(r["hashes"], np.uint64), _unpack(r["words"], np.uint32), np.frombuffer(r["ends"], np.int64)
+    v = _before(words, ends, int(np.searchsorted(hashes, _END_HASH)))
+    pair, at = np.unique(v.astype(np.uint64) << np.uint64(32) | words, return_inverse=True)
+    pv, pw = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    keys, back = np.unique(bigram_keys(hashes[pv], hashes[pw], bits), return_inverse=True)
+    return keys, back[at], v
+
+
 def _deal_bigrams(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                hashes, words, ends = np.frombuffer(r["hashes"], np.uint64), _unpack(r["words"], np.uint32), np.frombuffer(r["ends"], np.int64)
-                learn = np.repeat(~np.frombuffer(r["held"], bool), np.diff(ends, prepend=0))
-                v = _before(words, ends, int(np.searchsorted(hashes, _END_HASH)))
-                keys, n = np.unique(bigram_keys(hashes[v[learn]], hashes[words[learn]], bits), return_counts=True)
-                one = n == 1
-                first, rest = keys[one], keys[~one]
-                a, b = _cuts(first, bits), _cuts(rest, bits)
-                at = np.flatnonzero(np.diff(a) + np.diff(b)).tolist()
-                low = np.uint64(64 - bits - SHARD_BITS)
+                keys, at, _ = _pairs(r, bits)
+                learn = np.repeat(~np.frombuffer(r["held"], bool), np.diff(np.frombuffer(r["ends"], np.int64), prepend=0))
+                n = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
+                cut = _cuts(keys, bits)
+                full = np.flatnonzero(np.diff(cut)).tolist()
                 # Five bytes say where a key lies in its shard.
-                small = lambda k: np.ascontiguousarray((k >> low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SHARD_BITS // 8]).tobytes()
+                small = (keys >> np.uint64(64 - bits - SHARD_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SHARD_BITS // 8]
                 yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(at, pa.int32()), "once": pa.array([small(first[a[i] : a[i + 1]]) for i in at], pa.binary()),
-                    "more": pa.array([rest[b[i] : b[i + 1]].tobytes() for i in at], pa.binary()), "n": pa.array([n[~one][b[i] : b[i + 1]].astype(np.uint32).tobytes() for i in at], pa.binary()),
+                    "shard": pa.array(full, pa.int32()), "block": pa.array([r["block"]] * len(full), pa.int64()),
+                    "keys": pa.array([small[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), "n": pa.array([_pack(n[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
                 })
 
     return run
 
 
 def _sum_bigrams(bits: int):
+    """For each block the levels of its bigrams, read from the shard's part of the filter: 0 where it isn't held."""
+
     def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        once = np.frombuffer(b"".join(t.column("once").to_pylist()), np.uint8).reshape(-1, SHARD_BITS // 8)
-        wide = np.zeros((len(once), 8), np.uint8)
-        wide[:, : SHARD_BITS // 8] = once
+        shard, dealt = t.column("shard")[0].as_py(), t.column("keys").to_pylist()
+        small = np.frombuffer(b"".join(dealt), np.uint8).reshape(-1, SHARD_BITS // 8)
+        wide = np.zeros((len(small), 8), np.uint8)
+        wide[:, : SHARD_BITS // 8] = small
         base = np.uint64(shard << (64 - bits)) if bits else np.uint64(0)
         keys = (wide.view("<u8").reshape(-1) << np.uint64(64 - bits - SHARD_BITS)) | base
-        more, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("more", np.uint64), ("n", np.uint32)))
-        every, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.ones(len(keys)), n]), len(every)).astype(np.int64)
+        n = np.concatenate([_unpack(x, np.uint32) for x in t.column("n").to_pylist()])
+        every, back = np.unique(keys, return_inverse=True)
+        total = np.bincount(back, n, len(every)).astype(np.int64)
         keep = total >= LEAST_BIGRAM
-        return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([every[keep].tobytes()], pa.binary()), "n": pa.array([_pack(total[keep])], pa.binary())})
+        level = build_filter(every[keep], total[keep]).levels(every)
+        out = np.split((level + 1).astype(np.uint8)[back], np.cumsum([len(x) // (SHARD_BITS // 8) for x in dealt])[:-1])
+        return pa.table({"shard": t.column("shard"), "block": t.column("block"), "level": pa.array([_pack(x) for x in out], pa.binary())})
 
     return run
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(64, np.int64)
-    for batch in batches:
-        for x in batch.column("n").to_pylist():
-            total += np.bincount(level_of(_unpack(x, np.int64)), minlength=64)
-    yield pa.RecordBatch.from_pydict({"level": pa.array(range(64), pa.int64()), "c": pa.array(total)})
-
-
 class Filter:
     """The log-frequency filter: SEGMENTS equal parts of a bit array, by the top bits of an n-gram's hash."""
 
@@ -207,6 +215,11 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key; 0 where it isn't held."""
+        level = self.levels(keys)
+        return np.where(level >= 0, COUNT_AT[level], 0.0)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key; -1 where it isn't held."""
         level = np.full(len(keys), -1)
         left = np.arange(len(keys))
         for lv in range(64):
@@ -215,7 +228,7 @@ class Filter:
             if not len(left):
                 break
             level[left] = lv
-        return np.where(level >= 0, COUNT_AT[level], 0.0)
+        return level
 
     def _has(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
         p = self.place(keys, level, probe, self.m)
@@ -258,24 +271,15 @@ def _fill(m: int):
     return run
 
 
-def build_filter(unigrams: DataFrame, bigrams: DataFrame) -> Filter:
-    """The filter over tables of packed (keys, n)."""
-    hist = []
-    for df in (unigrams, bigrams):
-        rows = df.select("n").mapInArrow(_histogram, "level long, c long").groupBy("level").agg(F.sum("c").alias("c")).collect()
-        hist.append({r["level"]: r["c"] for r in rows})
-    need = lambda h, least: sum(c * (lv + 1) for lv, c in h.items() if lv >= least)
-    room = int(FILTER_BITS * np.log(2) / PROBES)
-    least = [0, 0]
-    while need(hist[0], least[0]) + need(hist[1], least[1]) > room:
-        worst = max((0, 1), key=lambda i: need(hist[i], least[i]) - need(hist[i], least[i] + 1))
-        least[worst] += 1
-    entries = max(1, need(hist[0], least[0]) + need(hist[1], least[1]))
-    m = min(FILTER_BITS // SEGMENTS, max(4096, 1 << max(0, int(np.ceil(np.log2(entries * PROBES / np.log(2) / SEGMENTS))))))
-    dealt = unigrams.select("keys", "n").mapInArrow(_deal_to_segments(least[0], True), "segment int, keys binary, lv binary").union(bigrams.select("keys", "n").mapInArrow(_deal_to_segments(least[1], False), "segment int, keys binary, lv binary"))
+def build_filter(keys: np.ndarray, n: np.ndarray) -> Filter:
+    """The filter of keys with counts n, as large as they need."""
+    entries = np.bincount((keys >> np.uint64(58)).astype(np.int64), level_of(n) + 1, SEGMENTS)
+    m = 8 * (int(entries.max()) * ENTRY_BITS // 8 + 8)
     data = np.zeros((SEGMENTS, m // 8), np.uint8)
-    for r in dealt.groupBy("segment").applyInArrow(_fill(m), "segment int, bits binary").collect():  # FILTER_BITS in all at most
-        data[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    for part in _deal_to_segments(0, False)(iter([pa.RecordBatch.from_pydict({"keys": [keys.tobytes()], "n": [_pack(n)]})])):
+        for i in range(part.num_rows):
+            r = _fill(m)(pa.Table.from_batches([part.slice(i, 1)])).to_pylist()[0]
+            data[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return Filter(m, data)
 
 
@@ -289,28 +293,24 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     size = blocks.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     shards = lambda n: max(0, int(np.ceil(np.log2(max(n or 1, 1) / SHARD_ENTRIES))))
     ub, bb = shards(size["types"]), shards(size["tokens"])
-    summed = written(blocks.select("block", "hashes", "counts").mapInArrow(_deal_unigrams(ub), "shard int, block long, keys binary, n binary").groupBy("shard").applyInArrow(_sum_unigrams, "shard int, block long, n binary, keys binary, types long, tokens long"))
+    summed = written(blocks.select("block", "hashes", "counts").mapInArrow(_deal_unigrams(ub), "shard int, block long, keys binary, n binary").groupBy("shard").applyInArrow(_sum_unigrams, "shard int, block long, n binary, types long, tokens long"))
     total = summed.agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
     n_all, v_all = int(total["n"] or 0), int(total["v"] or 0)
-    bigrams = written(blocks.select("hashes", "words", "ends", "held").mapInArrow(_deal_bigrams(bb), "shard int, once binary, more binary, n binary").groupBy("shard").applyInArrow(_sum_bigrams(bb), "shard int, keys binary, n binary"))
-    shared = docs.sparkSession.sparkContext.broadcast(build_filter(summed.where("block = -1"), bigrams))
+    levels = blocks.select("block", "hashes", "words", "ends", "held").mapInArrow(_deal_bigrams(bb), "shard int, block long, keys binary, n binary").groupBy("shard").applyInArrow(_sum_bigrams(bb), "shard int, block long, level binary")
     below = n_all + 0.1 * (v_all + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
-        back = sorted(zip(right.column("shard").to_pylist(), right.column("n").to_pylist(), strict=True))
-        c = np.concatenate([_unpack(x, np.int64) for _, x in back])
-        hashes, words, ends = np.frombuffer(r["hashes"], np.uint64), _unpack(r["words"], np.uint32), np.frombuffer(r["ends"], np.int64)
+        back = sorted(zip(*(right.column(x).to_pylist() for x in ("bigram", "shard", "n")), strict=True))
+        c = np.concatenate([_unpack(x, np.int64) for bigram, _, x in back if not bigram])
+        both = np.concatenate([_unpack(x, np.uint8) for bigram, _, x in back if bigram])
+        words, ends = _unpack(r["words"], np.uint32), np.frombuffer(r["ends"], np.int64)
         starts = np.concatenate([[0], ends[:-1]])
         base = np.log10((c + 0.1) / below)[words]
-        model: Filter = shared.value
-        uni = model.counts(unigram_keys(hashes))
-        v = _before(words, ends, int(np.searchsorted(hashes, _END_HASH)))
-        pair, inverse = np.unique(v.astype(np.uint64) << np.uint64(32) | words, return_inverse=True)
-        pv, pw = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        both = model.counts(bigram_keys(hashes[pv], hashes[pw], bb))
-        p = BIGRAM * np.minimum(1, both / np.maximum(uni[pv], 1)) + (1 - BIGRAM) * np.minimum(1, (uni[pw] + 0.1) / below)
-        logp = np.log10(p)[inverse]
+        uni = quantised(np.where(c > 0, level_of(c) + 1, 0))
+        _, at, v = _pairs(r, bb)
+        p = BIGRAM * np.minimum(1, quantised(both)[at] / np.maximum(uni[v], 1)) + (1 - BIGRAM) * np.minimum(1, (uni[words] + 0.1) / below)
+        logp = np.log10(p)
         add = lambda x: np.add.reduceat(x, starts)
         ids = np.frombuffer(r["ids"], np.int64)
         return pa.table({
@@ -318,7 +318,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
             "n_known": pa.array(add((c > 0)[words].astype(np.int64))), "train_tokens": pa.array(np.full(len(ends), n_all)), "base_score": pa.array(add(base)), "score": pa.array(add(logp)),
         })
 
-    counts = summed.where("block <> -1").select("block", "shard", "n")
+    counts = summed.where("block <> -1").select("block", F.lit(False).alias("bigram"), "shard", "n").union(levels.select("block", F.lit(True), "shard", "level"))
     own = blocks.select("block", "ids", "held", "ends", "words", "hashes")
     out = own.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", key)

@@ -139,6 +139,35 @@ def test_language_model(spark, tables, odd):
     assert op04_lm.score(odd.limit(0), F.lit(False)).count() == 0
 
 
+def brute_scores(rows, least=1):
+    """Sum of log10 P(w | v) for each text (id, words, held) from quantised counts; bigrams from a count of `least`."""
+    end, uni, two = b"\n", Counter(), Counter()
+    for _, ws, held in rows:
+        if not held:
+            uni.update(ws)
+            two.update(zip([end, *ws], ws, strict=False))
+    q = lambda c: float(op04_lm.COUNT_AT[op04_lm.level_of(np.array([c]))[0]]) if c else 0.0
+    below = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    p = lambda v, w: op04_lm.BIGRAM * min(1, q(two[v, w] if two[v, w] >= least else 0) / max(q(uni[v]), 1)) + (1 - op04_lm.BIGRAM) * min(1, (q(uni[w]) + 0.1) / below)
+    return {i: sum(np.log10(p(v, w)) for v, w in zip([end, *ws], ws, strict=False)) for i, ws, _ in rows}
+
+
+def lm_rows(df):
+    return [(r.doc_id, (r.text or "").encode().lower().split() + [b"\n"], zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in df.select("doc_id", "text").collect()]
+
+
+def test_language_model_at_any_size(spark, monkeypatch):
+    """Scores are those of all counts, however small a fixed room would be, and in however many shards."""
+    monkeypatch.setattr(op04_lm, "FILTER_BITS", 1 << 19, raising=False)
+    monkeypatch.setattr(op04_lm, "SHARD_ENTRIES", 2000)
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lm_rows(df)
+    want = brute_scores(rows, op04_lm.LEAST_BIGRAM)
+    got = {r.doc_id: r.score for r in op04_lm.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()}
+    off = np.array([abs(got[i] - want[i]) / len(ws) for i, ws, _ in rows])
+    assert got.keys() == want.keys() and off.mean() < 0.002 and (off < 0.002).mean() > 0.9
+
+
 def test_bloom_counts():
     keys = np.random.default_rng(0).integers(1, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
     n = np.random.default_rng(1).integers(1, 500, 3000)
