@@ -7,8 +7,8 @@ token once, and go back to the blocks in the same packed form. Bigrams of the le
 The filter holds quantised counts: an n-gram of count c enters with every level from 0 to floor(log_BASE(c)), and its
 count is read by probing rising levels until one is missing. It is never in one place: each shard of the bigrams' hash
 space builds its own part, ENTRY_BITS for each entry, probes it for the bigrams of every block, held-out texts too, and
-sends the levels back. So the filter grows with the corpus, without a ceiling, and its parts don't grow. A bigram is
-stored from count 2. Unigrams' counts are at hand in each block, and are quantised there. The model is
+sends the levels back. So the filter grows with the corpus, without a ceiling, and its parts don't grow. Unigrams'
+counts are at hand in each block, and are quantised there. The model is
 P(w | v) = BIGRAM * c(v w) / c(v) + (1 - BIGRAM) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with quantised counts.
 """
 
@@ -29,7 +29,7 @@ from .common import byte_chunks, written
 #: With so many bits an entry, 1 of 5,000 absent n-grams reads as held.
 ENTRY_BITS, PROBES, BASE = 32, 4, 1.5
 SEGMENTS = 64
-BIGRAM, LEAST_BIGRAM = 0.15, 2
+BIGRAM = 0.15
 BLOCK_BYTES = 8 << 20
 #: Entries of packed arrays that one shard sums, and bits of a bigram's hash inside its shard.
 SHARD_ENTRIES, SHARD_BITS = 2 << 20, 40
@@ -194,8 +194,8 @@ def _sum_bigrams(bits: int):
         n = np.concatenate([_unpack(x, np.uint32) for x in t.column("n").to_pylist()])
         every, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, n, len(every)).astype(np.int64)
-        keep = total >= LEAST_BIGRAM
-        level = build_filter(every[keep], total[keep]).levels(every)
+        learned = total > 0
+        level = build_filter(every[learned], total[learned]).levels(every)
         out = np.split((level + 1).astype(np.uint8)[back], np.cumsum([len(x) // (SHARD_BITS // 8) for x in dealt])[:-1])
         return pa.table({"shard": t.column("shard"), "block": t.column("block"), "level": pa.array([_pack(x) for x in out], pa.binary())})
 

@@ -139,8 +139,8 @@ def test_language_model(spark, tables, odd):
     assert op04_lm.score(odd.limit(0), F.lit(False)).count() == 0
 
 
-def brute_scores(rows, least=1):
-    """Sum of log10 P(w | v) for each text (id, words, held) from quantised counts; bigrams from a count of `least`."""
+def brute_scores(rows):
+    """Sum of log10 P(w | v) for each text (id, words, held) from quantised counts."""
     end, uni, two = b"\n", Counter(), Counter()
     for _, ws, held in rows:
         if not held:
@@ -148,7 +148,7 @@ def brute_scores(rows, least=1):
             two.update(zip([end, *ws], ws, strict=False))
     q = lambda c: float(op04_lm.COUNT_AT[op04_lm.level_of(np.array([c]))[0]]) if c else 0.0
     below = sum(uni.values()) + 0.1 * (len(uni) + 1)
-    p = lambda v, w: op04_lm.BIGRAM * min(1, q(two[v, w] if two[v, w] >= least else 0) / max(q(uni[v]), 1)) + (1 - op04_lm.BIGRAM) * min(1, (q(uni[w]) + 0.1) / below)
+    p = lambda v, w: op04_lm.BIGRAM * min(1, q(two[v, w]) / max(q(uni[v]), 1)) + (1 - op04_lm.BIGRAM) * min(1, (q(uni[w]) + 0.1) / below)
     return {i: sum(np.log10(p(v, w)) for v, w in zip([end, *ws], ws, strict=False)) for i, ws, _ in rows}
 
 
@@ -162,12 +162,21 @@ def test_language_model_at_any_size(spark, monkeypatch):
     monkeypatch.setattr(op04_lm, "SHARD_ENTRIES", 2000)
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = lm_rows(df)
-    want = brute_scores(rows, op04_lm.LEAST_BIGRAM)
+    want = brute_scores(rows)
     got = {r.doc_id: r.score for r in op04_lm.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()}
     off = np.array([abs(got[i] - want[i]) / len(ws) for i, ws, _ in rows])
     assert got.keys() == want.keys() and off.mean() < 0.002 and (off < 0.002).mean() > 0.9
 
 
+def test_bigrams_seen_once_count(spark):
+    """Two held-out texts of the same words: the one whose bigrams were each learned once scores higher."""
+    rows = [(1, "red green blue", False), (2, "red green blue", True), (3, "blue red green", True), (4, "green grey", False)]
+    got = {r.doc_id: r for r in op04_lm.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held")).collect()}
+    assert got[2].base_score == pytest.approx(got[3].base_score) and got[2].score > got[3].score + 0.5
+    want = brute_scores([(i, [*t.encode().split(), b"\n"], h) for i, t, h in rows])
+    assert all(got[i].score == pytest.approx(want[i]) for i in want)
+
+
 def test_bloom_counts():
     keys = np.random.default_rng(0).integers(1, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
     n = np.random.default_rng(1).integers(1, 500, 3000)
