@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Each page names the deepest container that still holds nearly all of its readable text. Pages vote, per host, on the
-generalised path of that container (tags with their classes, digits folded); the host's winning path is then used to
-extract every page of the host, and a page without such an element uses its own container.
+Each page names the deepest container that holds all of its readable text: what is left without furniture, save blocks
+that are nothing but links. Pages vote, per host, on the generalised path of that container (tags with their classes,
+digits folded); the host's winning path is then used on every page of the host whose readable text it holds whole, and
+any other page uses its own container.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from .common import byte_chunks, written
 
 #: A host table of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 200_000
-HOLDS = 0.9
 # Fixed lists: elements of HTML by their role, and words that name page furniture in classes, ids and roles.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption address details summary center hr header footer nav aside form fieldset dialog menu search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 DROPPED = frozenset("nav footer aside form dialog menu search head noscript template iframe svg canvas select button textarea object audio video fieldset label".split())
 RAW = frozenset("script style title textarea xmp noscript iframe noframes template svg".split())
@@ -51,7 +52,7 @@ def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, int, _Element]]:
-    """The readable blocks of a page in order: text, characters of it in links, and the element that holds it."""
+    """The readable blocks of a page in order: text, characters of it in links (without white space), and the element that holds it."""
     out, buffer, links = [], [], 0
     at = _Element("", "", None, False)
     in_link, pos = False, 0
@@ -70,7 +71,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
         piece = page[pos : m.start()] if m else page[pos:]
         if piece:
             buffer.append(piece)
-            links += len(piece) if in_link else 0
+            links += len("".join(html.unescape(piece).split())) if in_link else 0
         if not m:
             break
         pos, tag = m.end(), (m[2] or "").lower()
@@ -91,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
         elif tag == "a":
-            in_link = True
+            in_link = "href" in m[3].lower()
         elif tag in ("br", "wbr", "img", "input"):
             buffer.append(" " if tag == "br" else "")
         elif tag in BLOCKS or tag in DROPPED:
@@ -111,22 +112,33 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
     return out
 
 
+def readable(text: str, links: int, at: _Element) -> int:
+    """Characters, without white space, that aren't in links; a heading's are all text."""
+    n = len(text) - text.count(" ")
+    return n if at.tag in HEADINGS else max(n - links, 0)
+
+
 def best_path(found: list[tuple[str, int, _Element]]) -> str:
-    """Path of the deepest container with HOLDS of the text that isn't in links; "" for a page without text."""
+    """Path of the deepest container with all readable text; "" for a page without one."""
     total, depth = 0, {}
     for text, links, at in found:
-        n = max(len(text) - links, 0)
+        n = readable(text, links, at)
         total += n
         while at is not None:
             depth[at] = depth.get(at, 0) + n
             at = at.parent
-    fit = [e for e, n in depth.items() if total and n >= HOLDS * total and e.tag in CONTAINERS]
+    fit = [e for e, n in depth.items() if total and n == total and e.tag in CONTAINERS]
     return max(fit, key=lambda e: e.path.count("/")).path if fit else ""
 
 
 def text_at(found: list[tuple[str, int, _Element]], path: str) -> str | None:
-    """Text of all elements with this path; None if the page has none."""
-    own = [t for t, _, at in found if path and (at.path == path or at.path.startswith(path + "/"))]
+    """Text of all elements with this path; None if the page has none, or has readable text outside them."""
+    own = []
+    for text, links, at in found:
+        if path and (at.path == path or at.path.startswith(path + "/")):
+            own.append(text)
+        elif readable(text, links, at):
+            return None
     return "\n".join(own) if own else None
 
 

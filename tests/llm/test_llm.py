@@ -295,6 +295,18 @@ def test_html(spark, tables):
     assert len(pages) == len(tables["pages"]) and (pages.n_chars == pages.text.str.len()).all() and (pages.n_chars > 0).mean() > 0.95
 
 
+def test_html_loses_no_readable_text(spark):
+    long = "words of the body " * 200
+    menu = "<div><a href=/>home</a> <a href=/x>other</a></div>"
+    first = f"{menu}<article><h1><a href=/a>Head</a></h1><p>Lede</p><div class=body><p>{long}</p></div></article>"
+    second = f"{menu}<div class=body><p>aside</p></div><section><a name=top><p>{long}</p><p>end</p></section>"
+    third = f"<article><p>One</p><p><a href=/b>A   &amp;&amp;&amp;   B</a> x</p><table><tr><td>{long}</table></article>"
+    rows = [(i, "http://h.example/a", f"<body>{p}</body>") for i, p in enumerate([first, first, second, third])]
+    got = {r.page_id: r.text.split("\n") for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = ["Head", "Lede", long.strip()]
+    assert got[0] == got[1] == want and got[2][-3:] == ["aside", long.strip(), "end"] and got[3] == ["One", "A &&& B x", long.strip()]
+
+
 def test_mixing(spark, tables, odd):
     got = queries.op10_mixing(spark, SF).toPandas().merge(tables["documents"], on="doc_id")
     assert got["size"].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in got.text]
