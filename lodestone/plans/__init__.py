@@ -196,6 +196,11 @@ def term_frequency(spark, d):
     return R.build_lexical(read(spark, d, "documents"), "doc_id").postings.where("tf > 1").select(F.col("id").alias("doc_id"), "term", "tf")
 
 
+@query(f"WITH {LEX} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
+def all_term_frequencies(spark, d):
+    return R.build_lexical(read(spark, d, "documents"), "doc_id").postings.select(F.col("id").alias("doc_id"), "term", "tf")
+
+
 @query(f"WITH {LEX} SELECT term, CAST(df AS BIGINT) AS df FROM df")
 def document_frequency(spark, d):
     return R.build_lexical(read(spark, d, "documents"), "doc_id").terms.select("term", "df")

@@ -176,3 +176,12 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
         spark.createDataFrame([(i, "s", "", t, "x", "t", "p0", "en") for i, t in batch], schema).write.mode("append").parquet(place("in"))
         run()
     assert sorted(r.chunk_id for r in spark.read.parquet(place("out")).collect()) == ["a::0000", "d::0000"]
+
+
+def test_every_term_of_every_document_is_returned(spark):
+    from lodestone import plans
+
+    sf = "/root/testdata/sf0.001"
+    got = plans.queries()["all_term_frequencies"](spark, sf)
+    n = plans.queries()["tokenize_counts"](spark, sf).agg(F.sum("n_tokens")).first()[0]
+    assert got.agg(F.sum("tf")).first()[0] == n and got.where("tf = 1").count() > 0 and got.count() == got.select("doc_id", "term").distinct().count()
