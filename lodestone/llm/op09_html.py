@@ -26,6 +26,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 DROPPED = frozenset("nav footer aside form dialog menu search head noscript template iframe svg canvas select button textarea object audio video fieldset label".split())
 RAW = frozenset("script style title textarea xmp noscript iframe noframes template svg".split())
+#: Raw elements after whose start tag a page goes on if they are never closed.
+MAY_BE_OPEN = frozenset("title svg template".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement adsense adslot sponsor sponsored banner promo menu nav navbar navigation sidebar footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login search widget toolbar contentinfo complementary dialog alert".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -89,8 +91,11 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
                     at = up.parent
             continue
         if tag in RAW:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+            if end or tag not in MAY_BE_OPEN:
+                pos = end.end() if end else len(page)
         elif tag == "a":
             in_link = "href" in m[3].lower()
         elif tag in ("br", "wbr", "img", "input"):

@@ -307,6 +307,13 @@ def test_html_loses_no_readable_text(spark):
     assert got[0] == got[1] == want and got[2][-3:] == ["aside", long.strip(), "end"] and got[3] == ["One", "A &&& B x", long.strip()]
 
 
+def test_html_goes_on_after_open_elements():
+    text = lambda page: [t for t, *_ in op09_html.blocks(page)]
+    assert text("<p>a<svg class=i /> b</p><p>c</p><svg><text>no</text></svg><p>d") == ["a b", "c", "d"]
+    for tag in ("title", "svg", "template"):
+        assert text(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"] and text(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+
+
 def test_mixing(spark, tables, odd):
     got = queries.op10_mixing(spark, SF).toPandas().merge(tables["documents"], on="doc_id")
     assert got["size"].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in got.text]
