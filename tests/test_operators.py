@@ -185,3 +185,9 @@ def test_every_term_of_every_document_is_returned(spark):
     got = plans.queries()["all_term_frequencies"](spark, sf)
     n = plans.queries()["tokenize_counts"](spark, sf).agg(F.sum("n_tokens")).first()[0]
     assert got.agg(F.sum("tf")).first()[0] == n and got.where("tf = 1").count() > 0 and got.count() == got.select("doc_id", "term").distinct().count()
+
+
+def test_keep_first_keeps_one_row_without_content(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "doc_id long, content_hash string")
+    got = C.keep_first(rows, order=("doc_id",))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2] and set(got.columns) == {"doc_id", "content_hash"}
