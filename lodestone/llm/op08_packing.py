@@ -62,8 +62,8 @@ def _pieces(path: str, close: int, capacity: int):
         if path not in _encoders:
             _encoders[path] = WordIds(path)
         for batch in batches:
-            for part in byte_chunks(batch, "_text", 2 << 20):
-                ids, sizes = _encoders[path].of([t or "" for t in part.column("_text").to_pylist()], close)
+            for part in byte_chunks(batch, "_text"):
+                ids, sizes = _encoders[path].of(part.column("_text"), close)
                 raw, base = memoryview(ids.astype("<u4")).cast("B"), 0
                 row, start, length, crc = [], [], [], []
                 for i, n in enumerate(sizes.tolist()):
@@ -92,12 +92,13 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", close: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """pieces() with sequence_id and offset: no sequence is longer than `capacity`, and none has gaps.
 
-    Repeated documents and repeated keys are packed as often as they occur. Pieces arrive in the order of a hash of
-    key, start and content, so reruns agree. Empty input gives no rows."""
+    Repeated documents and repeated keys are packed as often as they occur. Pieces are written, and numbered by their
+    places in the written table; they are dealt and arrive in the order of a hash of that number, so rows that repeat
+    spread like others, and a task that is run again packs alike. No two pieces tie. Empty input gives no rows."""
     cut = written(pieces(docs, tokenizer, key, text, close, capacity))
     shards = max(1, -(-cut.count() // SHARD_PIECES))
     kind = cut.schema[key].dataType.simpleString()
-    mixed = F.xxhash64(F.col(key).cast("string"), "start", "ids_crc32")
+    mixed = F.xxhash64(F.monotonically_increasing_id())
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order", kind="stable")
@@ -106,5 +107,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         rows["offset"] = np.array(places, np.int64)
         return rows[[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = cut.withColumns({"order": mixed, "shard": F.pmod(mixed, F.lit(shards)).cast("long")})
+    dealt = cut.withColumn("order", mixed).withColumn("shard", F.pmod("order", F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInPandas(one, f"`{key}` {kind}, {PIECES}, sequence_id long, offset long")

@@ -6,23 +6,24 @@ pieces put together; texts where that could differ go whole through the library.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that one worker keeps; further ones are encoded anew in each chunk. Bounds memory, not results.
 CACHE_WORDS = 600_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
-#: White space to Python's split(), but not to the tokenizers.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _TAIL = ".,;:!?"
 
 
 def _plain(word: str) -> bool:
     """Letters only, of the Latin blocks: one pre-token, whatever follows."""
-    return word.isalpha() and max(word) < "\u0250"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 @functools.lru_cache(maxsize=4)
@@ -91,84 +92,145 @@ class _Layers(dict):
 
 
 class _Numbers(dict):
-    """Numbers words in the order in which they are first looked up; `new` holds those since it was last emptied."""
+    """Numbers keys in the order in which they are first looked up; `new` holds those since it was last emptied."""
 
-    def __init__(self, known: dict[str, int] | None = None):
-        super().__init__(known or {})
-        self.new: list[str] = []
+    def __init__(self, keys=()):
+        super().__init__(zip(keys, range(len(keys)), strict=True))
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
 
+#: Punctuation that is cut off a word's end: one pre-token, whatever it follows. No apostrophe: it may start one.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words joined by spaces and encoded at once.
+_AT_ONCE = 2000
+
+
+def _ranges(a: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of a that have these starts and sizes, one after the other."""
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(a)) < 1 << 31 else np.int64
+    return a[np.repeat((start - (np.cumsum(size) - size)).astype(kind), size) + np.arange(total, dtype=kind)]
+
+
 class WordIds:
-    """Token ids of whole texts under a tokenizer that drops white space: text.split() commutes with it.
+    """Token ids of whole texts under a tokenizer that lower-cases, drops white space and marks each pre-token's last id.
 
-    The ids of all words known to a worker lie in one array; a text is a gather of ranges from it."""
+    Texts are cut at ASCII white space and their distinct words are looked up, chunk by chunk. A word of letters and closing marks is two parts, and any other word
+    is one; the ids of all parts known to a worker lie in one array, and a text is a gather of ranges from it. Parts of
+    letters are single pre-tokens, so many are encoded as one text and told apart by the marked ids; the others go
+    through the library one by one."""
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.special = _specials(self.tok)
-        self.at = _Numbers()
-        self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        suffix = json.loads(self.tok.to_str())["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.special = sorted({s[:2] for s in _specials(self.tok)})
+        self.words, self.parts = _Numbers(), _Numbers([b""])
+        self.hits, self.pair = np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
-        """Keep the half of the words that was used most."""
-        words = list(self.at)
+        """Keep the half of the words that was used most, and their parts."""
         keep = np.sort(np.argpartition(-self.hits, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
-        start, size = self.start[keep], self.size[keep]
-        total = np.concatenate([[0], np.cumsum(size)])
-        self.ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        self.at = _Numbers({words[k]: i for i, k in enumerate(keep.tolist())})
-        self.start, self.size, self.hits = total[:-1], size, self.hits[keep] // 2
-
-    def _add(self, words: list[str]) -> None:
-        """Ids of words that were just numbered, in that order."""
-        cut = {w: (b, w[len(b) :]) for w in words if (b := w.rstrip(_TAIL)) != w and _plain(b)}
-        whole = [w for w in words if w not in cut]
-        old = len(self.start)
-        parts = {x for bt in cut.values() for x in bt}.difference(whole)
-        known = {x: self.ids[self.start[i] : self.start[i] + self.size[i]].tolist() for x in parts if (i := self.at.get(x, old)) < old}
-        parts = whole + [x for x in parts if x not in known]
-        ids = known | dict(zip(parts, (e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)), strict=True))
-        encoded = [ids[cut[w][0]] + ids[cut[w][1]] if w in cut else ids[w] for w in words]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum()))
+        words, parts = list(self.words), list(self.parts)
+        used, pair = np.unique(np.append(self.pair[keep], 0), return_inverse=True)
+        size = self.size[used]
+        self.ids = _ranges(self.ids, self.start[used], size)
+        self.start, self.size, self.hits = np.cumsum(size) - size, size, self.hits[keep] // 2
+        self.pair = pair[:-1].reshape(-1, 2).astype(np.int32)
+        self.words, self.parts = _Numbers([words[k] for k in keep.tolist()]), _Numbers([parts[k] for k in used.tolist()])
+
+    def _encode(self, parts: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """Ids of parts, one after the other, and how many each has."""
+        texts = [p.decode() for p in parts]
+        letters = [i for i, t in enumerate(texts) if _plain(t)]
+        ids, ends, size = [], [], np.zeros(len(parts), np.int64)
+        for a in range(0, len(letters), _AT_ONCE):
+            some = letters[a : a + _AT_ONCE]
+            got = self.tok.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids
+            at = np.flatnonzero(self.last[got])
+            if len(at) != len(some):  # a letter that the tokenizer takes apart: one by one
+                each = [e.ids for e in self.tok.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
+                got, at = list(chain.from_iterable(each)), np.cumsum(list(map(len, each))) - 1
+            size[some] = np.diff(at, prepend=-1)
+            ids.append(np.array(got, np.uint32))
+            ends.append(np.array(some))
+        others = [i for i, n in enumerate(size.tolist()) if not n]
+        for i, e in zip(others, self.tok.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+            size[i] = len(e.ids)
+            ids.append(np.array(e.ids, np.uint32))
+            ends.append(np.array([i]))
+        order = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        start = np.zeros(len(parts), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        return _ranges(flat, start, size), size
+
+    def _append(self, ids: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _close(self, id_: int) -> int:
+        """Number of a word that stands for this one id; no word of a text holds a space."""
+        key = b" %d" % id_
+        if key not in self.words:
+            self.pair = np.concatenate([self.pair, np.array([[self.parts[key], 0]], np.int32)])
+            self.hits = np.append(self.hits, 0)
+            self._append(np.array([id_], np.uint32), np.ones(1, np.int64))
+            self.words[key]
+            self.words.new, self.parts.new = [], []
+        return self.words[key]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Parts and ids of words that were just numbered, in that order."""
+        parts, pair = self.parts, []
+        for w in words:
+            b = w.rstrip(_MARKS)
+            if len(b) < len(w) and (b.isalpha() or _plain(b.decode())):
+                pair += parts[b], parts[w[len(b) :]]
+            else:
+                pair += parts[w], 0
+        self._append(*self._encode(parts.new))
+        parts.new = []
+        self.pair = np.concatenate([self.pair, np.array(pair, np.int32).reshape(-1, 2)])
         self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-        self.ids = np.concatenate([self.ids, flat])
 
-    def of(self, texts: list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text; `close` is put after each text."""
-        if len(self.at) > CACHE_WORDS:
+    def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
+        if len(self.words) > CACHE_WORDS:
             self._forget()
-        split = []
-        for t in texts:
-            if _ODD_SPACE.search(t):
-                split.append([t])
-            elif t.isascii() and not any(s[:2] in t for s in self.special):
-                split.append(t.lower().split())
-            else:
-                split.append(t.split())
-        mark = None
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if self.at.new:
-            self._add(self.at.new)
-            self.at.new = []
-        self.hits += np.bincount(index, minlength=len(self.hits))
-        ends = np.cumsum(counts)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lower = pc.ascii_lower(texts)
+        # Special strings are matched as they are written, so texts that may hold one aren't lower-cased.
+        special = [pc.match_substring(texts, s) for s in self.special]
+        if special and any(pc.any(m).as_py() for m in special):
+            lower = pc.if_else(functools.reduce(pc.or_, special), texts, lower)
+        split = pc.ascii_split_whitespace(lower)
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        number = np.fromiter(map(self.words.__getitem__, coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        self.hits[number] += np.bincount(at, minlength=len(number))
+        # First the ids of the chunk's distinct words, one after the other, then a range of them for each word.
         if close is not None:
-            mark = len(self.ids)
-            index = np.insert(index, ends, -1)
-            ends = ends + np.arange(1, len(texts) + 1)
-        starts = np.where(index < 0, mark or 0, self.start[index] if len(self.start) else 0)
-        sizes = np.where(index < 0, 1, self.size[index] if len(self.size) else 0)
-        pool = self.ids if close is None else np.append(self.ids, np.uint32(close))
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = pool[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
-        return flat, np.diff(total[np.concatenate([[0], ends])])
+            number = np.append(number, self._close(close))
+            words, at = at, np.full(len(at) + len(texts), len(number) - 1, np.int32)
+            at[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)] = words
+            counts = counts + 1
+        part = self.pair[number]
+        size = self.size[part]
+        own = _ranges(self.ids, self.start[part].reshape(-1), size.reshape(-1))
+        size = size.sum(axis=1)
+        start, size = (np.cumsum(size) - size)[at], size[at]
+        per_word = np.concatenate([[0], np.cumsum(size)])
+        return _ranges(own, start, size), np.diff(per_word[np.concatenate([[0], np.cumsum(counts)])])
