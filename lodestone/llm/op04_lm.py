@@ -7,9 +7,11 @@ token once, and go back to the blocks in the same packed form. Bigrams of the le
 The filter holds quantised counts: an n-gram of count c enters with every level from 0 to floor(log_BASE(c)), and its
 count is read by probing rising levels until one is missing. It is never in one place: each shard of the bigrams' hash
 space builds its own part, ENTRY_BITS for each entry, probes it for the bigrams of every block, held-out texts too, and
-sends the levels back. So the filter grows with the corpus, without a ceiling, and its parts don't grow. Unigrams'
-counts are at hand in each block, and are quantised there. The model is
-P(w | v) = BIGRAM * c(v w) / c(v) + (1 - BIGRAM) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with quantised counts.
+sends the levels back. So the filter grows with the corpus, without a ceiling, and its parts don't grow. A level stands
+for the least count that has it, so what is read is never above the true count, false positives aside. Unigrams' exact
+counts are at hand in each block. The model draws each context's bigrams towards the unigrams:
+P(w | v) = (q(v w) + PRIOR * P(w)) / (c(v) + PRIOR), with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and q the count read
+from the filter. For every v, known or not, the sum over all learned words and one for all others is at most 1.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .common import byte_chunks, written
 #: With so many bits an entry, 1 of 5,000 absent n-grams reads as held.
 ENTRY_BITS, PROBES, BASE = 32, 4, 1.5
 SEGMENTS = 64
-BIGRAM = 0.15
+#: So many occurrences of a context weigh as much as the unigrams. On held-out texts of 10,000 documents a token has
+#: -4.28 (log10) under unigrams, -3.80 with 12 and -3.69 with 128, the best; but 128 hides the pairs of small corpora.
+PRIOR = 12
 BLOCK_BYTES = 8 << 20
 #: Entries of packed arrays that one shard sums, and bits of a bigram's hash inside its shard.
 SHARD_ENTRIES, SHARD_BITS = 2 << 20, 40
@@ -48,9 +52,8 @@ def level_of(c: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(c, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: What a level stands for: the middle of the whole numbers that have it.
-_lows = np.ceil(BASE ** np.arange(65) - 1e-9)
-COUNT_AT = np.maximum(_lows[:-1], (_lows[:-1] + _lows[1:] - 1) / 2)
+#: What a level stands for: the least whole number that has it.
+COUNT_AT = np.ceil(BASE ** np.arange(64) - 1e-9)
 
 
 def quantised(held: np.ndarray) -> np.ndarray:
@@ -58,6 +61,11 @@ def quantised(held: np.ndarray) -> np.ndarray:
     return np.append(0.0, COUNT_AT)[held]
 
 
+def smoothed(pair: np.ndarray, before: np.ndarray, own: np.ndarray, below: float) -> np.ndarray:
+    """P(w | v) from the count of v w that the filter gives, the exact counts of v and w, and N + 0.1 (V + 1)."""
+    return (np.minimum(pair, np.minimum(before, own)) + PRIOR * (own + 0.1) / below) / (before + PRIOR)
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
@@ -307,10 +315,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         words, ends = _unpack(r["words"], np.uint32), np.frombuffer(r["ends"], np.int64)
         starts = np.concatenate([[0], ends[:-1]])
         base = np.log10((c + 0.1) / below)[words]
-        uni = quantised(np.where(c > 0, level_of(c) + 1, 0))
         _, at, v = _pairs(r, bb)
-        p = BIGRAM * np.minimum(1, quantised(both)[at] / np.maximum(uni[v], 1)) + (1 - BIGRAM) * np.minimum(1, (uni[words] + 0.1) / below)
-        logp = np.log10(p)
+        logp = np.log10(smoothed(quantised(both)[at], c[v], c[words], below))
         add = lambda x: np.add.reduceat(x, starts)
         ids = np.frombuffer(r["ids"], np.int64)
         return pa.table({

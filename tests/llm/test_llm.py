@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -140,15 +141,15 @@ def test_language_model(spark, tables, odd):
 
 
 def brute_scores(rows):
-    """Sum of log10 P(w | v) for each text (id, words, held) from quantised counts."""
+    """Sum of log10 P(w | v) for each text (id, words, held) from counts of pairs rounded down to their levels."""
     end, uni, two = b"\n", Counter(), Counter()
     for _, ws, held in rows:
         if not held:
             uni.update(ws)
             two.update(zip([end, *ws], ws, strict=False))
-    q = lambda c: float(op04_lm.COUNT_AT[op04_lm.level_of(np.array([c]))[0]]) if c else 0.0
+    q = lambda c: max((x for x in (int(np.ceil(1.5**k - 1e-9)) for k in range(40)) if x <= c), default=0)
     below = sum(uni.values()) + 0.1 * (len(uni) + 1)
-    p = lambda v, w: op04_lm.BIGRAM * min(1, q(two[v, w]) / max(q(uni[v]), 1)) + (1 - op04_lm.BIGRAM) * min(1, (q(uni[w]) + 0.1) / below)
+    p = lambda v, w: (q(two[v, w]) + 12 * (uni[w] + 0.1) / below) / (uni[v] + 12)
     return {i: sum(np.log10(p(v, w)) for v, w in zip([end, *ws], ws, strict=False)) for i, ws, _ in rows}
 
 
@@ -177,6 +178,32 @@ def test_bigrams_seen_once_count(spark):
     assert all(got[i].score == pytest.approx(want[i]) for i in want)
 
 
+def test_probabilities_sum_to_at_most_one(tables):
+    """Over all learned words and one for the others, after every context: common, rare and never learned."""
+    end, uni, two = b"\n", Counter(), Counter()
+    for t in tables["documents"].text[:60]:
+        ws = [*t.encode().lower().split(), end]
+        uni.update(ws)
+        two.update(zip([end, *ws], ws, strict=False))
+    words = sorted(uni)
+    hashed = {w: np.uint64(xxhash.xxh64_intdigest(w)) for w in [*words, b"never learned"]}
+    key = lambda v, ws: op04_lm.bigram_keys(np.array([hashed[v]]), np.array([hashed[w] for w in ws]), 0)
+    pairs = sorted(two)
+    keys = np.concatenate([key(v, [w]) for v, w in pairs])
+    order = np.argsort(keys)
+    held = op04_lm.build_filter(keys[order], np.array([two[p] for p in pairs])[order])
+    below = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    own = np.array([uni[w] for w in words])
+    for v in [w for w, _ in uni.most_common(20)] + words[:20] + [b"never learned"]:
+        read = held.counts(key(v, words))
+        p = op04_lm.smoothed(read, np.full(len(words), uni[v]), own, below)
+        unknown = op04_lm.smoothed(np.zeros(1), np.array([uni[v]]), np.zeros(1), below)
+        wrong = 5 * len(words) / 5000 / (uni[v] + op04_lm.PRIOR)  # 1 of 5,000 absent pairs reads as held
+        assert 0.3 < p.sum() + unknown[0] <= 1 + wrong
+        exact = op04_lm.smoothed(np.minimum(read, [two[v, w] for w in words]), np.full(len(words), uni[v]), own, below)
+        assert exact.sum() + unknown[0] <= 1 + 1e-9
+
+
 def test_bloom_counts():
     keys = np.random.default_rng(0).integers(1, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
     n = np.random.default_rng(1).integers(1, 500, 3000)
