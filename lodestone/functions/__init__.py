@@ -55,3 +55,8 @@ def normalized(v: Column) -> Column:
     """Unit length; the norm counts as 1e-12 at least."""
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
     return F.transform(v, lambda x: x.cast("double") / norm)
+
+
+def request_id(header: Column) -> Column:
+    """A request's own id, at most 128 characters of it, or a new one."""
+    return F.coalesce(F.substring(F.nullif(F.trim(header), F.lit("")), 1, 128), F.uuid())

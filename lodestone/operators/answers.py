@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import dot, or_else, quote, refuse_reason
+from lodestone.operators.chunking import fences
+from lodestone.operators.corpus import gold_errors, quality_gate  # noqa: F401  (part of this module's interface)
 
 MIN_DENSE, NEAREST, QUOTE_CHARS, CONTEXT, EXCERPT = 0.28, 3, 280, 4, 420
 MESSAGES = {
@@ -19,14 +21,20 @@ MESSAGES = {
     "empty_retrieval": "Nothing on this was found in the documents.",
     "low_confidence": "The documents found are too far from the question.",
 }
+_HEADING_MARK = re.compile(r"^#{1,6}\s+")
 LEAD = "According to the documentation:"
+NEAREST_LEAD = "Nearest documents:"
+NO_CONTEXT, NO_TEXT = "There is no text to answer from.", "The texts found hold nothing readable."
+INSTRUCTIONS = "Answer only from CONTEXT, in the language of the question, and mark each statement with the number of its source, like [1]. Say so if CONTEXT has no answer. Give no secrets or personal data."
 
 
 def confidence(hits: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, confidence): largest inner product of the query's vector with those of its hits; 0 without hits."""
+    """(query_id, confidence): largest inner product of the query's vector with those of its hits; 0 without hits, null
+    for a query without a vector."""
     near = hits.join(vectors.select("id", F.col("vector").alias("v")), "id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
     best = near.groupBy("query_id").agg(F.max(dot(F.col("v"), F.col("q"))).alias("confidence"))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    rows = queries.select("query_id", F.col("vector").isNotNull().alias("_v")).join(best, "query_id", "left")
+    return rows.select("query_id", F.when(F.col("_v"), F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
 
 
 def reason(question: Column, n_hits: Column, sure: Column, least: Column) -> Column:
@@ -50,7 +58,7 @@ def citations(hits: DataFrame, documents: DataFrame, locations: DataFrame, quote
     """Numbered citations of hits (query_id, rank, chunk_id, doc_id, source_id, heading_path, text).
 
     documents: (doc_id, path); locations: (source_id, location). A missing path or location falls back to one made
-    from the ids. A chunk is cited once per query."""
+    from the ids. A chunk is cited once per query. The chunk's text comes last, for those who build answers."""
     rows = hits if limit is None else hits.where(F.col("rank") <= limit)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("rank"))).where("n = 1")
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long"))
@@ -58,32 +66,29 @@ def citations(hits: DataFrame, documents: DataFrame, locations: DataFrame, quote
     path = or_else(F.col("path"), F.concat_ws("/", F.lit("corpus"), "source_id", F.concat("doc_id", F.lit(".md"))))
     base = F.regexp_replace(F.coalesce("location", F.lit("")), "/+$", "")
     url = F.when(base == "", F.concat(F.lit(scheme), "doc_id")).otherwise(F.concat(base, F.lit("#"), "doc_id"))
-    return rows.select("query_id", "index", "chunk_id", "doc_id", "source_id", path.alias("path"), url.alias("url"), "heading_path", quote(F.col("text"), quote_chars).alias("quote"))
+    return rows.select("query_id", "index", "chunk_id", "doc_id", "source_id", path.alias("path"), url.alias("url"), "heading_path", quote(F.col("text"), quote_chars).alias("quote"), "text")
 
 
 def excerpt_of(text: str, limit: int = EXCERPT) -> str:
-    """The first lines of a chunk without headings, rules and blank lines, up to the limit; a fence stays whole."""
-    out, size, fence = [], 0, None
-    for line in text.splitlines():
-        if line.lstrip().startswith("```"):
-            if fence is None:
-                fence = [line]
-                continue
-            out.append("\n".join([*fence, line]))
-            size, fence = size + len(out[-1]), None
-        elif fence is not None:
-            fence.append(line)
-            continue
-        elif line.strip() and line.strip() != "---":
-            out.append(re.sub(r"^#{1,6}\s+", "", line).strip())
-            size += len(out[-1])
-        if size >= limit:
-            break
-    else:
-        if fence is not None:
-            out.append("\n".join(fence[:8]))
-    joined = "\n".join(out)
-    return joined if len(joined) <= limit or "```" in joined else joined[:limit].rstrip() + "…"
+    """The first lines of a chunk, stripped, without heading marks, and without blank lines and those that start with
+    `---`: up to the line with which they hold `limit` characters, then clipped. Fenced blocks on the way come whole;
+    of one that isn't closed, eight lines."""
+    lines = text.splitlines()
+    blocks = {f.start: f for f in fences(lines)}
+    fenced = {i for f in blocks.values() for i in f}
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        if i in blocks:
+            own = [x.rstrip() for x in lines[i : blocks[i].stop]]
+            shut = len(own) > 1 and own[-1].lstrip().startswith("```")
+            own[0], own[-1] = own[0].strip(), own[-1].strip() if shut else own[-1]
+            out.append("\n".join(own if shut else own[:8]))
+        elif i not in fenced and (plain := _HEADING_MARK.sub("", line.strip())) and not plain.startswith("---"):
+            out.append(plain)
+            if sum(map(len, out)) >= limit:
+                break
+    joined = "\n".join(out).strip()
+    return joined if len(joined) <= limit else joined[:limit].rstrip() + "…"
 
 
 def excerpt(text: Column) -> Column:
@@ -97,32 +102,116 @@ def excerpt(text: Column) -> Column:
 
 
 def extractive(cited: DataFrame, excerpt_column: Callable[[Column], Column] = excerpt, most: int = CONTEXT) -> DataFrame:
-    """(query_id, answer): the lead, then `**heading** [n]` and an excerpt for each of the first citations (with text)."""
-    rows = cited.where(F.col("index") <= most).withColumn("block", F.concat(F.lit("**"), F.array_join("heading_path", " / "), F.lit("** ["), F.col("index").cast("string"), F.lit("]\n"), excerpt_column(F.col("text"))))
-    blocks = F.transform(F.array_sort(F.collect_list(F.struct("index", "block"))), lambda x: x["block"])
-    return rows.groupBy("query_id").agg(F.array_join(F.concat(F.array(F.lit(LEAD)), blocks), "\n\n").alias("answer"))
+    """(query_id, answer): the lead, then `**heading** [n]` and an excerpt for each of the first citations (with text);
+    citations without readable text are left out, and a query with no other says so."""
+    rows = cited.where(F.col("index") <= most).withColumn("_e", excerpt_column(F.col("text")))
+    block = F.concat(F.lit("**"), _heading(), F.lit("** ["), F.col("index").cast("string"), F.lit("]\n"), F.col("_e"))
+    rows = rows.withColumn("block", F.when(F.coalesce("_e", F.lit("")) != "", block))
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("index", "block")))).alias("b"))
+    full = F.array_join(F.concat(F.array(F.lit(LEAD)), F.transform("b", lambda x: x["block"])), "\n\n")
+    return lists.select("query_id", F.when(F.size("b") > 0, full).otherwise(F.lit(NO_TEXT)).alias("answer"))
 
 
-def generator(backend: str, complete: Callable[[str], str] | None = None):
-    """extractive, or a column function that sends each prompt to `complete` (a client made by the caller)."""
+def _heading() -> Column:
+    names = F.array_join("heading_path", " / ")
+    return or_else(names, F.col("doc_id"))
+
+
+def prompts(cited: DataFrame, queries: DataFrame, most: int = CONTEXT) -> DataFrame:
+    """(query_id, prompt): the question, and the numbered texts of its first citations, for a language model."""
+    block = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] doc_id="), F.col("doc_id"), F.lit(" path="), F.coalesce("path", F.lit("")), F.lit(" ("), _heading(), F.lit(")\n"), F.coalesce("text", F.lit("")))
+    rows = cited.where(F.col("index") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", block.alias("block")))).alias("b"))
+    context = F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")
+    return queries.join(rows, "query_id").select("query_id", F.concat(F.lit(f"{INSTRUCTIONS}\n\nQUESTION:\n"), F.col("question"), F.lit("\n\nCONTEXT:\n"), context).alias("prompt"))
+
+
+def generate(cited: DataFrame, queries: DataFrame, backend: str = "extractive", make_client: Callable[[], Callable[[list[str]], list[str]]] | None = None, most: int = CONTEXT) -> DataFrame:
+    """(query_id, answer) by the backend: extractive, or openai / llm, which send prompts() through a client.
+
+    make_client is called once in each task and returns a function from prompts to answers; it holds keys, retries and
+    time limits. Batches are those of Arrow."""
     if backend == "extractive":
-        return extractive
+        return extractive(cited, most=most)
     if backend not in ("openai", "llm"):
         raise ValueError(f"unknown generation backend: {backend}")
-    if complete is None:
+    if make_client is None:
         raise RuntimeError("this backend needs a client")
-    return F.pandas_udf(lambda prompts: prompts.map(complete), "string")
+    asked = prompts(cited, queries, most)
 
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for batch in batches:
+            yield pd.DataFrame({"query_id": batch["query_id"], "answer": [a.strip() for a in client(batch["prompt"].tolist())]})
 
-def ask(hits: DataFrame, queries: DataFrame, sure: DataFrame, cited: DataFrame, least: float = MIN_DENSE) -> DataFrame:
-    """(query_id, refuse, refuse_reason, confidence, answer, n_citations) for every query, refused ones included."""
+    return asked.mapInPandas(complete, f"query_id {asked.schema['query_id'].dataType.simpleString()}, answer string")
+
+
+def decide(hits: DataFrame, queries: DataFrame, sure: DataFrame, least: float | Column = MIN_DENSE) -> DataFrame:
+    """(query_id, question, confidence, refuse_reason) for every query, those without hits included."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
-    answer = extractive(cited)
-    counts = cited.groupBy("query_id").agg(F.count("*").alias("n_citations"))
-    rows = queries.select("query_id", "question").join(n, "query_id", "left").join(sure, "query_id", "left").join(answer, "query_id", "left").join(counts, "query_id", "left")
-    rows = rows.withColumn("refuse_reason", reason(F.col("question"), F.col("n_hits"), F.col("confidence"), F.lit(least)))
+    rows = queries.join(n, "query_id", "left").join(sure.select("query_id", "confidence"), "query_id", "left")
+    why = reason(F.col("question"), F.col("n_hits"), F.col("confidence"), least if isinstance(least, Column) else F.lit(least))
+    return rows.select("query_id", "question", "confidence", why.alias("refuse_reason"))
+
+
+def cite(hits: DataFrame, decisions: DataFrame, documents: DataFrame, locations: DataFrame, nearest: int = NEAREST, context: int = CONTEXT, quote_chars: int = QUOTE_CHARS) -> DataFrame:
+    """citations() of what each query shows: an answered one its first `context` hits, a refused one the best hits of
+    its first `nearest` documents."""
+    rows = hits.join(decisions.select("query_id", F.col("refuse_reason").isNotNull().alias("_refused")), "query_id")
+    best = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank")) == 1
+    rows = rows.withColumn("_best", best & (F.coalesce("doc_id", F.lit("")) != ""))
+    order = F.sum(F.col("_best").cast("int")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_n", order).where((F.col("_refused") & F.col("_best") & (F.col("_n") <= nearest)) | (~F.col("_refused") & (F.col("rank") <= context)))
+    return citations(rows.drop("_refused", "_best", "_n"), documents, locations, quote_chars)
+
+
+def ask(hits: DataFrame, queries: DataFrame, sure: DataFrame, cited: DataFrame | None = None, least: float | Column = MIN_DENSE, documents: DataFrame | None = None, locations: DataFrame | None = None, nearest: int = NEAREST, context: int = CONTEXT, backend: str = "extractive", make_client: Callable | None = None) -> DataFrame:
+    """One response per query, refused ones included: query_id, refuse, refuse_reason, confidence, answer, n_citations,
+    citations (array of structs, by index), retrieved (ids of the chunks found, by rank).
+
+    Refusals come after retrieval, so they still carry citations: the nearest documents, which the answer lists.
+    cited: citations made elsewhere (query_id, index, heading_path, text, ...), in place of cite()'s."""
+    decisions = decide(hits, queries, sure, least)
+    if cited is None:
+        cited = cite(hits, decisions, documents, locations, nearest, context)
+    shown = [c for c in ("index", "chunk_id", "doc_id", "source_id", "path", "url", "heading_path", "quote") if c in cited.columns]
+    answers = generate(cited.join(decisions.where("refuse_reason is null").select("query_id"), "query_id", "left_semi"), queries, backend, make_client, context)
+    lists = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("citations"))
+    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
+    rows = decisions.join(answers, "query_id", "left").join(lists, "query_id", "left").join(found, "query_id", "left")
     refused = F.col("refuse_reason").isNotNull()
-    return rows.select("query_id", refused.alias("refuse"), "refuse_reason", "confidence", F.when(refused, message(F.col("refuse_reason"))).otherwise(F.col("answer")).alias("answer"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
+    text = message(F.col("refuse_reason"))
+    if "path" in shown:
+        lines = F.array_join(F.transform("citations", lambda c: F.concat(F.lit("- ["), c["index"].cast("string"), F.lit("] "), or_else(c["path"], c["doc_id"]))), "\n")
+        text = F.when(F.size("citations") > 0, F.concat(text, F.lit(f"\n\n{NEAREST_LEAD}\n"), lines)).otherwise(text)
+    return rows.select(
+        "query_id", refused.alias("refuse"), "refuse_reason", "confidence", F.when(refused, text).otherwise(F.coalesce("answer", F.lit(NO_CONTEXT))).alias("answer"),
+        F.when(F.col("citations").isNull(), 0).otherwise(F.size("citations")).cast("long").alias("n_citations"), "citations", "retrieved",
+    )
+
+
+def citation_ok(refuse: Column, why: Column, citations: Column) -> Column:
+    """Every citation has a path; none at all is right only for refusals of empty questions or results."""
+    none = citations.isNull() | (F.size(citations) == 0)
+    return F.when(none, refuse & F.coalesce(why.isin("empty_retrieval", "empty_query"), F.lit(False))).otherwise(F.forall(citations, lambda c: F.coalesce(c["path"], F.lit("")) != ""))
+
+
+def grounded_ok(refuse: Column, citations: Column, relevant: Column) -> Column:
+    """A relevant document is cited; true for refusals, and for cases without relevant documents."""
+    wanted = F.coalesce(relevant, F.array().cast("array<string>"))
+    cited = F.transform(F.coalesce(citations, F.lit(None)), lambda c: c["doc_id"].cast("string"))
+    return refuse | (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(cited, wanted), F.lit(False))
+
+
+def ask_cases(responses: DataFrame, cases: DataFrame) -> DataFrame:
+    """cases (query_id, expected_behavior, relevant_doc_ids) with refuse, refuse_reason, refuse_ok, citation_ok,
+    grounded_ok and the cited documents."""
+    rows = cases.join(responses.select("query_id", "refuse", "refuse_reason", "citations"), "query_id")
+    r, c = F.col("refuse"), F.col("citations")
+    return rows.select(
+        "query_id", "expected_behavior", "refuse", "refuse_reason", ((F.col("expected_behavior") != "refuse") | r).alias("refuse_ok"), citation_ok(r, F.col("refuse_reason"), c).alias("citation_ok"),
+        grounded_ok(r, c, F.col("relevant_doc_ids")).alias("grounded_ok"), F.transform(c, lambda x: x["doc_id"]).alias("cited_doc_ids"),
+    )
 
 
 def rate(hit: Column, of: Column, empty: float) -> Column:
@@ -130,15 +219,19 @@ def rate(hit: Column, of: Column, empty: float) -> Column:
     return F.when(F.count_if(of) == 0, F.lit(empty)).otherwise(F.count_if(of & hit) / F.count_if(of))
 
 
-def ask_rates(cases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """refuse_rate, citation_contract_rate, grounded_rate, answered_rate, grounded_among_answered for cases
-    (expected_behavior, refuse, citation_ok, grounded_ok)."""
+def ask_rates(cases: DataFrame, by: tuple[str, ...] = (), gates: tuple[float, float, float] = (0.9, 1.0, 0.8)) -> DataFrame:
+    """Rates of cases (expected_behavior, refuse, citation_ok, grounded_ok), and whether they pass the gates: n_refuse,
+    n_answer, refuse_rate, citation_contract_rate, grounded_rate (refusals count as grounded), answered_rate,
+    answer_refuse_rate, grounded_among_answered, refuse_ok, citation_contract_ok, grounded_ok."""
     should = F.col("expected_behavior") == "refuse"
     answers = F.col("expected_behavior") == "answer"
-    return cases.groupBy(*by).agg(
+    out = cases.groupBy(*by).agg(
+        F.count_if(should).alias("n_refuse"), F.count_if(answers).alias("n_answer"),
         rate(F.col("refuse"), should, 1.0).alias("refuse_rate"), rate(F.col("citation_ok"), F.lit(True), 0.0).alias("citation_contract_rate"), rate(F.col("grounded_ok"), answers, 1.0).alias("grounded_rate"),
-        rate(~F.col("refuse"), answers, 0.0).alias("answered_rate"), rate(F.col("grounded_ok"), answers & ~F.col("refuse"), 0.0).alias("grounded_among_answered"),
+        rate(~F.col("refuse"), answers, 1.0).alias("answered_rate"), rate(F.col("refuse"), answers, 0.0).alias("answer_refuse_rate"), rate(F.col("grounded_ok"), answers & ~F.col("refuse"), 0.0).alias("grounded_among_answered"),
     )
+    passed = zip(("refuse", "citation_contract", "grounded"), gates, strict=True)
+    return out.withColumns({f"{n}_ok": F.col(f"{n}_rate") >= g for n, g in passed})
 
 
 def first_relevant(docs: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
@@ -167,31 +260,3 @@ def markdown(runs: DataFrame, columns: tuple[str, ...]) -> str:
     """Runs as a markdown table; a sweep has a few dozen rows."""
     head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(head + ["| " + " | ".join(f"{r[c]:.3f}" if isinstance(r[c], float) else str(r[c]) for c in columns) + " |" for r in runs.select(*columns).collect()])
-
-
-def gold_errors(gold: DataFrame, sources: DataFrame) -> DataFrame:
-    """gold with `errors`: broken ids, short questions, unknown values, missing or foreign references."""
-    known = F.broadcast(sources.agg(F.collect_set("source_id").alias("known")))  # a catalog is small
-    rows = gold.join(known)
-    relevant = F.coalesce("relevant_doc_ids", F.array().cast("array<string>"))
-    check = lambda bad, text: F.when(bad, F.lit(text))
-    required = [check(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}") for c in ("id", "question", "query_type", "expected_behavior", "source_priority")]
-    errors = F.array(
-        *required, check(~F.col("id").rlike("^q-[a-z0-9-]+$"), "bad id"), check(F.length("question") < 5, "short question"),
-        check(~F.col("query_type").isin("how-to", "troubleshooting", "where-is", "concept", "policy"), "bad query_type"), check(~F.col("expected_behavior").isin("answer", "refuse"), "bad expected_behavior"),
-        check((F.col("expected_behavior") == "answer") & (F.size(relevant) == 0), "no relevant document"), check(F.col("primary_doc_id").isNotNull() & ~F.array_contains(relevant, F.col("primary_doc_id")), "primary not relevant"),
-        check(F.size(F.array_except(F.coalesce("source_ids", F.array().cast("array<string>")), "known")) > 0, "unknown source"),
-    )
-    return rows.withColumn("errors", F.array_compact(errors)).drop("known")
-
-
-def quality_gate(documents: DataFrame, chunks: DataFrame, gold_ids: DataFrame) -> DataFrame:
-    """One row: orphans (documents without chunks), missing_gold, incomplete chunks, ok."""
-    orphans = documents.join(chunks, "doc_id", "left_anti").agg(F.count("*").alias("orphans"))
-    missing = gold_ids.join(documents, "doc_id", "left_anti").agg(F.count("*").alias("missing_gold"))
-    need = ("chunk_id", "doc_id", "source_id", "text", "heading_path", "acl", "team", "priority", "language", "content_hash")
-    broken = F.lit(False)
-    for c in need:
-        broken = broken | F.col(c).isNull()
-    bad = chunks.agg(F.count_if(broken).alias("incomplete"))
-    return orphans.join(missing).join(bad).withColumn("ok", (F.col("orphans") == 0) & (F.col("missing_gold") == 0) & (F.col("incomplete") == 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,15 +10,17 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import tokens
 
 K1, B, RRF = 1.5, 0.75, 60
 TOP_K, CANDIDATES = 5, 20
-#: Queries that are broadcast at once, or make one block; vectors in one block.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
+#: Queries and query words that are broadcast at once, about; vectors multiplied at once; products held at once.
+QUERY_BLOCK, WORD_BLOCK, VECTOR_BLOCK, PRODUCTS = 1024, 500_000, 4096, 4 << 20
 
 
 def rank_by(score: Column, *ties: str | Column, name: str = "query_id") -> Column:
@@ -27,39 +30,140 @@ def rank_by(score: Column, *ties: str | Column, name: str = "query_id") -> Colum
 
 @dataclass
 class LexicalIndex:
-    """postings(term, id, tf, dl), terms(term, df), stats(n, avgdl): one row, over all documents, empty ones included."""
+    """documents(id, dl, terms, tfs): one row per document, its distinct terms in order and how often it has each;
+    terms(term, df); stats(n, avgdl): one row, over all documents, empty ones included."""
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, dl)"""
+        rows = self.documents.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        return rows.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
+
+
+def term_counts(words: Column) -> tuple[Column, Column]:
+    """(terms, tfs) of a sorted list of words: where runs of equal words start, and how long they are. Nothing is
+    exploded, so a document's terms are counted where the document lies."""
+    last = F.size(words)
+    starts = F.filter(F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    tfs = F.transform(starts, lambda i, j: (F.coalesce(F.get(starts, j + 1), last) - i).cast("long"))
+    return F.transform(starts, lambda i: F.get(words, i)), tfs
+
+
+def _statistics(documents: DataFrame) -> LexicalIndex:
+    terms = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    stats = documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return LexicalIndex(documents, terms, stats)
+
 
 def build_lexical(docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
-    split = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t"))
-    postings = split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = split.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl"))
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    """The index as plans over docs: each of its tables reads docs anew. store_lexical() writes them once."""
+    words = docs.select(F.col(key).alias("id"), F.sort_array(tokens(F.col(text))).alias("w"))
+    starts = words.select("id", "w", F.size("w").alias("dl"))
+    terms, tfs = term_counts(F.col("w"))
+    return _statistics(starts.select("id", "dl", terms.alias("terms"), tfs.alias("tfs")))
 
 
-def lexical_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score): BM25 over all documents, above 0. queries: (query_id, question); a repeated word counts twice.
+def store_lexical(index: LexicalIndex, path: str) -> LexicalIndex:
+    """The index written to a folder: documents once, terms and statistics from what was written."""
+    spark = index.documents.sparkSession
+    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    own = _statistics(spark.read.schema(index.documents.schema).parquet(f"{path}/documents"))
+    own.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    own.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return load_lexical(spark, path)
 
-    Statistics are those of the whole index, whatever is filtered later. Query words are grouped first, so the join
-    with the postings has one row per word."""
-    words = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = words.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")  # stats is one row
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighed.join(index.postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
+def load_lexical(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("documents", "terms", "stats")))
+
+
+class _Best:
+    """The k best scores of each query in this task so far; what lies below them needn't leave the task."""
+
+    def __init__(self, n: int, k: int | None):
+        self.k, self.top = k, np.full((n, k or 0), -np.inf)
 
-def _best_of(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k largest inner products of each query in a block; ties at the edge go on, and are settled by id later."""
-    s = x @ q.T
-    m = min(k, len(x))
-    least = np.partition(s, len(x) - m, axis=0)[len(x) - m]
-    at, who = np.nonzero(s >= least - 1e-9)
-    return pd.DataFrame({"query_id": names[who], "id": ids[at], "score": (x[at] * q[who]).sum(axis=1)})
+    def keep(self, scores: np.ndarray) -> np.ndarray:
+        """Which of these scores (rows, queries) may be among the k best; ties at the edge are settled later."""
+        if self.k is None:
+            return np.ones(scores.shape, bool)
+        both = np.concatenate([self.top, scores.T], axis=1)
+        self.top = np.partition(both, scores.shape[0], axis=1)[:, scores.shape[0] :]
+        least = self.top.min(axis=1)
+        return scores >= np.where(np.isfinite(least), least - 1e-9 * np.maximum(1, np.abs(least)), -np.inf)
+
+
+def _weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, term, w): how often the query has the word, times the word's weight in the whole index."""
+    words = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return words.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")  # stats is one row
+
+
+def _scorer(words: pd.DataFrame, k: int | None, k1: float, b: float):
+    """Scores of batches of the index's documents for all queries of `words`, document by document inside a task."""
+    names, who = np.unique(words["query_id"].to_numpy(), return_inverse=True)
+    terms, what = np.unique(words["term"].to_numpy().astype(str), return_inverse=True)
+    order = np.argsort(what, kind="stable")
+    who, weight = who[order], words["w"].to_numpy(float)[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(what, minlength=len(terms)))])
+    average, n = float(words["avgdl"].iloc[0]), len(names)
+    names, terms = pa.array(names), pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(n, k)
+        for batch in batches:
+            lists = batch.column("terms")
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+            doc, tf, at = doc[at >= 0], tf[at >= 0], at[at >= 0]
+            dl = batch.column("dl").to_numpy(zero_copy_only=False)[doc]
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
+            many = first[at + 1] - first[at]
+            # Slices of documents whose products, and whose table of scores, are of bounded size.
+            work = np.maximum(np.bincount(doc, many, batch.num_rows), n)
+            cut = np.flatnonzero(np.diff(np.cumsum(work) // PRODUCTS, prepend=0)).tolist()
+            for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if hi <= lo:
+                    continue
+                own = slice(*np.searchsorted(doc, [lo, hi]))
+                m = many[own]
+                posting = np.repeat(np.arange(own.start, own.stop), m)
+                query = first[at[posting]] + np.arange(len(posting)) - np.repeat(np.cumsum(m) - m, m)
+                scores = np.bincount((doc[posting] - lo) * n + who[query], part[posting] * weight[query], (hi - lo) * n).reshape(hi - lo, n)
+                row, q = np.nonzero(best.keep(scores) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("id").take(pa.array(row + lo)), pa.array(scores[row, q])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def _seats(queries: DataFrame, seats: int) -> Iterator[DataFrame]:
+    """The queries in groups by hash."""
+    for i in range(seats):
+        yield queries if seats == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(seats)) == i)
+
+
+def lexical_scores(index: LexicalIndex, queries: DataFrame, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score): BM25 above 0, of all documents, or of each query's k best. queries: (query_id, question);
+    a repeated word counts twice.
+
+    Statistics are those of the whole index, whatever is filtered later. The queries' words are grouped and broadcast
+    for about QUERY_BLOCK queries and WORD_BLOCK words at once; more are a further pass over the index. A document
+    is scored where it lies, for all queries, so no posting is shuffled, however frequent its word; a task sends only
+    what may be among the k best of its documents."""
+    spark = queries.sparkSession
+    words = _weights(index, queries)
+    size = words.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q")).first()
+    seats = max(1, -(-size["n"] // WORD_BLOCK), -(-size["q"] // QUERY_BLOCK))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.documents.schema['id'].dataType.simpleString()}, score double"
+    parts = [index.documents.select("id", "dl", "terms", "tfs").mapInArrow(_scorer(own, k, k1, b), schema) for seat in _seats(words, seats) if len(own := seat.toPandas())]
+    out = functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+    return out if k is None else out.withColumn("rank", rank_by(F.col("score"), "id")).where(F.col("rank") <= k).drop("rank")
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -69,38 +173,35 @@ def _matrix(v: pd.Series) -> np.ndarray:
 def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, most: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score): for each query its k largest inner products, zero and negative ones included.
 
-    vectors: (id, vector); queries: (query_id, vector); null vectors take no part. Up to `most` queries are broadcast
-    and vectors stay where they lie. More are dealt to blocks, as are the vectors, and each pair of blocks is one task.
-    Either way a task multiplies two blocks and returns its own best k, so no product of single rows is shuffled."""
-    spark = vectors.sparkSession
-    # Names of their own: both sides may come from one table, and a cogroup keeps no two columns that are the same.
+    vectors: (id, vector); queries: (query_id, vector); null vectors take no part. Up to `most` queries, all of one
+    length, are broadcast, and vectors stay where they lie; more queries are further passes over the vectors. A task
+    multiplies blocks and sends only what may be among the k best of its vectors."""
     queries = queries.select("query_id", F.col("vector").alias("q")).where("q is not null")
     vectors = vectors.select("id", F.col("vector").alias("v")).where("v is not null")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    few = queries.limit(most + 1).toPandas()
-    if len(few) <= most:
+
+    def scorer(few: pd.DataFrame):
         few = few.sort_values("query_id")
-        shared = spark.sparkContext.broadcast((few["query_id"].to_numpy(), _matrix(few["q"])))
+        names, q = few["query_id"].to_numpy(), _matrix(few["q"])
 
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(len(names), k)
             for batch in batches:
-                if len(batch) and len(shared.value[0]):
-                    yield _best_of(*shared.value, batch["id"].to_numpy(), _matrix(batch["v"]), k)
+                for lo in range(0, len(batch), VECTOR_BLOCK):
+                    own = batch.iloc[lo : lo + VECTOR_BLOCK]
+                    ids, x = own["id"].to_numpy(), _matrix(own["v"])
+                    row, who = np.nonzero(best.keep(x @ q.T))
+                    yield pd.DataFrame({"query_id": names[who], "id": ids[row], "score": (x[row] * q[who]).sum(axis=1)})
+
+        return multiply
 
-        best = vectors.mapInPandas(multiply, schema)
+    few = queries.limit(most + 1).toPandas()
+    if len(few) <= most:
+        groups = [few]
     else:
-        seats, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, most), (vectors, VECTOR_BLOCK)))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        left = queries.withColumn("seat", own("query_id", seats)).withColumn("block", every(blocks))
-        right = vectors.withColumn("block", own("id", blocks)).withColumn("seat", every(seats))
-
-        def pair(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(x):
-                return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            return _best_of(q["query_id"].to_numpy(), _matrix(q["q"]), x["id"].to_numpy(), _matrix(x["v"]), k)
-
-        best = left.groupBy("seat", "block").cogroup(right.groupBy("seat", "block")).applyInPandas(pair, schema)
+        groups = (g.toPandas() for g in _seats(queries, -(-queries.count() // most)))
+    parts = [vectors.mapInPandas(scorer(g), schema) for g in groups if len(g)]
+    best = functools.reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     return best.withColumn("rank", rank_by(F.col("score"), "id")).where(F.col("rank") <= k).drop("rank")
 
 
@@ -225,7 +326,9 @@ def search(lexical: LexicalIndex | None, vectors: DataFrame | None, meta: DataFr
         reach = vectors.join(allow, "id", "left_semi") if allow is not None and overfetch is None else vectors
         dense = cut(dense_scores(reach, queries.select("query_id", "vector"), deep))
     if mode != "dense":
-        lexical_rank = cut(lexical_scores(lexical, queries.select("query_id", "question")))
+        if allow is not None and overfetch is None:
+            lexical = LexicalIndex(lexical.documents.join(allow, "id", "left_semi"), lexical.terms, lexical.stats)
+        lexical_rank = cut(lexical_scores(lexical, queries.select("query_id", "question"), deep))
     if mode == "hybrid":
         rows = fuse(dense, lexical_rank, rrf_k)
     else:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import OUT_OF_SCOPE, SECRET, TOKEN, clip, content_hash, dot, quote, refuse_reason, tokens
+from lodestone.functions import OUT_OF_SCOPE, SECRET, TOKEN, clip, content_hash, dot, normalized, quote, refuse_reason, tokens
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
+from lodestone.operators import corpus, experiments, indexing
 from lodestone.operators import retrieval as R
+from lodestone.session import shared_dir
 from lodestone.sources import frontmatter
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,18 +51,19 @@ DOCS = f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in META.items())} FROM doc
 
 @query(f"SELECT doc_id, source AS source_id, priority, team, acl FROM {DOCS} WHERE priority IN ('p0', 'p1')")
 def scope_filter(spark, d):
-    return with_meta(read(spark, d, "documents")).where("priority IN ('p0', 'p1') AND priority <> 'exclude'").selectExpr("doc_id", "source AS source_id", "priority", "team", "acl")
+    return corpus.in_scope(with_meta(read(spark, d, "documents")), ("p0", "p1", "exclude")).selectExpr("doc_id", "source AS source_id", "priority", "team", "acl")
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE priority = 'p0') AS BIGINT) AS in_scope, CAST(count(*) FILTER (WHERE priority <> 'p0') AS BIGINT) AS skipped FROM {DOCS}")
 def scope_skip_counts(spark, d):
-    p0 = F.col("priority") == "p0"
-    return with_meta(read(spark, d, "documents")).agg(F.count("*").alias("total"), F.count_if(p0).alias("in_scope"), F.count_if(~p0).alias("skipped"))
+    docs = read(spark, d, "documents")
+    catalog = with_meta(docs.select("source").distinct()).withColumnRenamed("source", "source_id")
+    return corpus.scope_counts(docs.withColumnRenamed("source", "source_id"), corpus.in_scope(catalog, ("p0",)))
 
 
 @query("SELECT source AS source_id, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source")
 def docs_by_source(spark, d):
-    return read(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("n")).orderBy("source_id")
+    return corpus.counts_by_source(read(spark, d, "documents").withColumnRenamed("source", "source_id"))
 
 
 @query(f"SELECT doc_id, source AS source_id, lang AS language, priority, team, acl, CAST(length(text) AS BIGINT) AS char_count FROM {DOCS} WHERE priority <> 'exclude'")
@@ -87,31 +90,35 @@ def dedupe_report(spark, d):
     return read(spark, d, "documents").agg(F.count("*").alias("rows_in"), F.countDistinct(h).alias("rows_out"), (F.count("*") - F.countDistinct(h)).alias("deduped"))
 
 
-@query("SELECT doc_id, concat('Title of ', CAST(doc_id AS VARCHAR)) AS title, lang AS language, CAST(length(text) + 1 AS BIGINT) AS body_chars FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, concat('Title of ', CAST(doc_id AS VARCHAR)) AS title, coalesce(lang, '') AS language, CAST(length(coalesce(text, '')) + 1 AS BIGINT) AS body_chars FROM documents")
 def frontmatter_parse(spark, d):
-    raw = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit('\ntitle: "Title of '), F.col("doc_id"), F.lit('"\nlanguage: '), F.col("lang"), F.lit("\n---\n\n"), F.col("text"), F.lit("\n\n"))
+    raw = F.concat(F.lit("---\nid: "), F.col("doc_id"), F.lit('\ntitle: "Title of '), F.col("doc_id"), F.lit('"\nlanguage: '), F.coalesce("lang", F.lit("")), F.lit("\n---\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
     fields, body = frontmatter(F.col("raw"))
-    rows = read(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", fields.alias("f"), body.alias("body")).where("body IS NOT NULL")
+    rows = read(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", fields.alias("f"), body.alias("body"))
     return rows.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["language"].alias("language"), F.length("body").cast("long").alias("body_chars"))
 
 
-def _threads(spark, d):
-    turns = read(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(F.lit("## turn "), F.col("turn"), F.lit("\n"), F.col("text")).alias("t"))
-    joined = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("x"))
-    return joined.select("conv_id", F.concat(F.lit("# conversation "), F.col("conv_id"), F.lit("\n"), F.array_join(F.transform("x", lambda s: s["t"]), "\n")).alias("text"))
+def _turns(spark, d, body=lambda text: text):
+    """Each turn as markdown of its own under the headings it has in its conversation: no conversation is gathered."""
+    text = F.concat(F.lit("# conversation "), F.col("conv_id"), F.lit("\n## turn "), F.col("turn"), F.lit("\n"), body(F.coalesce("text", F.lit(""))))
+    return read(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
-@query("""SELECT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR), ' > turn ', CAST(turn AS VARCHAR)) AS heading, CAST(length(concat('## turn ', CAST(turn AS VARCHAR), chr(10), regexp_replace(text, '\\s+$', ''))) AS BIGINT) AS n_chars FROM conversations WHERE text IS NOT NULL
-UNION ALL SELECT DISTINCT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR)), CAST(length(concat('# conversation ', CAST(conv_id AS VARCHAR))) AS BIGINT) FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR), ' > turn ', CAST(turn AS VARCHAR)) AS heading, CAST(length(regexp_replace(concat('## turn ', CAST(turn AS VARCHAR), chr(10), coalesce(text, '')), '\\s+$', '')) AS BIGINT) AS n_chars FROM conversations
+UNION ALL SELECT DISTINCT conv_id, concat('conversation ', CAST(conv_id AS VARCHAR)), CAST(length(concat('# conversation ', CAST(conv_id AS VARCHAR))) AS BIGINT) FROM conversations""")
 def section_split(spark, d):
-    parts = _threads(spark, d).select("conv_id", F.explode(C.split_markdown(1 << 30, 0)("text")).alias("p"))
-    return parts.select("conv_id", F.array_join("p.heading_path", " > ").alias("heading"), F.length("p.text").cast("long").alias("n_chars"))
+    """Sections of all turns; the conversation's own heading, which every turn repeats, counts once."""
+    parts = _turns(spark, d).select("conv_id", F.explode(C.split_markdown(1 << 30, 0)("text")).alias("p"))
+    rows = parts.select("conv_id", F.array_join("p.heading_path", " > ").alias("heading"), F.length("p.text").cast("long").alias("n_chars"), (F.size("p.heading_path") == 1).alias("top"))
+    return rows.where("not top").drop("top").unionByName(rows.where("top").drop("top").distinct())
 
 
 @query()
 def fence_safe_packing(spark, d):
-    parts = _threads(spark, d).select("conv_id", F.posexplode(C.split_markdown(600, 80)("text")).alias("i", "p"))
-    return parts.select("conv_id", "i", F.array_join("p.heading_path", " > ").alias("heading"), F.length("p.text").cast("long").alias("n_chars"))
+    """Turns with a fenced block between two copies of their text, in parts of at most about 600 characters."""
+    fenced = lambda t: F.concat(t, F.lit("\n\n```text\n"), F.substring(t, 1, 300), F.lit("\n\n# no heading\n```\n"), t)
+    parts = _turns(spark, d, fenced).select("conv_id", "turn", F.posexplode(C.split_markdown(600, 80)("text")).alias("i", "p"))
+    return parts.select("conv_id", "turn", "i", F.array_join("p.heading_path", " > ").alias("heading"), "p.text")
 
 
 WINDOWS = r"""raw AS (SELECT doc_id, source, i, regexp_replace(substr(text, CAST(i * 1320 + 1 AS BIGINT), 1500), '^\s+|\s+$', '', 'g') AS part
@@ -134,7 +141,7 @@ def hard_cut_chunks(spark, d):
 
 @query(f"WITH {WINDOWS} SELECT source AS source_id, CAST(count(*) AS BIGINT) AS n FROM chunks GROUP BY source")
 def chunk_counts_by_source(spark, d):
-    return chunks_of(read(spark, d, "documents")).groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("n"))
+    return corpus.counts_by_source(chunks_of(read(spark, d, "documents")).withColumnRenamed("source", "source_id"))
 
 
 @query(f"WITH {WINDOWS} SELECT printf('%d::%04d', doc_id, chunk_index) AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id, chunk_index) AS r FROM chunks) WHERE r = 1")
@@ -173,10 +180,91 @@ def duplicate_ids(spark, d):
     return read(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""SELECT conv_id, turn, concat_ws(';', CASE WHEN length(text) < 5 THEN 'short question' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad role' END, CASE WHEN text LIKE '%?%' THEN NULL ELSE 'no question' END) AS errors FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+@query("""SELECT conv_id, turn, concat_ws(';', CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN role IS NULL THEN 'missing role' END, CASE WHEN length(text) < 5 THEN 'short question' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad role' END, CASE WHEN text NOT LIKE '%?%' THEN 'no question' END) AS errors FROM conversations""")
 def validation_errors(spark, d):
-    errors = F.array_compact(F.array(F.when(F.length("text") < 5, "short question"), F.when(~F.col("role").isin("user", "assistant"), "bad role"), F.when(~F.col("text").contains("?"), "no question")))
-    return read(spark, d, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", F.array_join(errors, ";").alias("errors"))
+    missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in ("text", "role")]
+    errors = F.array_compact(F.array(*missing, F.when(F.length("text") < 5, "short question"), F.when(~F.col("role").isin("user", "assistant"), "bad role"), F.when(~F.col("text").contains("?"), "no question")))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(errors, ";").alias("errors"))
+
+
+# Gold cases over the benchmark's questions; some break a rule.
+TYPES = "['how-to', 'troubleshooting', 'where-is', 'concept', 'policy', 'riddle']"
+GOLD = f"""gold AS (SELECT item_id, concat(CASE WHEN item_id % 5 = 0 THEN 'Q_' ELSE 'q-' END, CAST(item_id AS VARCHAR)) AS id, text AS question, {TYPES}[CAST(item_id % 6 AS INT) + 1] AS query_type, CASE WHEN item_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expected_behavior,
+CASE WHEN item_id % 3 = 0 THEN [] ELSE [CAST(item_id AS VARCHAR)] END AS relevant, CAST(CASE WHEN item_id % 7 = 0 THEN item_id + 1 ELSE item_id END AS VARCHAR) AS primary_id, concat('src', CAST(item_id % 25 AS VARCHAR)) AS source_id, CASE WHEN item_id % 2 = 0 THEN 'p0' ELSE 'p1' END AS source_priority FROM benchmark),
+named AS (SELECT DISTINCT unnest(list_append(relevant, primary_id)) AS doc_id FROM gold)"""
+
+
+def _gold(spark, d):
+    q = F.col("item_id")
+    text = q.cast("string")
+    return read(spark, d, "benchmark").select(
+        F.concat(F.when(q % 5 == 0, "Q_").otherwise("q-"), text).alias("id"), F.col("text").alias("question"), F.get(F.array(*map(F.lit, (*corpus.QUERY_TYPES[:2], "where-is", "concept", "policy", "riddle"))), (q % 6).cast("int")).alias("query_type"),
+        F.when(q % 4 == 0, "refuse").otherwise("answer").alias("expected_behavior"), F.when(q % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(text)).alias("relevant_doc_ids"),
+        F.when(q % 7 == 0, q + 1).otherwise(q).cast("string").alias("primary_doc_id"), F.array(F.concat(F.lit("src"), (q % 25).cast("string"))).alias("source_ids"), F.when(q % 2 == 0, "p0").otherwise("p1").alias("source_priority"), q.alias("line"),
+    )
+
+
+@query(f"WITH {GOLD} SELECT DISTINCT unnest(list_append(relevant, primary_id)) AS doc_id FROM gold WHERE source_priority = 'p0' AND expected_behavior <> 'refuse'")
+def priority_documents(spark, d):
+    return corpus.priority_documents(_gold(spark, d))
+
+
+@query(f"WITH {GOLD} SELECT id, source_priority FROM gold WHERE expected_behavior = 'answer' AND len(relevant) > 0")
+def eval_cases(spark, d):
+    return corpus.eval_cases(_gold(spark, d), ("p0", "p1")).select("id", "source_priority")
+
+
+@query(f"WITH {GOLD} SELECT id, 0 AS part FROM gold WHERE source_priority = 'p0' AND expected_behavior = 'refuse' UNION ALL SELECT id, 1 FROM (SELECT id FROM gold WHERE source_priority = 'p0' AND expected_behavior = 'answer' AND len(relevant) > 0 ORDER BY item_id LIMIT 5)")
+def ask_case_order(spark, d):
+    """Cases to refuse, then the first five to answer: the limit is the feature."""
+    return corpus.ask_cases(_gold(spark, d), answer_limit=5).select("id", "part")
+
+
+@query(f"""WITH {GOLD} SELECT id, concat_ws(';', CASE WHEN item_id % 5 = 0 THEN 'bad id' END, CASE WHEN length(question) < 5 THEN 'short question' END, CASE WHEN query_type = 'riddle' THEN 'bad query_type' END,
+CASE WHEN expected_behavior = 'answer' AND len(relevant) = 0 THEN 'no relevant document' END, CASE WHEN NOT list_contains(relevant, primary_id) THEN 'primary not relevant' END, CASE WHEN source_id NOT IN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) THEN 'unknown source' END) AS errors FROM gold""")
+def gold_item_errors(spark, d):
+    sources = read(spark, d, "documents").select(F.col("source").alias("source_id"))
+    return corpus.gold_errors(_gold(spark, d), sources).select("id", F.array_join("errors", ";").alias("errors"))
+
+
+@query(f"WITH {GOLD} SELECT 'query_type' AS field, query_type AS value, CAST(count(*) AS BIGINT) AS n FROM gold GROUP BY query_type UNION ALL SELECT 'expected_behavior', expected_behavior, CAST(count(*) AS BIGINT) FROM gold GROUP BY expected_behavior")
+def gold_counts(spark, d):
+    return corpus.gold_counts(_gold(spark, d))
+
+
+@query(f"WITH {GOLD}, c AS (SELECT CAST(count(*) AS BIGINT) AS items, CAST(count(DISTINCT query_type) AS BIGINT) AS types, CAST(count(*) FILTER (WHERE expected_behavior = 'refuse') AS BIGINT) AS refusals FROM gold) SELECT *, concat_ws(';', CASE WHEN items < 100 THEN 'few items' END, CASE WHEN types < 8 THEN 'few types' END, CASE WHEN refusals < 1 THEN 'no refusals' END) AS warnings FROM c")
+def gold_warnings(spark, d):
+    return corpus.gold_warnings(_gold(spark, d), 100, 8).withColumn("warnings", F.array_join("warnings", ";"))
+
+
+@query(f"""WITH {GOLD}, required AS (SELECT doc_id FROM named UNION SELECT CAST(min(doc_id) AS VARCHAR) FROM documents GROUP BY source UNION SELECT concat('about ', source) FROM documents WHERE source IS NOT NULL),
+m AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, concat('corpus/', source, '/', CAST(doc_id AS VARCHAR), '.md') AS path FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS stem, concat('corpus/', source, '/', CAST(doc_id AS VARCHAR), '.md') AS path FROM documents JOIN embeddings ON vec_id = doc_id)
+SELECT 'not in the manifest' AS gap, doc_id AS id FROM required WHERE doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT 'not on disk', doc_id FROM required WHERE doc_id NOT IN (SELECT stem FROM f)
+UNION ALL SELECT 'path without a file', path FROM m WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT 'source not in the catalog', source_id FROM (SELECT DISTINCT source_id FROM gold) WHERE source_id NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)""")
+def coverage_gaps(spark, d):
+    """Labelled documents stand for the manifest, those with vectors for the files on disk."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "source", F.concat_ws("/", F.lit("corpus"), "source", F.concat("doc_id", F.lit(".md"))).alias("path"))
+    samples = F.array(F.min("doc_id").cast("string"), F.concat(F.lit("about "), F.col("source")))
+    catalog = docs.groupBy("source").agg(samples.alias("s")).select(F.col("source").alias("source_id"), F.array_compact("s").alias("sample_doc_ids"))
+    manifest = docs.join(read(spark, d, "labels").select("doc_id").distinct(), "doc_id").select("id", "path")
+    files = docs.join(read(spark, d, "embeddings").selectExpr("vec_id AS doc_id"), "doc_id").select(F.col("id").alias("stem"), F.regexp_extract("path", r"([^/]+/[^/]+\.md)$", 1).alias("tail"))
+    return corpus.coverage_gaps(catalog, _gold(spark, d), manifest, files)
+
+
+@query("SELECT doc_id AS chunk_id, coalesce(CASE WHEN doc_id IS NULL THEN 'missing doc_id' END, CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN lang IS NULL THEN 'missing lang' END, CASE WHEN source IS NULL THEN 'missing source' END) AS error FROM documents WHERE doc_id IS NULL OR text IS NULL OR lang IS NULL OR source IS NULL")
+def chunk_errors(spark, d):
+    return corpus.chunk_errors(read(spark, d, "documents").withColumn("chunk_id", F.col("doc_id")), ("doc_id", "text", "lang", "source"), limit=None)
+
+
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda x: x NOT IN ('page', 'ref'))), ',') AS unknown FROM events")
+def unknown_keys(spark, d):
+    rows = corpus.unknown_keys(read(spark, d, "events"), ("page", "ref"), "props")
+    return rows.select("event_id", F.array_join(F.array_sort("unknown"), ",").alias("unknown"))
+
+
+def _stored(docs: DataFrame, key: str) -> R.LexicalIndex:
+    return R.store_lexical(R.build_lexical(docs, key), shared_dir(docs.sparkSession))
 
 
 TOK = f"[lower(x) for x in regexp_extract_all(coalesce(text, ''), '{TOKEN}')]"
@@ -191,9 +279,9 @@ def tokenize_counts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(f"WITH {LEX} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf WHERE tf > 1")
+@query(f"WITH {LEX} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
 def term_frequency(spark, d):
-    return R.build_lexical(read(spark, d, "documents"), "doc_id").postings.where("tf > 1").select(F.col("id").alias("doc_id"), "term", "tf")
+    return R.build_lexical(read(spark, d, "documents"), "doc_id").postings.select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query(f"WITH {LEX} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
@@ -208,12 +296,12 @@ def document_frequency(spark, d):
 
 @query(f"WITH {LEX} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocab FROM st")
 def corpus_stats(spark, d):
-    i = R.build_lexical(read(spark, d, "documents"), "doc_id")
+    i = _stored(read(spark, d, "documents"), "doc_id")
     return i.stats.join(i.terms.agg(F.count("*").alias("vocab"))).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocab")  # one row each
 
 
-def _lexical(spark, d):
-    return R.lexical_scores(R.build_lexical(read(spark, d, "documents"), "doc_id"), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
+def _lexical(spark, d, k=None):
+    return R.lexical_scores(_stored(read(spark, d, "documents"), "doc_id"), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"), k)
 
 
 @query(f"WITH {LEX} SELECT item_id, doc_id, round(score, 6) AS score FROM bm25 WHERE score > 0")
@@ -223,7 +311,7 @@ def bm25_scores(spark, d):
 
 @query(f"WITH {LEX} SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return R.ranking(_lexical(spark, d), 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return R.ranking(_lexical(spark, d, 10), 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 DENSE = """d AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS label, q.label AS qlabel, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
@@ -245,6 +333,12 @@ def l2_norms(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(embedding[64]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS last FROM embeddings")
+def normalized_vectors(spark, d):
+    unit = normalized(F.col("embedding"))
+    return read(spark, d, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
+
+
 @query("SELECT vec_id, source AS source_id, label FROM embeddings JOIN documents ON doc_id = vec_id")
 def index_alignment(spark, d):
     return read(spark, d, "embeddings").join(read(spark, d, "documents").selectExpr("doc_id AS vec_id", "source AS source_id"), "vec_id").select("vec_id", "source_id", "label")
@@ -267,25 +361,31 @@ o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DES
 SELECT qid AS query_id, vid AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, CAST(dense_rank AS BIGINT) AS dense_rank, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM o WHERE rank <= 5"""
 
 
+def _asked(spark, d):
+    """The benchmark's questions, with the vector of the same id where there is one."""
+    vectors = read(spark, d, "embeddings").selectExpr("vec_id AS query_id", "embedding AS vector")
+    return read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question").join(vectors, "query_id", "left")
+
+
 def _hybrid(spark, d, **options):
     docs, e = with_meta(read(spark, d, "documents")), read(spark, d, "embeddings")
-    queries = read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question").join(e.selectExpr("vec_id AS query_id", "embedding AS vector"), "query_id")
+    queries = _asked(spark, d)
     meta = docs.selectExpr("doc_id AS id", "source AS source_id", "team", "acl", "priority")
-    hits = R.search(R.build_lexical(docs, "doc_id"), e.selectExpr("vec_id AS id", "embedding AS vector"), meta, queries, **options)
+    hits = R.search(_stored(docs, "doc_id"), e.selectExpr("vec_id AS id", "embedding AS vector"), meta, queries, **options)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "dense_rank", "bm25_rank")
 
 
-@query(f"WITH {HYB}, d1 AS (SELECT qid, vid, rank FROM dr WHERE rank <= 20), b1 AS (SELECT * FROM b WHERE rank <= 20 AND qid IN (SELECT vec_id FROM embeddings)), {FUSE}")
+@query(f"WITH {HYB}, d1 AS (SELECT qid, vid, rank FROM dr WHERE rank <= 20), b1 AS (SELECT * FROM b WHERE rank <= 20), {FUSE}")
 def hybrid_rrf_topk(spark, d):
     return _hybrid(spark, d, overfetch=None)
 
 
-@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a) AND qid IN (SELECT vec_id FROM embeddings)) WHERE rank <= 20), {FUSE}")
+@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE rank <= 60 AND vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), {FUSE}")
 def filtered_search(spark, d):
     return _hybrid(spark, d, team="team1")
 
 
-@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE vid IN (SELECT doc_id FROM a) AND qid IN (SELECT vec_id FROM embeddings)) WHERE rank <= 20), {FUSE}")
+@query(f"WITH {HYB}, a AS (SELECT doc_id FROM {DOCS} WHERE team = 'team1'), d1 AS (SELECT qid, vid, rank FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), b1 AS (SELECT * FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b WHERE vid IN (SELECT doc_id FROM a)) WHERE rank <= 20), {FUSE}")
 def filtered_search_prefilter(spark, d):
     return _hybrid(spark, d, team="team1", overfetch=None)
 
@@ -346,11 +446,21 @@ def confidence(spark, d):
 
 def _hits(spark, d):
     docs = read(spark, d, "documents").selectExpr("doc_id AS id", "source AS source_id", "text")
-    hits = R.ranking(_lexical(spark, d), 5, overfetch=None).join(docs, "id")
+    hits = R.ranking(_lexical(spark, d, 5), 5, overfetch=None).join(docs, "id")
     return hits.select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("doc_id"), "source_id", F.array("source_id").alias("heading_path"), "text")
 
 
 TOP5 = f"{LEX}, h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0), t AS (SELECT * FROM h JOIN documents USING (doc_id) WHERE rank <= 5)"
+EXCERPTS = r"""lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^#{1,6}\s+', '')), lambda x: x <> '' AND NOT starts_with(x, '---')) AS l FROM documents),
+kept AS (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: coalesce(list_sum(list_transform(l[1 : i - 1], lambda y: length(y))), 0) < 420), chr(10)) AS k FROM lines),
+excerpts AS (SELECT doc_id, CASE WHEN length(k) <= 420 THEN coalesce(k, '') ELSE concat(regexp_replace(substr(k, 1, 420), '\s+$', ''), '…') END AS excerpt FROM kept)"""
+
+
+@query(f"WITH {EXCERPTS} SELECT doc_id, coalesce(excerpt, '') AS excerpt FROM excerpts")
+def excerpts(spark, d):
+    return read(spark, d, "documents").select("doc_id", A.excerpt(F.col("text")).alias("excerpt"))
+
+
 QUOTE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 CLIP = f"CASE WHEN length({QUOTE}) <= 280 THEN {QUOTE} ELSE concat(rtrim(substr({QUOTE}, 1, 280)), '…') END"
 
@@ -373,22 +483,153 @@ def nearest_unique_docs(spark, d):
     return first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_rank", "doc_id"))), lambda x: x["doc_id"]), ",").alias("docs"))
 
 
-@query(rf"WITH {TOP5} SELECT item_id AS query_id, concat('{A.LEAD}', chr(10), chr(10), string_agg(concat('**', source, '** [', CAST(rank AS VARCHAR), ']', chr(10), CASE WHEN length(text) <= 420 THEN text ELSE concat(regexp_replace(substr(text, 1, 420), '\s+$', ''), '…') END), concat(chr(10), chr(10)) ORDER BY rank)) AS answer FROM t WHERE rank <= 4 GROUP BY item_id")
+@query(f"WITH {TOP5}, {EXCERPTS} SELECT item_id AS query_id, concat('{A.LEAD}', chr(10), chr(10), string_agg(concat('**', source, '** [', CAST(rank AS VARCHAR), ']', chr(10), excerpt), concat(chr(10), chr(10)) ORDER BY rank)) AS answer FROM t JOIN excerpts USING (doc_id) WHERE rank <= 4 AND excerpt <> '' GROUP BY item_id")
 def extractive_answer(spark, d):
-    cited = _hits(spark, d).withColumn("index", F.col("rank"))
-    return A.extractive(cited, lambda t: clip(t, A.EXCERPT))
+    return A.extractive(_hits(spark, d).withColumn("index", F.col("rank")))
+
 
+@query(rf"""WITH {TOP5} SELECT item_id AS query_id, concat('{A.INSTRUCTIONS}', chr(10), chr(10), 'QUESTION:', chr(10), any_value(b.text), chr(10), chr(10), 'CONTEXT:', chr(10), string_agg(concat('[', CAST(rank AS VARCHAR), '] doc_id=', CAST(doc_id AS VARCHAR), ' path=corpus/', source, '/', CAST(doc_id AS VARCHAR), '.md (', source, ')', chr(10), t.text), concat(chr(10), chr(10)) ORDER BY rank)) AS prompt
+FROM t JOIN benchmark b USING (item_id) WHERE rank <= 4 GROUP BY item_id""")
+def prompts(spark, d):
+    cited = A.citations(_hits(spark, d), *_places(spark, d))
+    return A.prompts(cited, read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
 
-CASES = f"cases AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'refuse' ELSE 'answer' END AS expected_behavior, {REFUSE} IS NOT NULL AS refuse, quality = 1 AS citation_ok, quality = 1 AS grounded_ok FROM labels JOIN documents USING (doc_id))"
-RATES = "round(CASE WHEN count(*) FILTER (WHERE expected_behavior = 'refuse') = 0 THEN 1.0 ELSE count(*) FILTER (WHERE expected_behavior = 'refuse' AND refuse) / count(*) FILTER (WHERE expected_behavior = 'refuse')::DOUBLE END, 6) AS refuse_rate, round(count(*) FILTER (WHERE citation_ok) / count(*)::DOUBLE, 6) AS citation_contract_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND grounded_ok) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS grounded_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS answered_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse AND grounded_ok) / count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse)::DOUBLE, 6) AS grounded_among_answered"
+
+def _places(spark, d):
+    """Paths of documents (none, so they are made from ids) and locations of sources."""
+    locations = spark.createDataFrame([("src1", "https://wiki.example/one/")], "source_id string, location string")
+    return read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("path")).distinct(), locations
+
+
+def _index(spark, d):
+    """A stored index of the documents, with the vectors that documents have; words find the others."""
+    docs = with_meta(read(spark, d, "documents"))
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_id"), "team", "acl", "priority", F.array("source").alias("heading_path"), "text")
+    vectors = read(spark, d, "embeddings").selectExpr("vec_id AS id", "embedding AS vector").join(docs.selectExpr("doc_id AS id"), "id", "left_semi")
+    return indexing.write_index(chunks, vectors, shared_dir(spark), drop_unembedded=False)
+
+
+@query(f"WITH {LEX} SELECT CAST(n AS BIGINT) AS n_chunks, CAST((SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS BIGINT) AS n_vectors, CAST((SELECT max(len(embedding)) FROM embeddings) AS BIGINT) AS dim, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocabulary, round(avgdl, 6) AS avgdl FROM st")
+def index_report(spark, d):
+    return indexing.build_report(indexing.load_index(spark, _stored_at(_index(spark, d)))).withColumns({"dim": F.col("dim").cast("long"), "avgdl": F.round("avgdl", 6)})
+
+
+def _stored_at(index: indexing.Index) -> str:
+    """The folder an index was written to, from the files of its smallest table."""
+    return index.info.inputFiles()[0].rsplit("/info/", 1)[0]
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE doc_id IS NOT NULL AND vec_id IS NOT NULL) AS BIGINT) AS aligned, CAST(count(*) FILTER (WHERE doc_id IS NULL) AS BIGINT) AS vectors_without_chunk, CAST(count(*) FILTER (WHERE vec_id IS NULL) AS BIGINT) AS chunks_without_vector FROM documents FULL JOIN embeddings ON doc_id = vec_id")
+def alignment(spark, d):
+    return indexing.alignment(read(spark, d, "documents").selectExpr("doc_id AS id"), read(spark, d, "embeddings").selectExpr("vec_id AS id"))
+
+
+MIXED = f"""{LEX}, ev AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), qv AS (SELECT item_id, text, x AS qx, label FROM benchmark LEFT JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings) ON vec_id = item_id),
+dd AS (SELECT item_id AS qid, vec_id AS vid, list_inner_product(qx, x) AS score FROM qv, ev WHERE qx IS NOT NULL), dense_ AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vid) AS rank FROM dd), d1 AS (SELECT qid, vid, rank FROM dense_ WHERE rank <= 20),
+bm25_ AS (SELECT item_id AS qid, doc_id AS vid, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0), b1 AS (SELECT * FROM bm25_ WHERE rank <= 20),
+fused AS (SELECT qid, vid, sum(1.0 / (60 + rank)) AS score, max(CASE WHEN s = 'd' THEN rank END) AS dense_rank, max(CASE WHEN s = 'b' THEN rank END) AS bm25_rank FROM (SELECT qid, vid, rank, 'd' AS s FROM d1 UNION ALL SELECT qid, vid, rank, 'b' FROM b1) GROUP BY qid, vid),
+hybrid_ AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, vid) AS rank FROM fused)"""
+SAYS = "CASE why " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in A.MESSAGES.items()) + " END"
+
+
+def _refuse_sql(text: str) -> str:
+    return REFUSE.replace("text", text)
+
+
+@query(f"""WITH {MIXED}, {EXCERPTS}, h AS (SELECT qid, vid, rank FROM hybrid_ WHERE rank <= 5), conf AS (SELECT qid, max(dd.score) AS c FROM h JOIN dd USING (qid, vid) GROUP BY qid),
+n AS (SELECT qid, count(*) AS n, string_agg(CAST(vid AS VARCHAR), ',' ORDER BY rank) AS retrieved FROM h GROUP BY qid), k AS (SELECT item_id AS qid, n, retrieved, CASE WHEN qx IS NOT NULL THEN coalesce(c, 0) END AS confidence, {_refuse_sql('qv.text')} AS w FROM qv LEFT JOIN conf ON conf.qid = item_id LEFT JOIN n ON n.qid = item_id),
+r AS (SELECT *, coalesce(w, CASE WHEN n IS NULL THEN 'empty_retrieval' WHEN confidence < 0.28 THEN 'low_confidence' END) AS why FROM k),
+cited AS (SELECT h.qid, h.rank, why, vid, source, concat('corpus/', source, '/', CAST(vid AS VARCHAR), '.md') AS path, excerpt FROM h JOIN r USING (qid) JOIN documents ON doc_id = vid JOIN excerpts USING (doc_id) WHERE rank <= CASE WHEN why IS NULL THEN 4 ELSE 3 END),
+a AS (SELECT qid, count(*) AS n_citations, string_agg(CAST(vid AS VARCHAR), ',' ORDER BY rank) AS cited, concat('{A.LEAD}', chr(10), chr(10), string_agg(concat('**', source, '** [', CAST(rank AS VARCHAR), ']', chr(10), excerpt), concat(chr(10), chr(10)) ORDER BY rank) FILTER (WHERE excerpt <> '')) AS text,
+  concat(chr(10), chr(10), '{A.NEAREST_LEAD}', chr(10), string_agg(concat('- [', CAST(rank AS VARCHAR), '] ', path), chr(10) ORDER BY rank)) AS links FROM cited GROUP BY qid)
+SELECT r.qid AS query_id, why IS NOT NULL AS refuse, why AS refuse_reason, round(confidence, 6) AS confidence, CASE WHEN why IS NULL THEN text ELSE concat({SAYS}, coalesce(links, '')) END AS answer, CAST(coalesce(n_citations, 0) AS BIGINT) AS n_citations, coalesce(cited, '') AS cited, coalesce(retrieved, '') AS retrieved FROM r LEFT JOIN a USING (qid)""")
+def ask(spark, d):
+    out = experiments.ask(_index(spark, d), _asked(spark, d), *_places(spark, d), overfetch=None)
+    cited = F.array_join(F.transform("citations", lambda c: c["doc_id"]), ",")
+    return out.select("query_id", "refuse", "refuse_reason", F.round("confidence", 6).alias("confidence"), "answer", "n_citations", F.coalesce(cited, F.lit("")).alias("cited"), F.coalesce(F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ","), F.lit("")).alias("retrieved"))
+
+
+MODES = ("hybrid", "dense", "bm25")
+MODE_RUNS = " UNION ALL ".join(f"SELECT '{m}' AS run, qid, vid, rank FROM {m}_ WHERE rank <= 10" for m in MODES)
+MODE_SWEEP = f"""WITH {MIXED}, runs AS ({MODE_RUNS}), hit AS (SELECT run, qid, min(rank) AS first_rank FROM runs JOIN qv ON item_id = qid JOIN ev ON vec_id = vid WHERE ev.label = qv.label GROUP BY run, qid), c AS (SELECT name AS run, place, item_id, first_rank FROM (SELECT * FROM (VALUES ('hybrid', 0), ('dense', 1), ('bm25', 2)) x(name, place), (SELECT item_id FROM benchmark)) LEFT JOIN hit ON run = name AND qid = item_id),
+m AS (SELECT run, place, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr FROM c GROUP BY run, place)"""
+
+
+def _mode_sweep(spark, d):
+    asked = _asked(spark, d)
+    labels = read(spark, d, "embeddings").select("vec_id", "label")
+    own = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(labels.withColumnRenamed("vec_id", "query_id"), "query_id")
+    relevant = own.join(labels, "label").select("query_id", F.col("vec_id").cast("string").alias("doc_id"))
+    return experiments.retrieval_sweep(_index(spark, d), asked, relevant, MODES, overfetch=None)
+
+
+@query(f"{MODE_SWEEP} SELECT run, n, recall_at_1, recall_at_10, mrr FROM m")
+def mode_sweep(spark, d):
+    return _mode_sweep(spark, d).select("run", "n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_10", "mrr")])
+
+
+@query(f"{MODE_SWEEP} SELECT run, recall_at_10, mrr FROM m ORDER BY recall_at_10 DESC, mrr DESC, place LIMIT 1")
+def best_mode(spark, d):
+    rounded = _mode_sweep(spark, d).withColumns({c: F.round(c, 6) for c in ("recall_at_10", "mrr")})
+    return experiments.best_retrieval(rounded).select("run", "recall_at_10", "mrr")
+
+
+# Cases asked with a vector between those of two documents: the first is the one that should be cited. Labels of toxic
+# texts say what should be refused; the texts are the questions.
+CASES = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+cv AS (SELECT a.vec_id AS qid, ((a.vec_id // 20) % 7 + 1) / 8.0::DOUBLE AS w, a.x AS ax, b.x AS bx FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
+cq AS (SELECT qid, list_transform(ax, lambda y, i: y * w + bx[i] * (1 - w)) AS qx FROM cv),
+cs AS (SELECT qid, vec_id AS vid, list_inner_product(qx, x) AS score FROM cq, v), cr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vid) AS rank FROM cs),
+ce AS (SELECT qid, {_refuse_sql('documents.text')} AS w, CASE WHEN qid IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'refuse' ELSE 'answer' END AS expected_behavior FROM cq JOIN documents ON doc_id = qid),
+grid AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 3), (1, 0.3::DOUBLE, 5), (2, 0.7::DOUBLE, 3), (3, 0.7::DOUBLE, 5), (4, 0.9::DOUBLE, 3), (5, 0.9::DOUBLE, 5)) g(place, least, top_k)),
+ca AS (SELECT place, least, top_k, qid, max(score) AS conf FROM cr, grid WHERE rank <= top_k GROUP BY ALL),
+cases AS (SELECT place, least, top_k, qid, expected_behavior, w IS NOT NULL OR conf < least AS refuse, EXISTS (SELECT 1 FROM cr WHERE cr.qid = ca.qid AND cr.vid = ca.qid AND cr.rank <= least(top_k, 4)) AS cites_own FROM ca JOIN ce USING (qid))"""
+RATES = """CAST(count(*) FILTER (WHERE expected_behavior = 'refuse') AS BIGINT) AS n_refuse, CAST(count(*) FILTER (WHERE expected_behavior = 'answer') AS BIGINT) AS n_answer,
+round(CASE WHEN count(*) FILTER (WHERE expected_behavior = 'refuse') = 0 THEN 1.0 ELSE count(*) FILTER (WHERE expected_behavior = 'refuse' AND refuse) / count(*) FILTER (WHERE expected_behavior = 'refuse')::DOUBLE END, 6) AS refuse_rate, 1.0::DOUBLE AS citation_contract_rate,
+round(count(*) FILTER (WHERE expected_behavior = 'answer' AND (refuse OR cites_own)) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS grounded_rate, round(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse) / count(*) FILTER (WHERE expected_behavior = 'answer')::DOUBLE, 6) AS answered_rate,
+round(coalesce(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse AND cites_own) / nullif(count(*) FILTER (WHERE expected_behavior = 'answer' AND NOT refuse), 0)::DOUBLE, 0), 6) AS grounded_among_answered"""
 RATE_NAMES = ("refuse_rate", "citation_contract_rate", "grounded_rate", "answered_rate", "grounded_among_answered")
 
 
-@query(f"WITH {CASES} SELECT {RATES} FROM cases")
+def _cases(spark, d):
+    """(query_id, question, vector, expected_behavior, relevant_doc_ids)"""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("a")).join(docs.select("query_id"), "query_id", "left_semi")
+    w = ((F.floor(F.col("query_id") / 20)) % 7 + 1) / 8.0
+    mixed = v.where("query_id % 20 = 0").join(v.select((F.col("query_id") - 1).alias("query_id"), F.col("a").alias("b")), "query_id").withColumn("w", w)
+    mixed = mixed.select("query_id", F.zip_with("a", "b", lambda x, y: x * F.col("w") + y * (1 - F.col("w"))).alias("vector"))
+    toxic = read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("query_id")).distinct().withColumn("t", F.lit("refuse"))
+    rows = mixed.join(docs, "query_id").join(toxic, "query_id", "left")
+    return rows.select("query_id", "question", "vector", F.coalesce("t", F.lit("answer")).alias("expected_behavior"), F.array(F.col("query_id").cast("string")).alias("relevant_doc_ids"))
+
+
+@query(f"WITH {CASES} SELECT {RATES} FROM cases WHERE place = 3")
 def ask_rates(spark, d):
-    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    cases = rows.select(F.when(F.col("toxic") == 1, "refuse").otherwise("answer").alias("expected_behavior"), refuse_reason(F.col("text")).isNotNull().alias("refuse"), (F.col("quality") == 1).alias("citation_ok"), (F.col("quality") == 1).alias("grounded_ok"))
-    return A.ask_rates(cases).select(*[F.round(c, 6).alias(c) for c in RATE_NAMES])
+    cases = _cases(spark, d)
+    answers = experiments.ask(_index(spark, d), cases, *_places(spark, d), mode="dense", least=0.7, overfetch=None)
+    return A.ask_rates(A.ask_cases(answers, cases)).select("n_refuse", "n_answer", *[F.round(c, 6).alias(c) for c in RATE_NAMES])
+
+
+def _ask_grid(spark, d):
+    cases = _cases(spark, d)
+    return experiments.ask_sweep(_index(spark, d), cases.select("query_id", "question", "vector"), cases.select("query_id", "expected_behavior", "relevant_doc_ids"), *_places(spark, d), least=(0.3, 0.7, 0.9), top_ks=(3, 5), mode="dense", overfetch=None)
+
+
+@query(f"WITH {CASES} SELECT least AS min_dense, CAST(top_k AS BIGINT) AS top_k, {RATES} FROM cases GROUP BY place, least, top_k")
+def ask_grid(spark, d):
+    return _ask_grid(spark, d).select("min_dense", F.col("top_k").cast("long").alias("top_k"), "n_refuse", "n_answer", *[F.round(c, 6).alias(c) for c in RATE_NAMES])
+
+
+@query(f"WITH {CASES}, g AS (SELECT place, least, top_k, {RATES} FROM cases GROUP BY place, least, top_k) SELECT least AS min_dense, CAST(top_k AS BIGINT) AS top_k FROM g ORDER BY refuse_rate >= 0.9 AND grounded_among_answered >= 0.8 DESC, answered_rate DESC, grounded_among_answered DESC, refuse_rate DESC, place LIMIT 1")
+def best_ask(spark, d):
+    return experiments.best_ask(_ask_grid(spark, d)).select("min_dense", F.col("top_k").cast("long").alias("top_k"))
+
+
+@query(f"WITH {REL}, near AS (SELECT qid, string_agg(CAST(vid AS VARCHAR), ',' ORDER BY rank) AS retrieved FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE qid <> vid AND rank <= 11) WHERE rank <= 5 GROUP BY qid) SELECT r.qid AS query_id, CAST(first_rank AS BIGINT) AS first_rank, retrieved FROM r LEFT JOIN near USING (qid) WHERE first_rank IS NULL OR first_rank > 1")
+def misses(spark, d):
+    hits = _dense(spark, d, 11).where("query_id <> id")
+    docs = hits.select("query_id", F.col("id").cast("string").alias("doc_id"), R.rank_by(F.col("score"), "id").alias("doc_rank"))
+    return corpus.misses(_ranks(spark, d), docs, 1).select("query_id", "first_rank", F.array_join("retrieved", ",").alias("retrieved"))
 
 
 SWEEP = f"""WITH {DENSE}, s AS (SELECT 'top' || CAST(k AS VARCHAR) AS run, qid, min(CASE WHEN label = qlabel THEN rank END) AS first_rank FROM (SELECT dr.*, k FROM dr, (VALUES (3), (5), (10)) v(k) WHERE rank <= k AND qid <> vid) GROUP BY ALL),
@@ -435,7 +676,7 @@ def request_log_summary(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, their index, and the five best for every benchmark text, with where they come from."""
     chunks = C.keep_first(chunks_of(read(spark, sf_dir, "documents")))
-    scores = R.lexical_scores(R.build_lexical(chunks, "chunk_id"), read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS question"))
+    scores = R.lexical_scores(_stored(chunks, "chunk_id"), read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS question"), 5)
     best = R.ranking(scores, 5, overfetch=None)
     return best.join(chunks.selectExpr("chunk_id AS id", "doc_id", "source"), "id").selectExpr("query_id AS item_id", "CAST(rank AS BIGINT) AS rank", "id AS chunk_id", "doc_id", "source AS source_id", "round(score, 6) AS score")
 

@@ -1,13 +1,15 @@
-"""Sending this library to the workers."""
+"""What all parts need from a session: the library on the workers, and a folder that all machines share."""
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +24,24 @@ def ship(spark: SparkSession) -> None:
             z.write(f, os.path.join(root.name, f.relative_to(root)))
     context.addPyFile(str(path))
     context._lodestone_shipped = True
+
+
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name in spark.checkpoint.dir. Where that is unset, a local folder serves a local session; on a
+    cluster it's an error, since the machines would each write to their own disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{base or _own_dir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from the shared folder: cuts the lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

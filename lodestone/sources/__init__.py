@@ -98,6 +98,16 @@ def build_documents(manifest: DataFrame, catalog: DataFrame, files: DataFrame) -
     )
 
 
+def document_paths(documents: DataFrame) -> DataFrame:
+    """(doc_id, path), one row per document; the largest path where rows disagree."""
+    return documents.groupBy("doc_id").agg(F.max("path").alias("path"))
+
+
+def source_locations(catalog: DataFrame) -> DataFrame:
+    """(source_id, location) of the sources that have one."""
+    return catalog.where(or_else(F.col("location")).isNotNull()).select("source_id", "location")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -11,10 +11,11 @@ from lodestone.operators.chunking import chunk, keep_first
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
     """Chunk the Parquet documents that appear under source; a batch adds the contents that the target lacks."""
     docs = spark.readStream.schema(schema).parquet(source)
+    empty = chunk(spark.createDataFrame([], schema)).drop("raw", "kept")
+    empty.write.mode("ignore").parquet(target)
 
     def add(batch: DataFrame, number: int) -> None:
         new = keep_first(chunk(batch)).drop("raw", "kept")
-        spark.createDataFrame([], new.schema).write.mode("append").parquet(target)
         held = spark.read.schema(new.schema).parquet(target).select("content_hash")
         new.join(held, "content_hash", "left_anti").select(*new.columns).write.mode("append").parquet(target)
 
