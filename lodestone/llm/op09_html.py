@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-Each page names the deepest container that holds all of its readable text: what is left without furniture, save blocks
-that are nothing but links. Pages vote, per host, on the generalised path of that container (tags with their classes,
-digits folded); the host's winning path is then used on every page of the host whose readable text it holds whole, and
-any other page uses its own container.
+Each page scores its containers: the text of a block counts fully for the nearest container around it and by half for
+each one further out, summed over equal generalised paths (tags with their classes, digits folded). The best path,
+or the article or main element around it, or else the container that also holds the page's headline, is the page's
+vote. Pages vote per host in Spark; the host's winning path is then used on every page of the host where its elements
+hold at least half of the readable text, whatever the page itself would have chosen. Other pages keep all their
+readable text. A page is read in one pass whose time grows with its length only.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from .common import byte_chunks, written
 
 #: A host table of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 200_000
-# Fixed lists: elements of HTML by their role, and words that name page furniture in classes, ids and roles.
+#: The share of a page's readable text that the host's path must hold to be used there.
+LEAST_SHARE = 0.5
+# Fixed lists: elements of HTML by their role, and whole class names, ids and roles of what isn't the article.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption address details summary center hr header footer nav aside form fieldset dialog menu search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
@@ -28,129 +32,231 @@ DROPPED = frozenset("nav footer aside form dialog menu search head noscript temp
 RAW = frozenset("script style title textarea xmp noscript iframe noframes template svg".split())
 #: Raw elements after whose start tag a page goes on if they are never closed.
 MAY_BE_OPEN = frozenset("title svg template".split())
-FURNITURE = frozenset("ad ads advert adverts advertisement adsense adslot sponsor sponsored banner promo menu nav navbar navigation sidebar footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login search widget toolbar contentinfo complementary dialog alert".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAMED = frozenset("ad ads advert adverts advertisement ad-slot sponsored banner menu nav navbar navigation breadcrumb breadcrumbs pagination header masthead site-header footer sidebar cookie cookies cookie-notice notice comment comments reader-comments login newsletter contentinfo complementary".split())
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z]+|\d+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _CLOSES_P = BLOCKS - {"html", "body"}
 
 
-class _Element:
-    __slots__ = ("chars", "dropped", "parent", "path", "tag")
-
-    def __init__(self, tag: str, path: str, parent: _Element | None, dropped: bool):
-        self.tag, self.path, self.parent, self.dropped, self.chars = tag, path, parent, dropped, 0
-
+class _Scanner:
+    """Tags of a page, one after the other. A `<` that no `>` follows is text. A quoted `>` doesn't end a tag; but once
+    a quote turns out to be open to the end of the page, quotes count for nothing from there on."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.unclosed: set[str] = set()
+        self.at = {">": -1, '"': -1, "'": -1}
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str]:
+        """(start, end, tag, closing, attributes) of the first tag, comment or declaration from pos on; the latter two
+        have no tag. start is the page's length where there is none."""
+        page = self.page
+        while True:
+            start = page.find("<", pos)
+            if start < 0 or start > self.last:
+                return len(page), len(page), "", False, ""
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", False, ""
+            closing = page[start + 1] == "/"
+            name = _NAME.match(page, start + 1 + closing)
+            if name:
+                end = self._end(name.end())
+                return start, end, name[0].lower(), closing, page[name.end() : end - 1]
+            pos = start + 1
+
+    def _seen(self, mark: str, at: int) -> int:
+        """Where the first such mark from `at` on lies; the last answer is kept, so that no stretch is searched twice."""
+        if self.at[mark] < at:
+            found = self.page.find(mark, at)
+            self.at[mark] = len(self.page) if found < 0 else found
+        return self.at[mark]
+
+    def _end(self, pos: int) -> int:
+        page, at = self.page, pos
+        while self.quotes:
+            end = self._seen(">", at)
+            quote = min(self._seen('"', at), self._seen("'", at))
+            if end < min(quote, len(page)):
+                return end + 1
+            shut = -1 if end == len(page) else page.find(page[quote], quote + 1)
+            self.quotes = shut >= 0
+            at = shut + 1
+        return page.find(">", pos) + 1
+
+    def after_raw(self, tag: str, pos: int) -> int:
+        """Where the page goes on after a raw element that starts before pos."""
+        if tag not in self.unclosed:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, pos)
+            if end:
+                return end.end()
+            self.unclosed.add(tag)
+        return pos if tag in MAY_BE_OPEN else len(self.page)
 
-def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not inside) or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag in ("html", "body", "main", "article", "h1"):
-        return bool(tag == "article" and {"comment", "comments"} & set(_WORDS.findall(attributes.get("class", "").lower())))
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    names = set(_WORDS.findall(" ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()))
-    return bool(names & FURNITURE) or ("header" in names and not inside)
 
-
-def blocks(page: str) -> list[tuple[str, int, _Element]]:
-    """The readable blocks of a page in order: text, characters of it in links (without white space), and the element that holds it."""
-    out, buffer, links = [], [], 0
-    at = _Element("", "", None, False)
-    in_link, pos = False, 0
-
-    def flush() -> None:
-        nonlocal links
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+class _Element:
+    __slots__ = ("dropped", "inside", "named", "parent", "path", "tag", "total")
+
+    def __init__(self, tag: str, path: int, parent: _Element | None, dropped: bool, named: bool, inside: bool):
+        self.tag, self.path, self.parent, self.dropped, self.named, self.inside, self.total = tag, path, parent, dropped, named, inside, 0
+
+
+class Page:
+    """The readable blocks of a page in order (text, its readable characters, its element), its elements, and the
+    generalised paths of its containers as a tree: path i has the parent paths[i][0] and the step paths[i][1]."""
+
+    def __init__(self, source: str):
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self.elements = [_Element("", 0, None, False, False, False)]
+        self.blocks: list[tuple[str, int, _Element]] = []
+        self._read(source)
+        # What its name calls furniture is none where it holds all of the page's text.
+        for text, n, e in self.blocks:
+            e.total += n
+        for e in reversed(self.elements[1:]):
+            e.parent.total += e.total
+        whole = self.elements[0].total
+        for e in self.elements[1:]:
+            e.dropped = e.parent.dropped or (e.named and e.total < max(whole, 1))
+        self.blocks = [b for b in self.blocks if not b[2].dropped]
+
+    def _read(self, source: str) -> None:
+        scan, numbers, open_tags = _Scanner(source), {}, {}
+        buffer: list[str] = []
+        at, linked, links, pos = self.elements[0], False, 0, 0
+
+        def flush() -> None:
+            nonlocal links
+            text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
             buffer.clear()
             if text and not at.dropped:
-                out.append((text, links, at))
-        links = 0
-
-    while pos < len(page):
-        m = _TOKEN.search(page, pos)
-        piece = page[pos : m.start()] if m else page[pos:]
-        if piece:
-            buffer.append(piece)
-            links += len("".join(html.unescape(piece).split())) if in_link else 0
-        if not m:
-            break
-        pos, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "a":
-                in_link = False
-            elif tag in BLOCKS or tag in DROPPED:
-                flush()
-                up = at
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
-                    at = up.parent
-            continue
-        if tag in RAW:
-            if tag == "svg" and m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            if end or tag not in MAY_BE_OPEN:
-                pos = end.end() if end else len(page)
-        elif tag == "a":
-            in_link = "href" in m[3].lower()
-        elif tag in ("br", "wbr", "img", "input"):
-            buffer.append(" " if tag == "br" else "")
-        elif tag in BLOCKS or tag in DROPPED:
-            flush()
-            if at.tag == "p" and tag in _CLOSES_P or at.tag == tag and tag in ("li", "tr", "td", "dt", "dd"):
-                at = at.parent
-            if tag == "hr":
+                n = len(text) - text.count(" ")
+                self.blocks.append((text, n if at.tag in HEADINGS else max(n - links, 0), at))
+            links = 0
+
+        def close(e: _Element) -> _Element:
+            open_tags[e.tag] -= 1
+            return e.parent
+
+        while pos < len(source):
+            start, end, tag, closing, rest = scan.next(pos)
+            if start > pos:
+                buffer.append(source[pos:start])
+                links += len("".join(html.unescape(source[pos:start]).split())) if linked else 0
+            pos = end
+            if not tag:
                 continue
-            attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split()))
-            inside = any(x in at.path for x in ("/article", "/main"))
-            dropped = at.dropped or _furniture(tag, attributes, inside)
-            path = f"{at.path}/{tag}{'.' * bool(classes)}{classes}" if tag in CONTAINERS else at.path
-            if not m[3].endswith("/"):
-                at = _Element(tag, path, at, dropped)
-    flush()
-    return out
-
-
-def readable(text: str, links: int, at: _Element) -> int:
-    """Characters, without white space, that aren't in links; a heading's are all text."""
-    n = len(text) - text.count(" ")
-    return n if at.tag in HEADINGS else max(n - links, 0)
-
-
-def best_path(found: list[tuple[str, int, _Element]]) -> str:
-    """Path of the deepest container with all readable text; "" for a page without one."""
-    total, depth = 0, {}
-    for text, links, at in found:
-        n = readable(text, links, at)
-        total += n
-        while at is not None:
-            depth[at] = depth.get(at, 0) + n
-            at = at.parent
-    fit = [e for e, n in depth.items() if total and n == total and e.tag in CONTAINERS]
-    return max(fit, key=lambda e: e.path.count("/")).path if fit else ""
-
-
-def text_at(found: list[tuple[str, int, _Element]], path: str) -> str | None:
-    """Text of all elements with this path; None if the page has none, or has readable text outside them."""
-    own = []
-    for text, links, at in found:
-        if path and (at.path == path or at.path.startswith(path + "/")):
-            own.append(text)
-        elif readable(text, links, at):
+            block = tag in BLOCKS or tag in DROPPED
+            if closing:
+                if tag == "a":
+                    linked = False
+                elif block:
+                    flush()
+                    if open_tags.get(tag):
+                        while at.tag != tag:
+                            at = close(at)
+                        at = close(at)
+            elif tag in RAW:
+                pos = pos if tag == "svg" and rest.endswith("/") else scan.after_raw(tag, pos)
+            elif tag == "a":
+                linked = "href" in rest.lower()
+            elif tag in ("br", "wbr", "img", "input"):
+                buffer.append(" " if tag == "br" else "")
+            elif block:
+                flush()
+                if at.tag == "p" and tag in _CLOSES_P or at.tag == tag and tag in ("li", "tr", "td", "dt", "dd"):
+                    at = close(at)
+                if tag == "hr" or rest.endswith("/"):
+                    continue
+                attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
+                names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+                dropped = at.dropped or tag in DROPPED or (tag == "header" and not at.inside) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+                named = not NAMED.isdisjoint(names) and tag not in ("html", "body", "main", "h1") and not (at.inside and "header" in names)
+                path = at.path
+                if tag in CONTAINERS:
+                    classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split()))
+                    step = (at.path, f"{tag}{'.' * bool(classes)}{classes}")
+                    path = numbers.setdefault(step, len(self.paths))
+                    if path == len(self.paths):
+                        self.paths.append(step)
+                at = _Element(tag, path, at, dropped, named, at.inside or tag in ("article", "main"))
+                self.elements.append(at)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+        flush()
+
+    def text(self) -> str:
+        return "\n".join(t for t, *_ in self.blocks)
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step = self.paths[path]
+            steps.append(step)
+        return "/".join(reversed(steps))
+
+    def find(self, name: str) -> int:
+        """The path with this name; -1 if the page has none."""
+        at = 0
+        known = {step: i for i, step in enumerate(self.paths)}
+        for step in name.split("/"):
+            at = known.get((at, step), -1)
+            if at < 0:
+                break
+        return at
+
+    def under(self, path: int) -> list[bool]:
+        """Which paths are this one or below it."""
+        out = []
+        for i, (parent, _) in enumerate(self.paths):
+            out.append(i == path or (i > 0 and out[parent]))
+        return out
+
+    def vote(self) -> str:
+        """The page's own choice of a path; "" for a page without readable text."""
+        own = [0.0] * len(self.paths)
+        for _, n, e in self.blocks:
+            own[e.path] += n
+        score = own[:]
+        for i in range(len(self.paths) - 1, 0, -1):
+            score[self.paths[i][0]] += score[i] / 2
+        best = max(range(1, len(self.paths)), key=lambda i: (score[i], i), default=0)
+        if not best or not score[best]:
+            return ""
+        around, at = [], best
+        while at > 0:
+            around.append(at)
+            at = self.paths[at][0]
+        outer = next((i for i in around if self.paths[i][1].split(".")[0] in ("article", "main")), None)
+        if outer is None:
+            head, above = next((e.path for _, _, e in self.blocks if e.tag == "h1"), -1), set()
+            while head > 0:
+                above.add(head)
+                head = self.paths[head][0]
+            outer = next((i for i in around if i in above), best)
+        return self.name(outer)
+
+    def text_at(self, name: str) -> str | None:
+        """Text of all elements with this path; None if they hold less than LEAST_SHARE of the page's readable text."""
+        path = self.find(name) if name else -1
+        if path <= 0:
             return None
-    return "\n".join(own) if own else None
+        under = self.under(path)
+        inside = [b for b in self.blocks if under[b[2].path]]
+        return "\n".join(t for t, *_ in inside) if inside and sum(n for _, n, _ in inside) >= LEAST_SHARE * sum(n for _, n, _ in self.blocks) else None
+
+
+def blocks(page: str) -> list[tuple[str, int, _Element]]:
+    """The readable blocks of a page in order: text, characters of it that are neither white space nor in links (a
+    heading's all count), and the element that holds it."""
+    return Page(page).blocks
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_chunks(batch, "html"):
-            paths = [best_path(blocks(h)) for h in part.column("html").to_pylist()]
+            paths = [Page(h).vote() for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
 
@@ -158,14 +264,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_chunks(batch, "_html"):
             texts = []
-            for page, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist(), strict=True):
-                found = blocks(page or "")
-                text = text_at(found, path or "")
-                if text is None:
-                    own = best_path(found)
-                    text = text_at(found, own) if own else "\n".join(t for t, *_ in found)
-                texts.append(text or "")
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*part.schema.names[2:], "text"])
+            for source, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist(), strict=True):
+                page = Page(source or "")
+                text = page.text_at(path or "")
+                texts.append(page.text() if text is None else text)
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*part.schema.names[2:], "_text"])
 
 
 def host_of(url) -> Column:
@@ -182,10 +285,15 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep`, text and n_chars for every row of pages. Null or empty pages, and pages without readable text, give "".
 
-    Pages with a null url, or one without a host, share the host ""."""
+    Pages with a null url, or one without a host, share the host "". Columns of `keep` that are called text or n_chars
+    are replaced; any other names are kept as they are."""
     hosts = written(host_paths(pages, url, page)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    rows = pages.withColumn("_host", host_of(F.col(url))).join(hosts, "_host", "left").select(F.col(page).alias("_html"), "_path", *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
-    return rows.mapInArrow(_extract, f"{schema}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    keep = [c for c in keep if c not in ("text", "n_chars")]
+    own = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = pages.select(F.col(page).alias("_html"), host_of(F.col(url)).alias("_host"), *own)
+    kinds = ", ".join(f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    rows = rows.join(hosts, "_host", "left").select("_html", "_path", *[f"_k{i}" for i in range(len(keep))])
+    out = rows.mapInArrow(_extract, f"{kinds}{', ' * bool(keep)}_text string")
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
