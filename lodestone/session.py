@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base or _own_dir()}/{uuid.uuid4().hex}"
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from the shared folder: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    for made in _scopes:
+        made.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that written() makes inside, for discard()."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
