@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import strip
+
 # The fields of a gold item and of a chunk, and the values that fields may have.
 GOLD_FIELDS = ("id", "question", "query_type", "expected_behavior", "relevant_doc_ids", "primary_doc_id", "source_ids", "source_priority", "reference_answer", "notes", "tags", "language")
 GOLD_REQUIRED = ("id", "question", "query_type", "expected_behavior", "source_priority")
 QUERY_TYPES = ("how-to", "troubleshooting", "where-is", "concept", "policy")
-BEHAVIORS = ("answer", "refuse")
+GOLD_VALUES = {"query_type": QUERY_TYPES, "expected_behavior": ("answer", "refuse"), "source_priority": ("p0", "p1"), "language": ("ru", "en", "mixed")}
 CHUNK_FIELDS = ("chunk_id", "doc_id", "source_id", "chunk_index", "text", "heading_path", "acl", "team", "priority", "language", "content_hash")
 
 
@@ -120,14 +122,14 @@ def gold_errors(gold: DataFrame, sources: DataFrame) -> DataFrame:
     rows = gold.withColumn("_row", F.xxhash64(F.to_json(F.struct(*gold.columns))))
     foreign = rows.select("_row", F.explode("source_ids").alias("source_id")).join(sources.select("source_id").distinct(), "source_id", "left_anti")
     rows = rows.join(foreign.select("_row").distinct().withColumn("_foreign", F.lit(True)), "_row", "left")
-    relevant = _ids("relevant_doc_ids")
+    relevant, blank = _ids("relevant_doc_ids"), lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     check = lambda bad, text: F.when(bad, F.lit(text))
-    answered = F.col("expected_behavior") == "answer"
+    answered, primary = F.col("expected_behavior") == "answer", F.col("primary_doc_id")
     required = [check(F.coalesce(F.col(c), F.lit("")) == "", f"missing {c}") for c in GOLD_REQUIRED]
     errors = F.array(
-        *required, check(~F.col("id").rlike("^q-[a-z0-9-]+$"), "bad id"), check(F.length("question") < 5, "short question"),
-        check(~F.col("query_type").isin(*QUERY_TYPES), "bad query_type"), check(~F.col("expected_behavior").isin(*BEHAVIORS), "bad expected_behavior"),
-        check(answered & (F.size(relevant) == 0), "no relevant document"), check(F.col("primary_doc_id").isNotNull() & ~F.array_contains(relevant, F.col("primary_doc_id")), "primary not relevant"),
+        *required, check(F.col("relevant_doc_ids").isNull(), "missing relevant_doc_ids"), check(~F.col("id").rlike("^q-[a-z0-9-]+$"), "bad id"), check(F.length(strip(F.col("question"))) < 5, "short question"),
+        *[check(~F.col(c).isin(*known), f"bad {c}") for c, known in GOLD_VALUES.items() if c in gold.columns], check(F.exists(relevant, blank), "blank relevant document"),
+        check(answered & (F.size("relevant_doc_ids") == 0), "no relevant document"), check(answered & blank(primary), "no primary document"), check(answered & ~blank(primary) & ~F.array_contains(relevant, primary), "primary not relevant"),
         check(F.col("_foreign"), "unknown source"),
     )
     return rows.withColumn("errors", F.array_compact(errors)).drop("_row", "_foreign")

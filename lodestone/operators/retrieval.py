@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import tokens
+from lodestone.session import written
 
 K1, B, RRF = 1.5, 0.75, 60
 TOP_K, CANDIDATES = 5, 20
@@ -157,7 +158,7 @@ def lexical_scores(index: LexicalIndex, queries: DataFrame, k: int | None = None
     is scored where it lies, for all queries, so no posting is shuffled, however frequent its word; a task sends only
     what may be among the k best of its documents."""
     spark = queries.sparkSession
-    words = _weights(index, queries)
+    words = written(_weights(index, queries))
     size = words.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q")).first()
     seats = max(1, -(-size["n"] // WORD_BLOCK), -(-size["q"] // QUERY_BLOCK))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.documents.schema['id'].dataType.simpleString()}, score double"

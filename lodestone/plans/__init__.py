@@ -220,8 +220,8 @@ def ask_case_order(spark, d):
     return corpus.ask_cases(_gold(spark, d), answer_limit=5).select("id", "part")
 
 
-@query(f"""WITH {GOLD} SELECT id, concat_ws(';', CASE WHEN item_id % 5 = 0 THEN 'bad id' END, CASE WHEN length(question) < 5 THEN 'short question' END, CASE WHEN query_type = 'riddle' THEN 'bad query_type' END,
-CASE WHEN expected_behavior = 'answer' AND len(relevant) = 0 THEN 'no relevant document' END, CASE WHEN NOT list_contains(relevant, primary_id) THEN 'primary not relevant' END, CASE WHEN source_id NOT IN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) THEN 'unknown source' END) AS errors FROM gold""")
+@query(f"""WITH {GOLD} SELECT id, concat_ws(';', CASE WHEN item_id % 5 = 0 THEN 'bad id' END, CASE WHEN length(trim(question)) < 5 THEN 'short question' END, CASE WHEN query_type = 'riddle' THEN 'bad query_type' END,
+CASE WHEN expected_behavior = 'answer' AND len(relevant) = 0 THEN 'no relevant document' END, CASE WHEN expected_behavior = 'answer' AND NOT list_contains(relevant, primary_id) THEN 'primary not relevant' END, CASE WHEN source_id NOT IN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) THEN 'unknown source' END) AS errors FROM gold""")
 def gold_item_errors(spark, d):
     sources = read(spark, d, "documents").select(F.col("source").alias("source_id"))
     return corpus.gold_errors(_gold(spark, d), sources).select("id", F.array_join("errors", ";").alias("errors"))

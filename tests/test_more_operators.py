@@ -254,6 +254,14 @@ def test_gold_selection_and_warnings(spark):
     assert [r.unknown for r in corpus.unknown_keys(lines).collect()] == [["extra"], [], None]
 
 
+def test_gold_errors_of_missing_and_blank_fields(spark):
+    base = {"id": "q-1", "question": "A question?", "query_type": "how-to", "expected_behavior": "answer", "relevant_doc_ids": ["a"], "primary_doc_id": "a", "source_ids": ["wiki"], "source_priority": "p0", "reference_answer": None, "notes": None, "tags": None, "language": "en"}
+    changes = [({}, set()), ({"id": "q-2", "primary_doc_id": None}, {"no primary document"}), ({"id": "q-3", "relevant_doc_ids": None}, {"missing relevant_doc_ids", "primary not relevant"}), ({"id": "q-4", "relevant_doc_ids": ["a", " "]}, {"blank relevant document"}), ({"id": "q-5", "question": "  Why  ", "source_priority": "p9", "language": "fr"}, {"short question", "bad source_priority", "bad language"}), ({"id": "q-6", "expected_behavior": "refuse", "relevant_doc_ids": [], "primary_doc_id": None, "source_ids": None, "language": None}, set()), ({"id": None, "query_type": None}, {"missing id", "missing query_type"}), ({"id": "q-7", "source_ids": ["wiki", "x"]}, {"unknown source"})]
+    gold = spark.createDataFrame([tuple((base | c).values()) for c, _ in changes] * 2, S.GOLD)
+    got = Counter((r.id, frozenset(r.errors)) for r in corpus.gold_errors(gold, spark.createDataFrame([("wiki",), ("wiki",)], "source_id string")).collect())
+    assert got == Counter({((base | c)["id"], frozenset(e)): 2 for c, e in changes})
+
+
 def test_coverage_and_chunk_errors(spark):
     catalog = spark.createDataFrame([("wiki", ["a", "b"])], "source_id string, sample_doc_ids array<string>")
     gold = spark.createDataFrame([("q-1", ["b", "c"], "d", ["wiki", "else"])], "id string, relevant_doc_ids array<string>, primary_doc_id string, source_ids array<string>")
