@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_dir, written  # noqa: F401  (operators take them from here)
+
 #: Text handled at once inside a task, in bytes: bounds a task's Python memory whatever the batch size.
 CHUNK_BYTES = 4 << 20
 
@@ -22,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the cluster's shared folder; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or _own_dir()}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared folder: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % n
@@ -72,6 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("c"), F.col("component_id").alias("further"))
         new = written(step.join(jump, "c", "left").select("id", F.least("c", "further").alias("component_id"), "was"))
         changed = new.where("component_id <> was").limit(1).count()
-        labels = new.select("id", "component_id")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("id", "component_id")

@@ -1,9 +1,10 @@
 """Near-copies among texts by a chosen-path set similarity join.
 
-A text is its set of distinct word shingles. Each set has COORDINATES minwise tokens. In each of TREES independent
+A text is its set of distinct word shingles. Each set has COORDINATES minwise tokens. In each of some independent
 trees, a node selects coordinates at random, 1 / 0.85 of them on average, and a set goes on to one child per selected
 coordinate, named by its token there; two sets with similarity s meet in a child with probability s, and branching
-makes up for the loss. Nodes of at most SMALL sets are compared exhaustively on their minwise tokens; larger ones
+makes up for the loss. So many trees are grown that a pair at the threshold meets in one of them with chance RECALL, by
+the chance that its branching in a tree dies out before LEVELS. Nodes of at most SMALL sets are compared exhaustively on their minwise tokens; larger ones
 branch again, and what is still large after LEVELS is a family of near copies.
 
 Equal sets are one class from the start. Sets that look similar form families, and inside a family links are
@@ -14,6 +15,7 @@ become pairs of rows, and every candidate pair is either linked through others o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks, components, written
 
-COORDINATES, TREES, LEVELS, SMALL = 64, 10, 4, 64
+COORDINATES, LEVELS, SMALL = 64, 4, 64
+RECALL = 0.9999
+#: Paths of more sets than this are hot: they are counted and joined apart from the others, without a shuffle by path.
+HOT, BROADCAST_PATHS = 256, 1_000_000
 #: Pairs whose minwise tokens agree less than this aren't candidates: 0.85 less five standard deviations.
 LOOKS = 0.6
 BLOCK, LEADERS = 256, 16
@@ -41,8 +46,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def trees(share: float) -> int:
+    """Trees that let a pair at similarity `share` meet with chance RECALL: a child is drawn for one coordinate, and a
+    second one with chance 1 / share - 1; the pair goes on in each with chance `share`."""
+    lost, more = 0.0, 1 / share - 1
+    for _ in range(LEVELS):
+        lost = (1 - share + share * lost) * (1 - more * share + more * share * lost)
+    return math.ceil(math.log(1 - RECALL) / math.log(lost))
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of the distinct k-word shingles of each text; fewer words are one shingle, none are no set."""
+    """Sorted 64-bit hashes of the distinct k-word shingles of each text; fewer words are one shingle, none are no set.
+    k is 1 or more. Different shingles of one pair of texts share a hash with a chance of about 1e-19 each."""
     number: dict[bytes, int] = {}
     words = [t.lower().split() if t else [] for t in texts]
     index = [[number.setdefault(w, len(number)) for w in ws] for ws in words]
@@ -51,7 +66,10 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     for ix in index:
         h = hashes[ix] if ix else np.zeros(0, np.uint64)
         if len(h) < k:
-            out.append(_mix((h * _K[: len(h)]).sum(keepdims=True) + np.uint64(len(h)) if len(h) else h))
+            s = h[:1] * _K[2]
+            for j in range(1, len(h)):
+                s = _mix(s) + h[j] * _K[2 + j % 6]
+            out.append(_mix(s + np.uint64(len(h))))
             continue
         s = h[: len(h) - k + 1] * _K[2]
         for j in range(1, k):
@@ -75,12 +93,12 @@ def _describe(k: int):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 digest = [xxhash.xxh128_digest(s.tobytes()) if len(s) else b"none" + str(i).encode() for s, i in zip(sets, ids, strict=True)]
                 sig = [minwise(s).tobytes() if len(s) else b"" for s in sets]
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "content": part.column("content"), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array(digest, pa.binary()), "sig": pa.array(sig, pa.binary())})
 
     return run
 
 
-def _children(level: int, fraction: float):
+def _children(level: int, fraction: float, n_trees: int):
     """Paths of the next level: (path, rep, tree) for each selected coordinate of each row (path, rep, sig)."""
     chance = 1 / fraction - 1
 
@@ -91,7 +109,7 @@ def _children(level: int, fraction: float):
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES)
             rep = batch.column("rep").to_numpy()
             paths, reps = [], []
-            starts = [np.full(len(rep), t * 7919 + 1, np.uint64) for t in range(TREES)] if level == 0 else [batch.column("path").to_numpy().view(np.uint64)]
+            starts = [np.full(len(rep), t * 7919 + 1, np.uint64) for t in range(n_trees)] if level == 0 else [batch.column("path").to_numpy().view(np.uint64)]
             for start in starts:
                 draw = _mix(start * _K[3] + np.uint64(level + 1))
                 for j in range(2):  # one coordinate always, a second with the chance that makes 1 / fraction
@@ -206,28 +224,47 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _sized(paths: DataFrame, sizes: DataFrame) -> DataFrame:
+    """paths with the sizes of those in `sizes`. Hot paths are few (a path in HOT at most), and are broadcast after a
+    count, so their rows stay where they lie; only the others are joined by path."""
+    hot = sizes.where(F.col("size") > HOT)
+    if hot.count() > BROADCAST_PATHS:
+        return paths.join(sizes, "path")
+    known = paths.join(F.broadcast(hot.select("path", F.col("size").alias("_hot"))), "path", "left")
+    cold = known.where("_hot is null").drop("_hot").join(sizes.where(F.col("size") <= HOT), "path")
+    return cold.unionByName(known.where("_hot is not null").withColumnRenamed("_hot", "size"))
+
+
 def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles, component_id, kept; links have den * |intersection| >= num * |union|.
 
-    A null text, or one without words, has no shingles and links with nothing. Keys are integers; rows that repeat a
-    key are linked with each other's links, and a row with a null key is no one's representative. Empty input gives no rows."""
-    source = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).cast("long").alias("id"))
-    described = written(source.mapInArrow(_describe(k), "id long, n long, digest binary, sig binary"))
-    classes = written(described.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    reps = classes.where("n > 0 and rep is not null").select("rep", "sig")
+    A null text, or one without words, has no shingles and links with nothing. Keys are integers and only name rows:
+    rows that repeat a key are linked by their texts like any others. A row with a null key links as well, and belongs
+    to the smallest key that it reaches; only where there is none is its component null and the row kept. Pairs are
+    confirmed on the 64-bit hashes of their shingles. k is 1 or more. Empty input gives no rows."""
+    source = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("content"))
+    described = written(source.mapInArrow(_describe(k), "id long, content long, n long, digest binary, sig binary"))
+    # A class is named by a number of its own; its text is found again by the smallest key and content that it has.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("r")
+    classes = described.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = written(classes.select("digest", F.col("r.id").alias("name"), F.col("r.content").alias("content"), "n", "sig", F.monotonically_increasing_id().alias("rep")))
+    reps = classes.where("n > 0").select("rep", "sig")
+    n_trees = trees(num / den)
 
     # Branch level by level; small nodes are compared, single sets drop out.
     alike = None
     rows = reps
     for level in range(LEVELS):
-        paths = written(rows.mapInArrow(_children(level, num / den), "path long, rep long").distinct())
-        sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        nodes = written(paths.join(sizes, "path"))
+        paths = written(rows.mapInArrow(_children(level, num / den, n_trees), "path long, rep long").distinct())
+        sizes = written(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        nodes = written(_sized(paths, sizes))
         small = nodes.where(F.col("size") <= SMALL).select("path", "rep").join(reps, "rep").repartition("path").sortWithinPartitions("path", "rep")
         edges = small.mapInArrow(_look_alike, "a long, b long").distinct()
         large = nodes.where(F.col("size") > SMALL)
         if level == LEVELS - 1:
-            star = large.join(large.groupBy("path").agg(F.min("rep").alias("a")), "path").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+            leaders = written(large.groupBy("path").agg(F.min("rep").alias("a")))
+            leaders = F.broadcast(leaders) if leaders.count() <= BROADCAST_PATHS else leaders
+            star = large.join(leaders, "path").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
             edges = edges.union(star)
         edges = written(edges)
         alike = edges if alike is None else alike.union(edges)
@@ -238,7 +275,13 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
     families = components(alike).select(F.col("id").alias("rep"), F.col("component_id").alias("family"))
     families = written(families.join(families.groupBy("family").agg(F.count("*").alias("size")), "family"))
     few = families.count() <= BROADCAST_ROWS
-    texts = source.withColumnRenamed("id", "rep").join(F.broadcast(families) if few else families, "rep")
+    wanted = families.join(classes.select("rep", "name", "content"), "rep")
+    wanted = F.broadcast(wanted) if few else wanted
+    # Rows without a key that share a text all match their class: one of them is enough.
+    own = ["text", "rep", "family", "size"]
+    keyed = source.where("id is not null").join(wanted.where("name is not null"), (F.col("id") == F.col("name")) & (source["content"] == wanted["content"])).select(*own)
+    rest = source.where("id is null").join(wanted.where("name is null"), source["content"] == wanted["content"]).select(*own).dropDuplicates(["rep"])
+    texts = keyed.unionByName(rest)
     sets = written(texts.select("text", "rep", "family", "size").mapInArrow(_sets(k), "rep long, family long, size long, set binary"))
 
     # First pass: blocks of large families hold the leaders as well.
@@ -275,6 +318,9 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
             links = links.union(confirm(stay.union(visit)))
             groups = components(links)
 
-    per_class = classes.join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    groups = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group"))
+    named = groups.join(classes.select("rep", "name"), "rep").groupBy("group").agg(F.min("name").alias("least"))
+    per_class = classes.join(groups, "rep", "left").join(named, "group", "left").select("digest", F.coalesce("least", "name").alias("own"))
     out = described.select("id", "n", "digest").join(per_class, "digest")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    component = F.when(F.col("n") > 0, F.col("own")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
