@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -45,13 +45,24 @@ class LexicalIndex:
         return rows.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
 
 
-def term_counts(words: Column) -> tuple[Column, Column]:
-    """(terms, tfs) of a sorted list of words: where runs of equal words start, and how long they are. Nothing is
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once per row, however often body's own lambdas refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(words: Column) -> Column:
+    """struct(terms, tfs) of a sorted list of words: where runs of equal words start, and how long they are. Nothing is
     exploded, so a document's terms are counted where the document lies."""
-    last = F.size(words)
-    starts = F.filter(F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
-    tfs = F.transform(starts, lambda i, j: (F.coalesce(F.get(starts, j + 1), last) - i).cast("long"))
-    return F.transform(starts, lambda i: F.get(words, i)), tfs
+
+    def counted(w: Column, starts: Column) -> Column:
+        tfs = F.transform(starts, lambda i, j: (F.coalesce(F.get(starts, j + 1), F.size(w)) - i).cast("long"))
+        return F.struct(F.transform(starts, lambda i: F.get(w, i)).alias("terms"), tfs.alias("tfs"), F.size(w).alias("dl"))
+
+    def starts_of(w: Column) -> Column:
+        every = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+
+    return _bound(words, lambda w: _bound(starts_of(w), lambda s: counted(w, s)))
 
 
 def _statistics(documents: DataFrame) -> LexicalIndex:
@@ -62,10 +73,8 @@ def _statistics(documents: DataFrame) -> LexicalIndex:
 
 def build_lexical(docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
     """The index as plans over docs: each of its tables reads docs anew. store_lexical() writes them once."""
-    words = docs.select(F.col(key).alias("id"), F.sort_array(tokens(F.col(text))).alias("w"))
-    starts = words.select("id", "w", F.size("w").alias("dl"))
-    terms, tfs = term_counts(F.col("w"))
-    return _statistics(starts.select("id", "dl", terms.alias("terms"), tfs.alias("tfs")))
+    counts = docs.select(F.col(key).alias("id"), term_counts(F.sort_array(tokens(F.col(text)))).alias("c"))
+    return _statistics(counts.select("id", "c.dl", "c.terms", "c.tfs"))
 
 
 def store_lexical(index: LexicalIndex, path: str) -> LexicalIndex:
