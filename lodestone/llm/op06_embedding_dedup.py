@@ -2,11 +2,13 @@
 
 A vector is described by its PREFIX nearest reference points in order. An inverted list per label and pivot holds the
 vectors with that pivot in their prefix; two vectors that share SHARED pivots or more are candidates, counted in the
-list of the first pivot they share, and their cosine is then taken in double precision. At cosine 0.98 and above two
-prefixes of 8 share 3 pivots in over 99.9% of pairs, for 32 to 2,048 pivots (measured in 64 dimensions).
+list of the first pivot they share, and their cosine is then taken in double precision. Of pairs at cosine 0.98, two
+prefixes of 8 share 2 pivots in 99.97% or more (64 and 256 dimensions, 512 to 16,384 pivots; a test measures it), and
+in 99.4% or more in 8 dimensions.
 
-Equal vectors are one class throughout. A long list is cut into blocks, and each pair of blocks is one task, so no
-list, however hot, is gathered in one task; pairs are counted inside the tasks and never become rows.
+The number of pivots grows with the square root of the number of vectors, and so does the length of a list. Equal
+vectors are one class throughout. A long list is cut into blocks, and each pair of blocks is one task, so no list,
+however hot, is gathered in one task; pairs are counted inside the tasks and never become rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-PREFIX, SHARED = 8, 3
-BLOCK = 1024
-MIN_PIVOTS, MAX_PIVOTS, ROWS_PER_PIVOT = 32, 2048, 400
-PIVOT_COSINE = 0.8
+PREFIX, SHARED = 8, 2
+BLOCK = 2048
+#: Pivots: so many times the root of the number of vectors, within bounds; the upper one bounds what is broadcast.
+PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 2.26, 32, 16_384
+#: So many pivots are chosen to lie apart, by this cosine; further ones are vectors of the sample as they come.
+APART, PIVOT_COSINE = 2048, 0.8
 
 
 def valid(vector: Column) -> Column:
@@ -38,15 +42,20 @@ def _unit(rows) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Reference points by dimension: for each, n of a bounded sample by hash that lie apart, then random directions."""
+    """Reference points by dimension, from a bounded sample by hash of 4 * APART vectors, or n if that is more: first
+    up to APART that lie apart, then others, then random directions. All n lie in the space of the vectors."""
     dims = [r[0] for r in vectors.select(F.size("vector")).distinct().collect()]
     out = {}
     for dim in dims:
-        own = vectors.where(F.size("vector") == dim).orderBy(F.xxhash64("rep"), "rep").limit(4 * n).select("vector").collect()
-        chosen = np.zeros((0, dim))
-        for v in _unit([r[0] for r in own]) if own else []:
-            if len(chosen) < n and (not len(chosen) or (chosen @ v).max() < PIVOT_COSINE):
-                chosen = np.vstack([chosen, v])
+        own = vectors.where(F.size("vector") == dim).orderBy(F.xxhash64("vector"), "cid").limit(max(4 * min(n, APART), n)).select("vector").toPandas()["vector"]
+        sample = _unit(own) if len(own) else np.zeros((0, dim))
+        most = min(n, APART)
+        chosen, taken, count = np.zeros((most, dim)), np.zeros(len(sample), bool), 0
+        for i, v in enumerate(sample):
+            if count < most and (not count or (chosen[:count] @ v).max() < PIVOT_COSINE):
+                chosen[count], taken[i] = v, True
+                count += 1
+        chosen = np.vstack([chosen[:count], sample[~taken][: max(0, n - APART)]])
         fill = np.random.default_rng(dim).normal(size=(n - len(chosen), dim))
         out[dim] = np.vstack([chosen, fill / np.linalg.norm(fill, axis=1, keepdims=True)])
     return out
@@ -66,13 +75,16 @@ def dedup(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str
     """Per row: key, n_links (other rows of the label with cosine >= least), component_id, kept.
 
     Rows with a null label or an invalid vector link with nothing. Vectors of different lengths don't link. Keys are
-    integers; rows that repeat a key and its vector count as further copies. Empty input gives no rows."""
+    integers; rows that repeat a key and its vector count as further copies. A row with a null key links and counts
+    like any other, but names no component: it belongs to the smallest key reachable, and only where there is none is
+    its component null and the row kept. Empty input gives no rows."""
     spark = rows.sparkSession
     all_rows = rows.select(F.col(key).cast("long").alias("id"), F.when(F.col(label).isNotNull() & valid(F.col(vector)), F.col(vector).cast("array<double>")).alias("vector"), F.col(label).cast("string").alias("label"))
     good = all_rows.where("vector is not null")
-    classes = written(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("rep is not null"))
+    # Classes have numbers of their own: written with them, so that they never change.
+    classes = written(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("m")).withColumn("cid", F.monotonically_increasing_id()))
     n = classes.count()
-    n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_PER_PIVOT)))
+    n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
     pivots = spark.sparkContext.broadcast(choose_pivots(classes, n_pivots))
 
     @F.pandas_udf("array<int>")
@@ -93,35 +105,36 @@ def dedup(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str
     sizes = posted.groupBy(*lists).agg(F.count("*").alias("n")).where("n > 1")
     dealt = posted.join(sizes, lists)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # Block b meets every block: as the first of the pair (b, x) for x >= b, as the second of (x, b) for x < b.
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*lists, "rep", "m", "vector", "prefix", F.least("b", "x").alias("b1"), F.greatest("b", "x").alias("b2"), "b")
+    dealt = dealt.select(*lists, "cid", "m", "vector", "prefix", F.least("b", "x").alias("b1"), F.greatest("b", "x").alias("b2"), "b")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        rep, m, b = group["rep"].to_numpy(), group["m"].to_numpy(), group["b"].to_numpy()
+        group = group.sort_values("cid")
+        cid, m, b = group["cid"].to_numpy(), group["m"].to_numpy(), group["b"].to_numpy()
         pivot, b1, b2 = (int(group[c].iloc[0]) for c in ("pivot", "b1", "b2"))
         own = _linked(_unit(group["vector"]), np.stack(group["prefix"].tolist()).astype(np.int64), n_pivots, pivot, least)
         if b1 != b2:
             own &= b[:, None] != b[None, :]
         links = own @ m
-        root = np.arange(len(rep))
+        root = np.arange(len(cid))
         while True:  # smallest row reachable inside the block
-            near = np.where(own, root[None, :], len(rep)).min(axis=1, initial=len(rep))
+            near = np.where(own, root[None, :], len(cid)).min(axis=1, initial=len(cid))
             new = np.minimum(root, near)
             new = new[new]
             if (new == root).all():
                 break
             root = new
         at = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[at], "links": links[at], "root": rep[root[at]]})
-
-    found = written(dealt.groupBy(*lists, "b1", "b2").applyInPandas(compare, "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_class = classes.join(links, "rep", "left").join(groups, F.col("rep") == F.col("id"), "left").select(
-        "label", "vector", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
+        return pd.DataFrame({"cid": cid[at], "links": links[at], "root": cid[root[at]]})
+
+    found = written(dealt.groupBy(*lists, "b1", "b2").applyInPandas(compare, "cid long, links long, root long"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component_id").alias("group"))
+    named = groups.join(classes.select("cid", "rep"), "cid").groupBy("group").agg(F.min("rep").alias("name"))
+    per_class = classes.join(links, "cid", "left").join(groups, "cid", "left").join(named, "group", "left").select(
+        "label", "vector", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component_id")
     )
     # A row without a valid vector keeps its null on the left side and finds no class.
     out = all_rows.join(per_class, ["label", "vector"], "left")
