@@ -19,6 +19,8 @@ MOST = 2
 #: Hexadecimal digits of the hash per level, and levels: 4 * 3 digits tell 2.8e14 documents of a source apart.
 DIGITS, LEVELS = 3, 4
 BUCKETS = 16**DIGITS
+#: Tables with a row per source are broadcast up to so many sources; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,6 +50,10 @@ def _hash(key: Column) -> Column:
     return F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
+def _small(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_SOURCES else table
+
+
 def thresholds(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> list[tuple]:
     """(source, its size, target, times, bound, closed) for rows (s, size, h): documents of the source are taken
     `times` times, and once more where the hash is below the bound (or at it, if closed)."""
@@ -60,7 +66,7 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     at = {s: ("", 0, 0) for s, _ in sizes}  # a prefix of the hash, the sizes before it, and the sizes with it
     for level in range(LEVELS):
         plan = spark.createDataFrame([(s, float(budget[s]), at[s][0], at[s][1]) for s in at], "p string, budget double, prefix string, below long")
-        there = rows.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("p")) & F.col("h").startswith(F.col("prefix")))
+        there = rows.join(_small(plan, len(sizes)), F.col("s").eqNullSafe(F.col("p")) & F.col("h").startswith(F.col("prefix")))
         sums = there.groupBy("p", "budget", "prefix", "below", F.substring("h", 1 + DIGITS * level, DIGITS).alias("d")).agg(F.sum("size").alias("n"))
         running = F.col("below") + F.sum("n").over(Window.partitionBy("p").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
         over = sums.withColumn("upto", running).where("upto > budget")
@@ -73,10 +79,10 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 def with_times(rows: DataFrame, ends: list[tuple], source: Column, h: Column, most: int = MOST) -> DataFrame:
     """rows with source_size, target and times (how often the mix takes the row)."""
-    ends = rows.sparkSession.createDataFrame(ends, "_p string, source_size long, target double, _times long, _bound string, _closed boolean")
+    table = rows.sparkSession.createDataFrame(ends, "_p string, source_size long, target double, _times long, _bound string, _closed boolean")
     head = F.substring(h, 1, DIGITS * LEVELS)
     once = (F.col("_times") < most) & ((head < F.col("_bound")) | (F.col("_closed") & (head == F.col("_bound"))))
-    joined = rows.join(F.broadcast(ends), source.eqNullSafe(F.col("_p")))
+    joined = rows.join(_small(table, len(ends)), source.eqNullSafe(F.col("_p")))
     return joined.withColumn("times", F.col("_times") + F.when(once, 1).otherwise(0)).drop("_p", "_times", "_bound", "_closed")
 
 
@@ -90,7 +96,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A source with target t and size s takes every document floor(t / s) times, and once more those with the smallest
     hashes, up to the sum that comes nearest to t - s * floor(t / s). Rows with the same key in a source share a hash
     and are taken alike. Words are counted once per row; a null text has size 0, and null is a source of its own.
-    What reaches the driver is bounded by the number of sources. Empty input gives no rows."""
+    What reaches the driver is a row of a few dozen bytes per source; it is counted there before it is broadcast. Empty
+    input gives no rows."""
     rows = _sized(docs, key, text, source)
     out = with_times(rows, thresholds(rows, weights, share, most), F.col("s"), F.col("h"), most)
     return out.select(F.col("k").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
