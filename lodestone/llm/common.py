@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Narrow rows, written and counted: to be broadcast if they are few, and joined by shuffle if not."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % n

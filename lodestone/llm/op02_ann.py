@@ -122,8 +122,8 @@ def _matrix(v: pd.Series) -> np.ndarray:
 def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for the rows where is_query holds, k rows of largest inner product.
 
-    Rows with a null key, and vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths don't
-    meet. A query for which the probes find fewer than k rows visits every bucket of one table, so it gets all rows
+    Rows with a null key, and vectors that are null, zero, or hold null or non-finite components take no part; vectors
+    of different lengths don't meet. A product that is too large for a double is an infinite score. A query for which the probes find fewer than k rows visits every bucket of one table, so it gets all rows
     where there are fewer. Keys are integers and name a vector; repeated rows count once. Empty input gives no rows."""
     sc = rows.sparkSession.sparkContext
     good = rows.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import broadcast_few, components, written
 
 PREFIX, SHARED = 8, 2
 BLOCK = 2048
@@ -132,7 +132,7 @@ def dedup(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str
     found = written(dealt.groupBy(*lists, "b1", "b2").applyInPandas(compare, "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component_id").alias("group"))
-    named = groups.join(classes.select("cid", "rep"), "cid").groupBy("group").agg(F.min("rep").alias("name"))
+    named = broadcast_few(groups.join(classes.select("cid", "rep"), "cid").groupBy("group").agg(F.min("rep").alias("name")))
     per_class = classes.join(links, "cid", "left").join(groups, "cid", "left").join(named, "group", "left").select(
         "label", "vector", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component_id")
     )

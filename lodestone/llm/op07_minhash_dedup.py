@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, components, written
+from .common import broadcast_few, byte_chunks, components, written
 
 COORDINATES, LEVELS, SMALL = 64, 4, 64
 RECALL = 0.9999
@@ -68,7 +68,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
         if len(h) < k:
             s = h[:1] * _K[2]
             for j in range(1, len(h)):
-                s = _mix(s) + h[j] * _K[2 + j % 6]
+                s = _mix(s) + h[j : j + 1] * _K[2 + j % 6]
             out.append(_mix(s + np.uint64(len(h))))
             continue
         s = h[: len(h) - k + 1] * _K[2]
@@ -262,8 +262,7 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
         edges = small.mapInArrow(_look_alike, "a long, b long").distinct()
         large = nodes.where(F.col("size") > SMALL)
         if level == LEVELS - 1:
-            leaders = written(large.groupBy("path").agg(F.min("rep").alias("a")))
-            leaders = F.broadcast(leaders) if leaders.count() <= BROADCAST_PATHS else leaders
+            leaders = broadcast_few(large.groupBy("path").agg(F.min("rep").alias("a")), BROADCAST_PATHS)
             star = large.join(leaders, "path").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
             edges = edges.union(star)
         edges = written(edges)
@@ -319,7 +318,7 @@ def dedup(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, key: str =
             groups = components(links)
 
     groups = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group"))
-    named = groups.join(classes.select("rep", "name"), "rep").groupBy("group").agg(F.min("name").alias("least"))
+    named = broadcast_few(groups.join(classes.select("rep", "name"), "rep").groupBy("group").agg(F.min("name").alias("least")))
     per_class = classes.join(groups, "rep", "left").join(named, "group", "left").select("digest", F.coalesce("least", "name").alias("own"))
     out = described.select("id", "n", "digest").join(per_class, "digest")
     component = F.when(F.col("n") > 0, F.col("own")).otherwise(F.col("id"))
