@@ -106,6 +106,8 @@ class _Numbers(dict):
 
 #: Punctuation that is cut off a word's end: one pre-token, whatever it follows. No apostrophe: it may start one.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Distinct words that one worker keeps the ids of; a bound on memory, like CACHE_WORDS.
+WORDS = 300_000
 #: Words joined by spaces and encoded at once.
 _AT_ONCE = 2000
 
@@ -121,7 +123,7 @@ class WordIds:
     """Token ids of whole texts under a tokenizer that lower-cases, drops white space and marks each pre-token's last id.
 
     Texts are cut at ASCII white space and their distinct words are looked up, chunk by chunk. A word of letters and closing marks is two parts, and any other word
-    is one; the ids of all parts known to a worker lie in one array, and a text is a gather of ranges from it. Parts of
+    is one; the ids of all words known to a worker lie in one array, and a text is a gather of ranges from it. Parts of
     letters are single pre-tokens, so many are encoded as one text and told apart by the marked ids; the others go
     through the library one by one."""
 
@@ -131,20 +133,18 @@ class WordIds:
         self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.special = sorted({s[:2] for s in _specials(self.tok)})
-        self.words, self.parts = _Numbers(), _Numbers([b""])
-        self.hits, self.pair = np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
-        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.words = _Numbers()
+        self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
-        """Keep the half of the words that was used most, and their parts."""
-        keep = np.sort(np.argpartition(-self.hits, CACHE_WORDS // 2)[: CACHE_WORDS // 2])
-        words, parts = list(self.words), list(self.parts)
-        used, pair = np.unique(np.append(self.pair[keep], 0), return_inverse=True)
-        size = self.size[used]
-        self.ids = _ranges(self.ids, self.start[used], size)
+        """Keep the half of the words that was used most."""
+        most = min(WORDS, CACHE_WORDS) // 2
+        keep = np.sort(np.argpartition(-self.hits, most)[:most])
+        words, size = list(self.words), self.size[keep]
+        self.ids = _ranges(self.ids, self.start[keep], size)
         self.start, self.size, self.hits = np.cumsum(size) - size, size, self.hits[keep] // 2
-        self.pair = pair[:-1].reshape(-1, 2).astype(np.int32)
-        self.words, self.parts = _Numbers([words[k] for k in keep.tolist()]), _Numbers([parts[k] for k in used.tolist()])
+        self.words = _Numbers([words[k] for k in keep.tolist()])
 
     def _encode(self, parts: list[bytes]) -> tuple[list[int], np.ndarray]:
         """Ids of parts, one after the other, and how many each has."""
@@ -173,38 +173,37 @@ class WordIds:
         return _ranges(flat, start, size), size
 
     def _append(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Ids of words that were just numbered, in that order."""
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int64)])
         self.ids = np.concatenate([self.ids, ids])
+        self.words.new = []
 
     def _close(self, id_: int) -> int:
         """Number of a word that stands for this one id; no word of a text holds a space."""
-        key = b" %d" % id_
-        if key not in self.words:
-            self.pair = np.concatenate([self.pair, np.array([[self.parts[key], 0]], np.int32)])
-            self.hits = np.append(self.hits, 0)
+        number = self.words[b" %d" % id_]
+        if self.words.new:
             self._append(np.array([id_], np.uint32), np.ones(1, np.int64))
-            self.words[key]
-            self.words.new, self.parts.new = [], []
-        return self.words[key]
+        return number
 
     def _learn(self, words: list[bytes]) -> None:
-        """Parts and ids of words that were just numbered, in that order."""
-        parts, pair = self.parts, []
+        """Ids of words that were just numbered, from those of their parts: known words, or new ones of this chunk."""
+        old, number, new, pair = len(self.start), self.words.get, {}, []
         for w in words:
             b = w.rstrip(_MARKS)
-            if len(b) < len(w) and (b.isalpha() or _plain(b.decode())):
-                pair += parts[b], parts[w[len(b) :]]
-            else:
-                pair += parts[w], 0
-        self._append(*self._encode(parts.new))
-        parts.new = []
-        self.pair = np.concatenate([self.pair, np.array(pair, np.int32).reshape(-1, 2)])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+            for x in (b, w[len(b) :]) if len(b) < len(w) and (b.isalpha() or _plain(b.decode())) else (w, b""):
+                n = number(x, old) if x else -1
+                pair.append(n if n < old else old + new.setdefault(x, len(new)))
+        ids, size = self._encode(list(new))
+        size = np.concatenate([self.size, size, [0]])
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(size[old:]) - size[old:]])
+        pair = np.array(pair, np.int64)
+        self._append(_ranges(np.concatenate([self.ids, ids]), start[pair], size[pair]), size[pair].reshape(-1, 2).sum(axis=1))
 
     def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > min(WORDS, CACHE_WORDS):
             self._forget()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         lower = pc.ascii_lower(texts)
@@ -218,7 +217,6 @@ class WordIds:
         number = np.fromiter(map(self.words.__getitem__, coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         if self.words.new:
             self._learn(self.words.new)
-            self.words.new = []
         at = coded.indices.to_numpy(zero_copy_only=False)
         self.hits[number] += np.bincount(at, minlength=len(number))
         # First the ids of the chunk's distinct words, one after the other, then a range of them for each word.
@@ -227,10 +225,8 @@ class WordIds:
             words, at = at, np.full(len(at) + len(texts), len(number) - 1, np.int32)
             at[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)] = words
             counts = counts + 1
-        part = self.pair[number]
-        size = self.size[part]
-        own = _ranges(self.ids, self.start[part].reshape(-1), size.reshape(-1))
-        size = size.sum(axis=1)
+        size = self.size[number]
+        own = _ranges(self.ids, self.start[number], size)
         start, size = (np.cumsum(size) - size)[at], size[at]
         per_word = np.concatenate([[0], np.cumsum(size)])
         return _ranges(own, start, size), np.diff(per_word[np.concatenate([[0], np.cumsum(counts)])])
