@@ -3,8 +3,8 @@
 For each language, counts of the bytes that follow every context of 0 to 3 bytes in labelled texts. Where a context
 has not seen a byte, an escape (distinct bytes / (occurrences + distinct bytes)) leads to the context without its
 oldest byte, in the end to one byte in 256. The counts are frozen; a text's code length under a language is the exact
-sum over all its bytes, and the shortest code wins. Costs are laid out once per worker as a table (context, byte,
-language), so that scoring is two array look-ups a byte.
+sum over all its bytes, and the shortest code wins. Costs are laid out once per worker as tables (context, byte,
+language) of LANGS languages each, so that scoring is two array look-ups a byte and table.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from .common import byte_chunks
 ORDER = 3
 #: Labelled texts learned from, per language, in expectation: a bounded sample by hash of the id.
 SAMPLE_DOCS = 300
-#: Contexts seen fewer times in all languages together are left to the next shorter one.
-MIN_CONTEXT = 2
+#: Languages in one table, and tables that a worker keeps; further ones are laid out anew for each chunk of texts.
+LANGS, TABLES = 8, 8
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
-_models: dict[str, Model] = {}
+_models: dict[tuple[str, int], Model] = {}
 
 
 class Model:
@@ -43,14 +43,12 @@ class Model:
         self.code[used] = np.arange(1, used.sum() + 1)
         a = self.a = int(used.sum()) + 1
         parts = [[self.code[(g >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)] for g in grams]
-        every = np.concatenate(counts) if n_lang else np.zeros(0, np.int64)
         rows = np.full((1, a, n_lang), 8.0, np.float32)
         at = np.zeros(1, np.int64)  # context code -> row of its longest known suffix
         all_rows, offset = [], 0
         for k in range(ORDER + 1):
             ctx = [sum(p[3 - j] * a ** (j - 1) for j in range(1, k + 1)) + np.zeros(len(p[0]), np.int64) for p in parts]
-            keys, inv = np.unique(np.concatenate(ctx), return_inverse=True) if n_lang else (np.zeros(0, np.int64), [])
-            keys = keys[np.bincount(inv, every, len(keys)) >= (MIN_CONTEXT if k else 1)] if n_lang else keys
+            keys = np.unique(np.concatenate(ctx)) if n_lang else np.zeros(0, np.int64)
             parent = at if k == 0 else np.tile(at, a)
             own = parent[keys] if k else np.zeros(len(keys), np.int64)
             mine = (np.concatenate(all_rows)[own] if k else np.repeat(rows, len(keys), 0)).copy()
@@ -104,13 +102,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
     """Statistics of labelled texts: all columns are expressions on docs; rows with a null text or lang are left out.
 
-    About SAMPLE_DOCS whole texts of each language are learned from, those with the smallest hashes of the key."""
+    About SAMPLE_DOCS whole texts of each language are learned from, those with the smallest hashes of the key, or of
+    the text where the key is null. Rows that repeat a key are all in the sample or all out of it."""
     rows = docs.select(lang.alias("lang"), text.cast("binary").alias("text"), key.cast("string").alias("key")).where("lang is not null and text is not null")
     share = {r["lang"]: min(1.0, SAMPLE_DOCS / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return [], [], []
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < rate * (1 << 30))
+    rows = rows.withColumn("h", F.when(F.col("key").isNotNull(), F.xxhash64("key")).otherwise(F.xxhash64("text")))
+    sample = rows.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
     grams = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     grams = grams.sort_values(["lang", "gram"])
     langs = sorted(grams["lang"].unique())
@@ -127,20 +127,25 @@ def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | No
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     if not stats[0]:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared, key = docs.sparkSession.sparkContext.broadcast(stats), uuid.uuid4().hex
+    shared, key, langs = docs.sparkSession.sparkContext.broadcast(stats), uuid.uuid4().hex, stats[0]
+    starts = range(0, len(langs), LANGS)
+
+    def model(start: int) -> Model:
+        if (key, start) not in _models:
+            if len(_models) >= TABLES or any(k != key for k, _ in _models):
+                _models.clear()
+            _models[key, start] = Model(*(x[start : start + LANGS] for x in shared.value))
+        return _models[key, start]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        model = _models[key]
         for batch in batches:
             for part in byte_chunks(batch, text, 2 << 20):
                 known = part.column("_lettered").to_pylist()
-                bits = model.bits([t.encode() if k else b"" for t, k in zip(part.column(text).to_pylist(), known, strict=True)])
+                texts = [t.encode() if k else b"" for t, k in zip(part.column(text).to_pylist(), known, strict=True)]
+                bits = np.hstack([model(a).bits(texts) for a in starts])
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                found = pa.array([model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)])
+                found = pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), found, pa.array(np.where(known, share, 0.0))], names=[*names, "lang_pred", "score"])
 
     lettered = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("_lettered")

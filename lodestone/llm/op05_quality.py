@@ -138,15 +138,16 @@ def _pair_steps(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Additive:
     """A model of label 1 against 0, learned from about SAMPLE_ROWS rows of labels whose key is in docs.
 
-    Rows with a null key or label are left out; of repeated keys the largest label counts. Without rows, or with one
-    class only, the model is a constant."""
+    Rows with a null key or label are left out; of repeated keys the largest label counts, and of rows of docs that
+    repeat a key the one with the smallest features. Without rows, or with one class only, the model is a constant."""
     own = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     share = min(1.0, SAMPLE_ROWS / max(own.count(), 1))
     own = own.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)) < share * (1 << 30)).groupBy("k").agg(F.max("y").alias("y"))
     # The sample's size is bounded by SAMPLE_ROWS, whatever the tables' sizes.
     rows = docs.select(F.col(text).alias("_text"), F.col(key).alias("k")).join(F.broadcast(own), "k").select("_text", "k", "y")
     kind = rows.schema["k"].dataType.simpleString()
-    data = rows.mapInArrow(_features, f"k {kind}, y int, " + ", ".join(f"{c} double" for c in FEATURES)).toPandas().sort_values(["k", *FEATURES])
+    found = rows.mapInArrow(_features, f"k {kind}, y int, " + ", ".join(f"{c} double" for c in FEATURES))
+    data = found.groupBy("k", "y").agg(F.min(F.struct(*FEATURES)).alias("x")).select("k", "y", "x.*").toPandas().sort_values("k")
     return Additive(data[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), (data["y"].to_numpy() > 0).astype(float))
 
 
