@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import op01_language_id, op02_ann, op04_lm, op03_token_counts, op05_quality, op08_packing
 from . import op06_embedding_dedup, op07_minhash_dedup, op09_html
 from . import op10_mixing as mixing
+from . import op11_periodic_runs
 from .common import remainder, table
 from .oracles import SQL
 
@@ -70,10 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ann, op3_token_counts, op4_lm, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_ann, op3_token_counts, op4_lm, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing, op11_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
