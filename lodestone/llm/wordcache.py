@@ -230,3 +230,82 @@ class WordIds:
         start, size = (np.cumsum(size) - size)[at], size[at]
         per_word = np.concatenate([[0], np.cumsum(size)])
         return _ranges(own, start, size), np.diff(per_word[np.concatenate([[0], np.cumsum(counts)])])
+
+
+#: Two white-space characters in a row, or one in front of the text's end: what cutting before spaces could change.
+_SPACES = "[\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def cuttable(texts: pa.Array, special: list[str]) -> np.ndarray:
+    """Which texts are the same tokens, cut before each space or not: those without a run of white space, white space at
+    an end, or a special string."""
+    whole = pc.match_substring_regex(texts, f"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$")
+    for s in special:
+        whole = pc.or_(whole, pc.match_substring(texts, s))
+    return ~whole.to_numpy(zero_copy_only=False)
+
+
+class PieceIds(WordIds):
+    """Token ids of whole texts under a byte-level tokenizer.
+
+    Texts are cut before each space and their distinct pieces are looked up, chunk by chunk, as WordIds looks up words;
+    texts that cuttable() leaves out go whole through the library."""
+
+    def __init__(self, path: str):
+        self.tok = load(path)
+        self.special = _specials(self.tok)
+        self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, byte-level
+        self.words = _Numbers()
+        self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _encode_pieces(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with their space, one after the other: many make one text, in which a token that starts with a
+        space starts a piece."""
+        texts = [b"".join(parts[a : a + _AT_ONCE]) for a in range(0, len(parts), _AT_ONCE)]
+        ids, _ = self._encode(texts)
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+
+    def _numbers(self, distinct: pa.Array, mark: bytes) -> np.ndarray:
+        keys = [mark + w for w in distinct.cast(pa.binary()).to_pylist()]
+        number = np.fromiter(map(self.words.__getitem__, keys), np.int64, len(keys))
+        if self.words.new:
+            self._append(*(self._encode_pieces if mark else self._encode)(self.words.new))
+        return number
+
+    def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
+        if len(self.words) > min(WORDS, CACHE_WORDS):
+            self._forget()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        plain = cuttable(texts, self.special)
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        many = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(many) - many
+        # Units of all texts: the first piece, further pieces with their space, and whole texts.
+        coded, opening = split.flatten().dictionary_encode(), split.flatten().take(pa.array(first)).dictionary_encode()
+        unit = self._numbers(coded.dictionary, b" ")[coded.indices.to_numpy(zero_copy_only=False)]
+        unit[first] = self._numbers(opening.dictionary, b"")[opening.indices.to_numpy(zero_copy_only=False)]
+        self.hits += np.bincount(unit, minlength=len(self.hits))
+        ids, size = self._encode(texts.filter(pa.array(~plain)).cast(pa.binary()).to_pylist())
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        size = np.concatenate([self.size, size])
+        count = np.ones(len(texts), np.int64)
+        count[plain] = many
+        begin = np.cumsum(count) - count
+        all_units = np.empty(int(count.sum()), np.int64)
+        all_units[begin[~plain]] = len(self.size) + np.arange(int((~plain).sum()))
+        all_units[_ranges(np.arange(len(all_units)), begin[plain], many)] = unit
+        size = size[all_units]
+        out = _ranges(np.concatenate([self.ids, ids]), start[all_units], size)
+        counts = np.add.reduceat(size, begin) if len(begin) else count
+        if close is not None:
+            ends = np.cumsum(counts)
+            out = np.insert(out, ends, close)
+            counts = counts + 1
+        return out, counts
