@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import op01_language_id, op02_ann, op04_lm, op03_token_counts, op05_quality, op08_packing
 from . import op06_embedding_dedup, op07_minhash_dedup, op09_html
 from . import op10_mixing as mixing
-from . import op11_periodic_runs, op12_token_files
+from . import op11_periodic_runs, op12_token_files, op13_token_alignment
 from .common import remainder, table
 from .oracles import SQL
 
@@ -78,8 +78,12 @@ def op12_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ann, op3_token_counts, op4_lm, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing, op11_runs, op12_binary)}
+    return {f.__name__: f for f in (op1_language_id, op2_ann, op3_token_counts, op4_lm, op5_quality, op6_embedding_dedup, op7_minhash_dedup, op8_packing, op9_html, op10_mixing, op11_runs, op12_binary, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -245,6 +245,10 @@ def cuttable(texts: pa.Array, special: list[str]) -> np.ndarray:
     return ~whole.to_numpy(zero_copy_only=False)
 
 
+#: Distinct pieces that one worker keeps the ids of, before the half of WORDS that was used most is left.
+PIECES = 600_000
+
+
 class PieceIds(WordIds):
     """Token ids of whole texts under a byte-level tokenizer.
 
@@ -280,7 +284,7 @@ class PieceIds(WordIds):
 
     def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
-        if len(self.words) > min(WORDS, CACHE_WORDS):
+        if len(self.words) > PIECES:
             self._forget()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         plain = cuttable(texts, self.special)

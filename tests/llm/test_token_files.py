@@ -70,7 +70,8 @@ def test_reading_a_range_touches_its_blocks_only(tmp_path):
 
 
 def test_pieces_equal_the_library(monkeypatch):
-    monkeypatch.setattr(wordcache, "WORDS", 40)  # pieces are forgotten and learned again
+    monkeypatch.setattr(wordcache, "WORDS", 40)
+    monkeypatch.setattr(wordcache, "PIECES", 40)  # pieces are forgotten and learned again
     pieces, tok, rng = wordcache.PieceIds(PATH), TOKENIZER, random.Random(2)
     bits = ["a", "B", " ", "  ", "\n", "'s", "é", "1", "?", ".", " ", "日", "<|endoftext|>", "\x1c", "\x85", " x", " the", *(f" w{i}" for i in range(60))]
     for texts in [TEXTS, [], *(["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(20)] for _ in range(60))]:
