@@ -34,7 +34,7 @@ from .wordcache import _ranges, cuttable
 #: Pairs of ids that are sent to the workers at once: 64 MB.
 SEGMENT = 4_000_000
 #: Distinct pieces that one worker keeps aligned, and pairs that a task counts before it sends them on.
-PIECES = 250_000
+PIECES = 100_000
 #: Pieces joined by their spaces and encoded at once.
 AT_ONCE = 1000
 ROWS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -266,7 +266,7 @@ def _block(aligner: Aligner, part: pa.RecordBatch) -> pa.RecordBatch:
 def _encode(a: str, b: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_chunks(batch, "_text", 2 << 20):
+            for part in byte_chunks(batch, "_text", 1 << 20):
                 yield _block(_aligner(a, b), part).cast(schema)
 
     return run

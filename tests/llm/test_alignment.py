@@ -98,7 +98,7 @@ def test_awkward_rows_segments_and_forgotten_pieces(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "z", 1.5) for k, t in rows], "doc_id long, text string, n_a string, `a.b` double")
     want, counts = brute(rows)
     assert order(align_documents(docs, A, B).collect()) == order(want)
-    assert order(align_documents(docs, A, B, segment=7).collect()) == order(want)
+    assert order(align_documents(docs, A, B, segment=40).collect()) == order(want)
     assert {(r.a_id, r.b_id): r.n for r in link_counts(docs, A, B).collect()} == counts
     assert align_documents(docs.limit(0), A, B).count() == 0
     monkeypatch.setattr(op13_token_alignment, "PIECES", 3)
