@@ -107,8 +107,9 @@ class _Best:
         return scores >= np.where(np.isfinite(least), least - 1e-9 * np.maximum(1, np.abs(least)), -np.inf)
 
 
-def _weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, term, w): how often the query has the word, times the word's weight in the whole index."""
+def query_weights(index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, w, avgdl): how often the query has the word, times the word's weight in the whole index. index
+    has terms(term, df) and stats(n, avgdl)."""
     words = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return words.join(index.terms, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")  # stats is one row
@@ -167,7 +168,7 @@ def lexical_scores(index: LexicalIndex, queries: DataFrame, k: int | None = None
     is scored where it lies, for all queries, so no posting is shuffled, however frequent its word; a task sends only
     what may be among the k best of its documents."""
     spark = queries.sparkSession
-    words = written(_weights(index, queries))
+    words = written(query_weights(index, queries))
     size = words.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q")).first()
     seats = max(1, -(-size["n"] // WORD_BLOCK), -(-size["q"] // QUERY_BLOCK))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.documents.schema['id'].dataType.simpleString()}, score double"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import OUT_OF_SCOPE, SECRET, TOKEN, clip, content_hash, dot, normalized, quote, refuse_reason, tokens
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
-from lodestone.operators import corpus, experiments, indexing
+from lodestone.operators import cells, corpus, experiments, indexing, inverted, reports, segments
 from lodestone.operators import retrieval as R
 from lodestone.session import shared_dir
 from lodestone.sources import frontmatter
@@ -263,8 +263,35 @@ def unknown_keys(spark, d):
     return rows.select("event_id", F.array_join(F.array_sort("unknown"), ",").alias("unknown"))
 
 
-def _stored(docs: DataFrame, key: str) -> R.LexicalIndex:
-    return R.store_lexical(R.build_lexical(docs, key), shared_dir(docs.sparkSession))
+_made: dict[tuple, str] = {}
+
+
+def _version(spark, d, *names: str) -> tuple:
+    """What changes when one of these tables does: its folder, schema, and the names, sizes and times of its files."""
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(20)")
+    tables = [read(spark, d, n) for n in names]
+    return tuple((n, t.schema.json(), str(t.select(file.alias("f")).distinct().agg(F.sum("f")).first()[0])) for n, t in zip(names, tables, strict=True))
+
+
+def _once(spark, d, what: str, tables: tuple[str, ...], build: Callable[[str], object]) -> str:
+    """The folder of what `build` writes there, once for each version of the tables and Spark application: every query of
+    an application reads the same index."""
+    key = (spark.sparkContext.applicationId, what, d, *_version(spark, d, *tables))
+    if key not in _made:
+        path = shared_dir(spark)
+        build(path)
+        _made[key] = path
+    return _made[key]
+
+
+def _stored(spark, d) -> R.LexicalIndex:
+    """The stored index of the words of all documents."""
+    docs = read(spark, d, "documents")
+    return R.load_lexical(spark, _once(spark, d, "lexical", ("documents",), lambda path: R.store_lexical(R.build_lexical(docs, "doc_id"), path)))
+
+
+def _inverted(spark, d) -> inverted.InvertedIndex:
+    return inverted.load_inverted(spark, _once(spark, d, "inverted", ("documents",), lambda path: inverted.write_inverted(_stored(spark, d), path)))
 
 
 TOK = f"[lower(x) for x in regexp_extract_all(coalesce(text, ''), '{TOKEN}')]"
@@ -296,12 +323,12 @@ def document_frequency(spark, d):
 
 @query(f"WITH {LEX} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocab FROM st")
 def corpus_stats(spark, d):
-    i = _stored(read(spark, d, "documents"), "doc_id")
+    i = _stored(spark, d)
     return i.stats.join(i.terms.agg(F.count("*").alias("vocab"))).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocab")  # one row each
 
 
 def _lexical(spark, d, k=None):
-    return R.lexical_scores(_stored(read(spark, d, "documents"), "doc_id"), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"), k)
+    return R.lexical_scores(_stored(spark, d), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"), k)
 
 
 @query(f"WITH {LEX} SELECT item_id, doc_id, round(score, 6) AS score FROM bm25 WHERE score > 0")
@@ -314,6 +341,21 @@ def bm25_topk(spark, d):
     return R.ranking(_lexical(spark, d, 10), 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_topk_blocks(spark, d):
+    """The same rows from the inverted index, which reads only blocks that may hold one of the best."""
+    found = inverted.search_blocks(_inverted(spark, d), read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"), 10)
+    return R.ranking(found, 10, overfetch=None).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {LEX} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS BIGINT) AS max_tf, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS peak FROM tf, st GROUP BY term")
+def block_terms(spark, d):
+    """Terms as the inverted index's blocks have them."""
+    most = lambda c: F.max(F.array_max(c))
+    rows = _inverted(spark, d).blocks.groupBy("term")
+    return rows.agg(F.sum(F.size("ids")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), most("tfs").alias("max_tf"), F.round(F.max("peak"), 6).alias("peak"))
+
+
 DENSE = """d AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS label, q.label AS qlabel, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vid) AS rank FROM d)"""
 
@@ -350,7 +392,16 @@ def incremental_reuse(spark, d):
     e = R.HashEmbedder(8)
     before = R.embed_incremental(docs.withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, "changed").otherwise(F.col("content_hash"))), None, e)
     now = R.embed_incremental(docs, before, e)
-    return now.agg(F.count("*").alias("total"), F.count_if(~F.col("reused")).alias("new"), F.count_if("reused").alias("reused"))
+    return reports.embed_report(now).select("total", "new", "reused")
+
+
+@query(SQL["dense_topk"])
+def dense_topk_cells(spark, d):
+    """The same rows from vectors in cells, of which only those are read that may hold one of the best."""
+    e = read(spark, d, "embeddings")
+    path = _once(spark, d, "cells", ("embeddings",), lambda path: cells.write_cells(e.selectExpr("vec_id AS id", "embedding AS vector"), path))
+    found = cells.search_cells(cells.load_cells(spark, path), e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), 10)
+    return R.ranking(found, 10, overfetch=None).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 # Lexical and dense rankings share the ids of documents; the queries are the benchmark texts with the vectors of the same ids.
@@ -371,7 +422,7 @@ def _hybrid(spark, d, **options):
     docs, e = with_meta(read(spark, d, "documents")), read(spark, d, "embeddings")
     queries = _asked(spark, d)
     meta = docs.selectExpr("doc_id AS id", "source AS source_id", "team", "acl", "priority")
-    hits = R.search(_stored(docs, "doc_id"), e.selectExpr("vec_id AS id", "embedding AS vector"), meta, queries, **options)
+    hits = R.search(_stored(spark, d), e.selectExpr("vec_id AS id", "embedding AS vector"), meta, queries, **options)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "dense_rank", "bm25_rank")
 
 
@@ -422,6 +473,25 @@ def recall_mrr(spark, d):
     return m.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr")], "recall_ok", "mrr_ok")
 
 
+def _gates(column: str = "gates"):
+    """A map of gates as text, by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
+@query(f"""WITH {REL}, near AS (SELECT qid, string_agg(CAST(vid AS VARCHAR), ',' ORDER BY rank) AS retrieved FROM (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE qid <> vid AND rank <= 11) WHERE rank <= 5 GROUP BY qid),
+m AS (SELECT CAST(count(*) AS BIGINT) AS n, avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0 END) AS recall_at_1, avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0 END) AS recall_at_5, avg(CASE WHEN first_rank <= 5 THEN 1.0 / first_rank ELSE 0 END) AS mrr FROM r),
+x AS (SELECT CAST(count(*) AS BIGINT) AS n_misses, coalesce(string_agg(concat(CAST(r.qid AS VARCHAR), ':', retrieved), ';' ORDER BY r.qid), '') AS misses FROM r LEFT JOIN near USING (qid) WHERE first_rank IS NULL OR first_rank > 5)
+SELECT n, round(recall_at_1, 6) AS recall_at_1, round(recall_at_5, 6) AS recall_at_5, round(mrr, 6) AS mrr, concat('mrr=', CAST(mrr >= 0.5 AS VARCHAR), ';recall_at_10=false;recall_at_5=', CAST(recall_at_5 >= 0.1 AS VARCHAR)) AS gates, false AS passed, n_misses, misses FROM m, x""")
+def eval_report(spark, d):
+    """Five documents are looked at, so the default gate on ten fails; the gate on five is given beside the defaults."""
+    hits = _dense(spark, d, 11).where("query_id <> id")
+    docs = hits.select("query_id", F.col("id").cast("string").alias("doc_id"), R.rank_by(F.col("score"), "id").alias("doc_rank"))
+    own = F.create_map(F.lit("recall_at_5"), F.lit(0.1))
+    out = reports.eval_report(_ranks(spark, d), docs, own, ks=(1, 5), most=10**6)
+    misses = F.array_join(F.transform("misses", lambda m: F.concat(m["query_id"].cast("string"), F.lit(":"), F.array_join(m["retrieved"], ","))), ";")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr")], _gates().alias("gates"), "passed", "n_misses", misses.alias("misses"))
+
+
 _word = lambda p: p.replace(r"\w", r"[\pL\pN_]")
 REFUSE = f"CASE WHEN coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') = '' THEN 'empty_query' WHEN regexp_matches(text, '(?i){SECRET}') THEN 'secret' WHEN regexp_matches(text, '(?i){_word(OUT_OF_SCOPE)}') THEN 'out_of_scope' END"
 
@@ -506,17 +576,13 @@ def _index(spark, d):
     docs = with_meta(read(spark, d, "documents"))
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_id"), "team", "acl", "priority", F.array("source").alias("heading_path"), "text")
     vectors = read(spark, d, "embeddings").selectExpr("vec_id AS id", "embedding AS vector").join(docs.selectExpr("doc_id AS id"), "id", "left_semi")
-    return indexing.write_index(chunks, vectors, shared_dir(spark), drop_unembedded=False)
+    path = _once(spark, d, "index", ("documents", "embeddings"), lambda path: indexing.write_index(chunks, vectors, path, drop_unembedded=False))
+    return indexing.load_index(spark, path)
 
 
 @query(f"WITH {LEX} SELECT CAST(n AS BIGINT) AS n_chunks, CAST((SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS BIGINT) AS n_vectors, CAST((SELECT max(len(embedding)) FROM embeddings) AS BIGINT) AS dim, CAST((SELECT count(*) FROM df) AS BIGINT) AS vocabulary, round(avgdl, 6) AS avgdl FROM st")
 def index_report(spark, d):
-    return indexing.build_report(indexing.load_index(spark, _stored_at(_index(spark, d)))).withColumns({"dim": F.col("dim").cast("long"), "avgdl": F.round("avgdl", 6)})
-
-
-def _stored_at(index: indexing.Index) -> str:
-    """The folder an index was written to, from the files of its smallest table."""
-    return index.info.inputFiles()[0].rsplit("/info/", 1)[0]
+    return indexing.build_report(_index(spark, d)).withColumns({"dim": F.col("dim").cast("long"), "avgdl": F.round("avgdl", 6)})
 
 
 @query("SELECT CAST(count(*) FILTER (WHERE doc_id IS NOT NULL AND vec_id IS NOT NULL) AS BIGINT) AS aligned, CAST(count(*) FILTER (WHERE doc_id IS NULL) AS BIGINT) AS vectors_without_chunk, CAST(count(*) FILTER (WHERE vec_id IS NULL) AS BIGINT) AS chunks_without_vector FROM documents FULL JOIN embeddings ON doc_id = vec_id")
@@ -610,6 +676,28 @@ def ask_rates(spark, d):
     return A.ask_rates(A.ask_cases(answers, cases)).select("n_refuse", "n_answer", *[F.round(c, 6).alias(c) for c in RATE_NAMES])
 
 
+FAILURES = "fails AS (SELECT qid, 'not refused' AS failure FROM cases WHERE place = 3 AND expected_behavior = 'refuse' AND NOT refuse UNION ALL SELECT qid, 'not grounded' FROM cases WHERE place = 3 AND expected_behavior = 'answer' AND NOT refuse AND NOT cites_own)"
+
+
+def _answered_cases(spark, d):
+    cases = _cases(spark, d)
+    return A.ask_cases(experiments.ask(_index(spark, d), cases, *_places(spark, d), mode="dense", least=0.7, overfetch=None), cases)
+
+
+@query(f"WITH {CASES}, {FAILURES} SELECT qid AS query_id, failure FROM fails")
+def case_failures(spark, d):
+    return reports.case_failures(_answered_cases(spark, d)).select("query_id", "failure")
+
+
+@query(f"""WITH {CASES}, {FAILURES}, m AS (SELECT {RATES} FROM cases WHERE place = 3), x AS (SELECT CAST(count(*) FILTER (WHERE failure = 'not refused') AS BIGINT) AS refuse_failures, CAST(count(*) FILTER (WHERE failure = 'not grounded') AS BIGINT) AS ungrounded, coalesce(string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid), '') AS failed FROM fails)
+SELECT refuse_rate, citation_contract_rate, grounded_rate, concat('citation_contract_rate=', CAST(citation_contract_rate >= 1 AS VARCHAR), ';grounded_rate=', CAST(grounded_rate >= 0.95 AS VARCHAR), ';refuse_rate=', CAST(refuse_rate >= 0.9 AS VARCHAR)) AS gates, citation_contract_rate >= 1 AND grounded_rate >= 0.95 AND refuse_rate >= 0.9 AS passed, refuse_failures, ungrounded, failed FROM m, x""")
+def ask_report(spark, d):
+    """The default gates, but for a stricter one on grounded answers."""
+    out = reports.ask_report(_answered_cases(spark, d), F.create_map(F.lit("grounded_rate"), F.lit(0.95)), most=10**6)
+    failed = F.array_join(F.transform("failures", lambda f: f["query_id"].cast("string")), ",")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("refuse_rate", "citation_contract_rate", "grounded_rate")], _gates().alias("gates"), "passed", "refuse_failures", "ungrounded", failed.alias("failed"))
+
+
 def _ask_grid(spark, d):
     cases = _cases(spark, d)
     return experiments.ask_sweep(_index(spark, d), cases.select("query_id", "question", "vector"), cases.select("query_id", "expected_behavior", "relevant_doc_ids"), *_places(spark, d), least=(0.3, 0.7, 0.9), top_ks=(3, 5), mode="dense", overfetch=None)
@@ -673,10 +761,41 @@ def request_log_summary(spark, d):
     return read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total_value"), F.countDistinct("user_id").alias("users"))
 
 
+@query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_percentiles(spark, d):
+    """Percentiles from sketches of days, and whether so many values lie at or below them, within the sketch's error."""
+    events, names = read(spark, d, "events"), ("p50", "p95", "p99")
+    found = reports.percentiles(reports.latency_sketches(events))
+    below = events.where("value IS NOT NULL").join(found, "event_type").groupBy("event_type", "n").agg(*[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(p) for p in names])
+    return below.select("event_type", "n", *[(F.abs(F.col(p) - int(p[1:]) / 100) <= 0.0165 + 1 / F.col("n")).alias(f"{p}_ok") for p in names])
+
+
+# The corpus in three steps: all documents; texts with poor labels revised, toxic documents deleted, and conversations
+# added; nothing new in the third.
+@query(f"""WITH l AS (SELECT doc_id, bool_or(quality = 0) AS poor, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT CASE WHEN poor THEN concat(text, ' revised edition') ELSE text END AS text FROM documents LEFT JOIN l USING (doc_id) WHERE coalesce(poor, false) OR NOT coalesce(toxic, false) UNION ALL SELECT text FROM conversations),
+{LEX.replace('SELECT doc_id, [', 'SELECT row_number() OVER () AS doc_id, [', 1).replace('FROM documents', 'FROM docs', 1)}
+SELECT term, CAST(df AS BIGINT) AS df, CAST((SELECT sum(tf) FROM tf t WHERE t.term = df.term) AS BIGINT) AS cf, CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, 2 AS snapshot FROM df, st""")
+def index_after_changes(spark, d):
+    docs = read(spark, d, "documents").selectExpr("doc_id AS id", "text")
+    labels = read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or(F.col("quality") == 0).alias("poor"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
+    revised = docs.join(labels.where("poor"), "id").select("id", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised edition")).alias("text"))
+    talks = read(spark, d, "conversations").selectExpr("-1 - conv_id * 100000 - turn AS id", "text")
+    path = shared_dir(spark)
+    segments.apply_changes(spark, path, docs)
+    segments.apply_changes(spark, path, revised.unionByName(talks), labels.where("toxic").select("id"))
+    snapshot = segments.apply_changes(spark, path, talks)
+    index = snapshot.lexical()
+    counts = index.postings.groupBy("term").agg(F.sum("tf").alias("cf"))
+    stats = index.stats.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"))
+    return index.terms.join(counts, "term", "left").join(stats).select("term", "df", "cf", "n_docs", "avgdl", F.lit(snapshot.number).alias("snapshot"))  # stats is one row
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, their index, and the five best for every benchmark text, with where they come from."""
     chunks = C.keep_first(chunks_of(read(spark, sf_dir, "documents")))
-    scores = R.lexical_scores(_stored(chunks, "chunk_id"), read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS question"), 5)
+    path = _once(spark, sf_dir, "chunks", ("documents",), lambda path: R.store_lexical(R.build_lexical(chunks, "chunk_id"), path))
+    scores = R.lexical_scores(R.load_lexical(spark, path), read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS question"), 5)
     best = R.ranking(scores, 5, overfetch=None)
     return best.join(chunks.selectExpr("chunk_id AS id", "doc_id", "source"), "id").selectExpr("query_id AS item_id", "CAST(rank AS BIGINT) AS rank", "id AS chunk_id", "doc_id", "source AS source_id", "round(score, 6) AS score")
 

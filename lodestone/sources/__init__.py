@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import content_hash, or_else, strip
@@ -128,3 +131,33 @@ def gated_write(df: DataFrame, gate: DataFrame, path: str, skip_gate: bool = Fal
     if ok or skip_gate:
         write_table(df, path)
     return ok
+
+
+def observed_write(df: DataFrame, path: str, metrics: dict[str, Column], passed: Callable[[dict], bool], keys: tuple[str, ...] = ()) -> tuple[bool, dict]:
+    """Write df and measure it in the same pass; publish it at path only if its metrics pass. Returns (passed, metrics).
+
+    metrics: aggregates over df's rows, without DISTINCT. Rows are written beside path and renamed into its place, so a
+    table that fails its gate, or a job that fails, leaves what lies at path as it was."""
+    spark, aside = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    seen = Observation()
+    measured = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write_table(measured, aside, *keys)
+        values = seen.get
+        ok = bool(passed(values))
+        if ok:
+            files.delete(place(path), True)
+            files.mkdirs(place(path).getParent())
+            if not files.rename(place(aside), place(path)):
+                raise OSError(f"{path} can't be published")
+    finally:
+        files.delete(place(aside), True)
+    return ok, values
+
+
+def chunk_metrics(fields: tuple[str, ...]) -> dict[str, Column]:
+    """rows, chars, and incomplete: rows that lack one of the fields; for observed_write()."""
+    lacks = functools.reduce(lambda a, b: a | b, [F.col(f).isNull() for f in fields])
+    return {"rows": F.count(F.lit(1)), "incomplete": F.count_if(lacks), "chars": F.coalesce(F.sum(F.length("text")), F.lit(0))}

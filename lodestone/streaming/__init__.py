@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.chunking import chunk, keep_first
+from lodestone.operators.chunking import chunk
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Chunk the Parquet documents that appear under source; a batch adds the contents that the target lacks."""
-    docs = spark.readStream.schema(schema).parquet(source)
-    empty = chunk(spark.createDataFrame([], schema)).drop("raw", "kept")
-    empty.write.mode("ignore").parquet(target)
+def fresh_chunks(docs: DataFrame, time: str | None = None, expiry: str = "30 days") -> DataFrame:
+    """Chunks of a stream of documents, each content once, by state keyed by content hash: what was written before isn't
+    read. With the name of a column of times, a content is forgotten, and its state freed, once the stream's time is
+    `expiry` past it; without one it is remembered for good."""
+    rows = docs if time is None else docs.withColumn("_time", F.col(time).cast("timestamp"))
+    chunks = chunk(rows, keep=() if time is None else ("_time",)).drop("raw", "kept")
+    if time is None:
+        return chunks.dropDuplicates(["content_hash"])
+    return chunks.withWatermark("_time", expiry).dropDuplicatesWithinWatermark(["content_hash"]).drop("_time")
+
 
-    def add(batch: DataFrame, number: int) -> None:
-        new = keep_first(chunk(batch)).drop("raw", "kept")
-        held = spark.read.schema(new.schema).parquet(target).select("content_hash")
-        new.join(held, "content_hash", "left_anti").select(*new.columns).write.mode("append").parquet(target)
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, time: str | None = None, expiry: str = "30 days") -> StreamingQuery:
+    """Chunk the Parquet documents that appear under source; the target gets the contents that it lacks.
 
-    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    State is hash-partitioned and kept in the checkpoint, so a batch reads its own documents and the state of their
+    contents only. The file sink takes each batch once, whether it is replayed or the query restarted."""
+    docs = spark.readStream.schema(schema).parquet(source)
+    out = fresh_chunks(docs, time, expiry).writeStream.format("parquet").option("path", target).outputMode("append")
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
