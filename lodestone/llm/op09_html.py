@@ -3,9 +3,10 @@
 Each page scores its containers: the text of a block counts fully for the nearest container around it and by half for
 each one further out, summed over equal generalised paths (tags with their classes, digits folded). The best path,
 or the article or main element around it, or else the container that also holds the page's headline, is the page's
-vote. Pages vote per host in Spark; the host's winning path is then used on every page of the host where its elements
-hold at least half of the readable text, whatever the page itself would have chosen. Other pages keep all their
-readable text. A page is read in one pass whose time grows with its length only.
+vote. Pages vote per host in Spark, and report digests of their blocks with their paths. A path beside the winning one is
+furniture of the host if its blocks repeat, each on two pages on average. On every page of the host the winning path is
+then used: outside it, furniture and blocks of links alone go, and all other readable text stays. Where the winning path holds less than half of a page's readable text, all of it stays. A
+page is read in one pass whose time grows with its length only.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, written
 
-#: A host table of at most this many rows is broadcast; a larger one is joined by shuffle.
+#: A host table of at most this many paths is broadcast; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 200_000
 #: The share of a page's readable text that the host's path must hold to be used there.
 LEAST_SHARE = 0.5
@@ -28,7 +30,11 @@ LEAST_SHARE = 0.5
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption address details summary center hr header footer nav aside form fieldset dialog menu search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
-DROPPED = frozenset("nav footer aside form dialog menu search head noscript template iframe svg canvas select button textarea object audio video fieldset label".split())
+DROPPED = frozenset("nav footer aside dialog menu search head noscript template iframe svg canvas select button textarea object audio video label".split())
+#: Dropped elements that lie inside a line of text, which goes on after them.
+INLINE = frozenset("button canvas select object audio video label".split())
+#: Dropped unless they hold at least half of a page's readable text: then they are wrapped around it.
+FORMS = frozenset("form fieldset".split())
 RAW = frozenset("script style title textarea xmp noscript iframe noframes template svg".split())
 #: Raw elements after whose start tag a page goes on if they are never closed.
 MAY_BE_OPEN = frozenset("title svg template".split())
@@ -112,14 +118,14 @@ class Page:
         self.elements = [_Element("", 0, None, False, False, False)]
         self.blocks: list[tuple[str, int, _Element]] = []
         self._read(source)
-        # What its name calls furniture is none where it holds all of the page's text.
+        # What its name calls furniture is none where it holds all of the page's text, and a form with most of it is none.
         for text, n, e in self.blocks:
             e.total += n
         for e in reversed(self.elements[1:]):
             e.parent.total += e.total
         whole = self.elements[0].total
         for e in self.elements[1:]:
-            e.dropped = e.parent.dropped or (e.named and e.total < max(whole, 1))
+            e.dropped = e.parent.dropped or (e.named and e.total < max(whole, 1)) or (e.tag in FORMS and 2 * e.total < max(whole, 1))
         self.blocks = [b for b in self.blocks if not b[2].dropped]
 
     def _read(self, source: str) -> None:
@@ -131,9 +137,12 @@ class Page:
             nonlocal links
             text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
             buffer.clear()
-            if text and not at.dropped:
+            own = at
+            while own.tag in INLINE:
+                own = own.parent
+            if text and not own.dropped:
                 n = len(text) - text.count(" ")
-                self.blocks.append((text, n if at.tag in HEADINGS else max(n - links, 0), at))
+                self.blocks.append((text, n if own.tag in HEADINGS else max(n - links, 0), own))
             links = 0
 
         def close(e: _Element) -> _Element:
@@ -142,7 +151,7 @@ class Page:
 
         while pos < len(source):
             start, end, tag, closing, rest = scan.next(pos)
-            if start > pos:
+            if start > pos and at.tag not in INLINE:
                 buffer.append(source[pos:start])
                 links += len("".join(html.unescape(source[pos:start]).split())) if linked else 0
             pos = end
@@ -152,6 +161,8 @@ class Page:
             if closing:
                 if tag == "a":
                     linked = False
+                elif tag in INLINE and at.tag == tag:
+                    at = close(at)
                 elif block:
                     flush()
                     if open_tags.get(tag):
@@ -165,7 +176,8 @@ class Page:
             elif tag in ("br", "wbr", "img", "input"):
                 buffer.append(" " if tag == "br" else "")
             elif block:
-                flush()
+                if tag not in INLINE:
+                    flush()
                 if at.tag == "p" and tag in _CLOSES_P or at.tag == tag and tag in ("li", "tr", "td", "dt", "dd"):
                     at = close(at)
                 if tag == "hr" or rest.endswith("/"):
@@ -237,14 +249,24 @@ class Page:
             outer = next((i for i in around if i in above), best)
         return self.name(outer)
 
-    def text_at(self, name: str) -> str | None:
-        """Text of all elements with this path; None if they hold less than LEAST_SHARE of the page's readable text."""
+    def digests(self) -> list[tuple[str, int]]:
+        """(path, digest) of each distinct block."""
+        rows = {(e.path, text) for text, _, e in self.blocks}
+        names = {path: self.name(path) for path, _ in rows}
+        return [(names[path], xxhash.xxh64_intdigest(text) - (1 << 63)) for path, text in rows]
+
+    def text_at(self, name: str, furniture: frozenset[str] | list[str] = frozenset()) -> str | None:
+        """Text of all elements with this path, and of those beside them that are neither furniture nor links alone. None
+        if the path holds less than LEAST_SHARE of the page's readable text."""
         path = self.find(name) if name else -1
         if path <= 0:
             return None
         under = self.under(path)
-        inside = [b for b in self.blocks if under[b[2].path]]
-        return "\n".join(t for t, *_ in inside) if inside and sum(n for _, n, _ in inside) >= LEAST_SHARE * sum(n for _, n, _ in self.blocks) else None
+        inside = [n for _, n, e in self.blocks if under[e.path]]
+        if not inside or sum(inside) < LEAST_SHARE * sum(n for _, n, _ in self.blocks):
+            return None
+        gone = {f for f in map(self.find, furniture) if f > 0}
+        return "\n".join(t for t, n, e in self.blocks if under[e.path] or (n and e.path not in gone))
 
 
 def blocks(page: str) -> list[tuple[str, int, _Element]]:
@@ -254,21 +276,28 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, path, null) for each page's vote; (host, path, digest) for each distinct block of a page."""
     for batch in batches:
         for part in byte_chunks(batch, "html"):
-            paths = [Page(h).vote() for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
+            rows = []
+            for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                page = Page(source)
+                own = page.vote()
+                if own:
+                    rows.append((host, own, None))
+                    rows += [(host, path, digest) for path, digest in page.digests()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "digest"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_chunks(batch, "_html"):
             texts = []
-            for source, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist(), strict=True):
+            for source, path, furniture in zip(*(part.column(c).to_pylist() for c in ("_html", "_path", "_furniture")), strict=True):
                 page = Page(source or "")
-                text = page.text_at(path or "")
+                text = page.text_at(path or "", furniture or ())
                 texts.append(page.text() if text is None else text)
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*part.schema.names[2:], "_text"])
+            yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(texts, pa.string())], names=[*part.schema.names[3:], "_text"])
 
 
 def host_of(url) -> Column:
@@ -276,10 +305,15 @@ def host_of(url) -> Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path): each host's path with most votes, ties to the first by code point. Pages without text don't vote."""
+    """(host, path, furniture): each host's path with most votes, ties to the first by code point, and its paths of
+    furniture. Pages without text don't vote."""
     rows = pages.where(F.col(page).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
-    votes = rows.mapInArrow(_vote, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    return votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
+    seen = written(rows.mapInArrow(_vote, "host string, path string, digest long").groupBy("host", "path", "digest").agg(F.count("*").alias("n")))
+    paths = seen.where("digest IS NULL").groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
+    repeated = seen.where("digest IS NOT NULL").groupBy("host", F.col("path").alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n >= 2 * texts")
+    beside = (F.col("at") != F.col("path")) & ~F.startswith("at", F.concat("path", F.lit("/")))
+    furniture = repeated.join(paths, "host").where(beside).groupBy("host").agg(F.collect_list("at").alias("furniture"))
+    return paths.join(furniture, "host", "left")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -287,13 +321,13 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
 
     Pages with a null url, or one without a host, share the host "". Columns of `keep` that are called text or n_chars
     are replaced; any other names are kept as they are."""
-    hosts = written(host_paths(pages, url, page)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    if hosts.count() <= BROADCAST_HOSTS:
+    hosts = written(host_paths(pages, url, page)).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("furniture").alias("_furniture"))
+    if hosts.agg(F.coalesce(F.sum(1 + F.size(F.coalesce("_furniture", F.array()))), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     keep = [c for c in keep if c not in ("text", "n_chars")]
     own = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
     rows = pages.select(F.col(page).alias("_html"), host_of(F.col(url)).alias("_host"), *own)
     kinds = ", ".join(f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    rows = rows.join(hosts, "_host", "left").select("_html", "_path", *[f"_k{i}" for i in range(len(keep))])
+    rows = rows.join(hosts, "_host", "left").select("_html", "_path", "_furniture", *[f"_k{i}" for i in range(len(keep))])
     out = rows.mapInArrow(_extract, f"{kinds}{', ' * bool(keep)}_text string")
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

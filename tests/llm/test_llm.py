@@ -470,6 +470,22 @@ def test_html_votes_overrule_a_page(spark):
     assert len(got[7]) == 2 + 9  # the host's path holds too little of this page, which keeps all its text
 
 
+def test_html_keeps_siblings_forms_and_lines(spark):
+    intro, body = "an introduction " * 20, "the body of it " * 30
+    page = lambda inner: f"<body>{inner}</body>"
+    rows = [
+        (0, "http://one.example/", page(f"<div class=p><div class=intro><p>{intro}</p></div><div class=content><h1>Head</h1><p>{body}</p></div><div class=more><a href=/a>x</a> <a href=/b>y</a></div></div>")),
+        (1, "http://form.example/", page(f"<form><div class=c><h1>Head</h1><p>{body}</p><fieldset><p>{intro}</p></fieldset><label>Name</label><input><button>Go</button></div></form><form><p>find</p></form>")),
+        (2, "http://line.example/", page("<p>Press <button>Save</button> now, <label>or <b>not</b></label>later <select><option>1</select>on.</p><p>End <button>open<p>next</p>")),
+        *((i, "http://many.example/", page(f"<div class=c><p>{body} {i}</p></div><div class=promo><p>the same on all pages</p></div><div class=note><p>only on page {i}</p></div>")) for i in range(3, 7)),
+    ]
+    got = {r.page_id: r.text.split("\n") for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    intro, body = intro.strip(), body.strip()
+    assert got[0] == [intro, "Head", body] and got[1] == ["Head", body]
+    assert got[2] == ["Press now, later on.", "End", "next"] or got[2] == ["Press now, later on.", "End"]
+    assert all(got[i] == [f"{body} {i}", f"only on page {i}"] for i in range(3, 7))
+
+
 def test_html_names_do_not_empty_an_article(spark):
     rows = [(1, "http://a.example/", "<article><div class='content widget'><p>all of the text</p></div></article>"), (2, "http://b.example/", "<article class=notice><p>the text lies here</p><div class=ad>buy</div></article>"), (3, "http://c.example/", "<article><p>Short.</p></article><div class=ad>longer than the text itself</div>")]
     got = {r.page_id: r.text for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
