@@ -215,21 +215,29 @@ def ask_cases(responses: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def rate(hit: Column, of: Column, empty: float) -> Column:
+def counted(of: Column, weight: Column | None = None) -> Column:
+    """Number of the rows `of`, or the sum of their weights."""
+    return F.count_if(of) if weight is None else F.coalesce(F.sum(F.when(of, weight)), F.lit(0))
+
+
+def rate(hit: Column, of: Column, empty: float, weight: Column | None = None) -> Column:
     """Share of the rows `of` that are also `hit`; `empty` where there are none."""
-    return F.when(F.count_if(of) == 0, F.lit(empty)).otherwise(F.count_if(of & hit) / F.count_if(of))
+    return F.when(counted(of, weight) == 0, F.lit(empty)).otherwise(counted(of & hit, weight) / counted(of, weight))
 
 
-def ask_rates(cases: DataFrame, by: tuple[str, ...] = (), gates: tuple[float, float, float] = (0.9, 1.0, 0.8)) -> DataFrame:
+def ask_rates(cases: DataFrame, by: tuple[str, ...] = (), gates: tuple[float, float, float] = (0.9, 1.0, 0.8), weight: Column | None = None) -> DataFrame:
     """Rates of cases (expected_behavior, refuse, citation_ok, grounded_ok), and whether they pass the gates: n_refuse,
     n_answer, refuse_rate, citation_contract_rate, grounded_rate (refusals count as grounded), answered_rate,
-    answer_refuse_rate, grounded_among_answered, refuse_ok, citation_contract_ok, grounded_ok."""
+    answer_refuse_rate, grounded_among_answered, refuse_ok, citation_contract_ok, grounded_ok. weight: how many cases a
+    row stands for."""
     should = F.col("expected_behavior") == "refuse"
     answers = F.col("expected_behavior") == "answer"
+    share = lambda hit, of, empty: rate(hit, of, empty, weight)
+    refuse, grounded = F.col("refuse"), F.col("grounded_ok")
     out = cases.groupBy(*by).agg(
-        F.count_if(should).alias("n_refuse"), F.count_if(answers).alias("n_answer"),
-        rate(F.col("refuse"), should, 1.0).alias("refuse_rate"), rate(F.col("citation_ok"), F.lit(True), 0.0).alias("citation_contract_rate"), rate(F.col("grounded_ok"), answers, 1.0).alias("grounded_rate"),
-        rate(~F.col("refuse"), answers, 1.0).alias("answered_rate"), rate(F.col("refuse"), answers, 0.0).alias("answer_refuse_rate"), rate(F.col("grounded_ok"), answers & ~F.col("refuse"), 0.0).alias("grounded_among_answered"),
+        counted(should, weight).alias("n_refuse"), counted(answers, weight).alias("n_answer"),
+        share(refuse, should, 1.0).alias("refuse_rate"), share(F.col("citation_ok"), F.lit(True), 0.0).alias("citation_contract_rate"), share(grounded, answers, 1.0).alias("grounded_rate"),
+        share(~refuse, answers, 1.0).alias("answered_rate"), share(refuse, answers, 0.0).alias("answer_refuse_rate"), share(grounded, answers & ~refuse, 0.0).alias("grounded_among_answered"),
     )
     passed = zip(("refuse", "citation_contract", "grounded"), gates, strict=True)
     return out.withColumns({f"{n}_ok": F.col(f"{n}_rate") >= g for n, g in passed})

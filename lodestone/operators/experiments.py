@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import dot
 from lodestone.operators import answers as A
 from lodestone.operators import retrieval as R
 from lodestone.operators.indexing import Index
@@ -46,23 +47,53 @@ def retrieval_sweep(index: Index, queries: DataFrame, relevant: DataFrame, modes
     return A.recall_mrr(out, ks, max(ks), by=("run", "place"))
 
 
-def ask_sweep(index: Index, queries: DataFrame, cases: DataFrame, documents: DataFrame, locations: DataFrame, least: tuple[float, ...] = (A.MIN_DENSE,), top_ks: tuple[int, ...] = (R.TOP_K,), backends: tuple[str, ...] = ("extractive",), nearest: int = A.NEAREST, context: int = A.CONTEXT, mode: str = "hybrid", make_client: Callable | None = None, **options) -> DataFrame:
+def _states(index: Index, hits: DataFrame, queries: DataFrame, cases: DataFrame, documents: DataFrame, locations: DataFrame, depths: list[int], nearest: int, context: int) -> DataFrame:
+    """One row per case and depth: expected_behavior, depth, confidence, whether it is refused whatever the confidence
+    (fixed), and whether its citations hold if answered (cited, grounded) and if refused (refused_cited).
+
+    Each hit is multiplied with its query once; confidences of all depths are maxima over prefixes of the ranks."""
+    product = hits.select("query_id", F.col("chunk_id").alias("id"), "rank").join(index.vectors, "id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    product = product.select("query_id", "rank", dot(F.col("vector"), F.col("q")).alias("p"))
+    upto = lambda name, agg, of: [agg(F.when(F.col("rank") <= d, of)).alias(f"_{name}{d}") for d in depths]
+    sure = product.groupBy("query_id").agg(*upto("p", F.max, F.col("p")))
+    many = hits.groupBy("query_id").agg(*upto("n", F.count, F.lit(1)))
+    per_depth = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"_p{d}").alias("p"), F.coalesce(f"_n{d}", F.lit(0)).alias("n")) for d in depths])
+    rows = cases.join(queries, "query_id").join(sure, "query_id", "left").join(many, "query_id", "left").withColumn("_d", F.explode(per_depth)).withColumn("depth", F.col("_d.depth"))
+    rows = rows.withColumn("confidence", F.when(F.col("vector").isNotNull(), F.coalesce("_d.p", F.lit(0.0)))).withColumn("fixed", A.reason(F.col("question"), F.col("_d.n"), F.lit(None).cast("double"), F.lit(0.0)))
+    # Citations of both outcomes at each depth, whichever a threshold will choose.
+    both = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(r).alias("refused")) for d in depths for r in (False, True)])
+    spread = lambda df: df.withColumn("_s", F.explode(both)).withColumn("query_id", F.struct(F.col("query_id").alias("id"), F.col("_s.depth").alias("depth"), F.col("_s.refused").alias("refused")))
+    outcomes = spread(queries.select("query_id")).select("query_id", F.when(F.col("_s.refused"), "refused").alias("refuse_reason"))
+    cited = A.cite(spread(hits).where(F.col("rank") <= F.col("_s.depth")).drop("_s"), outcomes, documents, locations, nearest, context)
+    lists = cited.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "path")).alias("c"))
+    kept = lists.groupBy(F.col("query_id.id").alias("query_id"), F.col("query_id.depth").alias("depth"))
+    kept = kept.agg(F.max(F.when(~F.col("query_id.refused"), F.col("c"))).alias("c"), F.max(F.when(F.col("query_id.refused"), F.col("c"))).alias("r"))
+    rows, answered = rows.join(kept, ["query_id", "depth"], "left"), F.lit(False)
+    return rows.select(
+        "depth", "expected_behavior", "confidence", F.col("fixed").isNotNull().alias("fixed"), A.citation_ok(answered, F.lit(None).cast("string"), F.col("c")).alias("cited"),
+        A.grounded_ok(answered, F.col("c"), F.col("relevant_doc_ids")).alias("grounded"), A.citation_ok(F.lit(True), F.coalesce("fixed", F.lit("low_confidence")), F.col("r")).alias("refused_cited"),
+    )
+
+
+def ask_sweep(index: Index, queries: DataFrame, cases: DataFrame, documents: DataFrame, locations: DataFrame, least: tuple[float, ...] = (A.MIN_DENSE,), top_ks: tuple[int, ...] = (R.TOP_K,), backends: tuple[str, ...] = ("extractive",), nearest: int = A.NEAREST, context: int = A.CONTEXT, mode: str = "hybrid", **options) -> DataFrame:
     """One row per backend, threshold and depth, in this order of nesting: run, place, backend, min_dense, top_k, and
-    ask_rates(). The queries are searched once, at the largest depth; every run then is a copy of the rows it sees."""
-    deepest = max(*top_ks, nearest)
-    hits = found(index, queries, mode, deepest, **options)
-    grid = [(b, float(s), int(k)) for b in backends for s in least for k in top_ks]
-    out = None
-    for backend in backends:
-        cells = [F.struct(F.lit(f"{b}:{s}:{k}").alias("run"), F.lit(i).alias("place"), F.lit(s).alias("min_dense"), F.lit(k).alias("top_k")) for i, (b, s, k) in enumerate(grid) if b == backend]
-        spread = lambda df, cells=cells: df.withColumn("_c", F.explode(F.array(*cells))).withColumn("query_id", F.struct(F.col("_c.run").alias("run"), F.col("_c.place").alias("place"), F.col("_c.min_dense").alias("min_dense"), F.col("_c.top_k").alias("top_k"), F.col("query_id").alias("id")))
-        own = spread(hits).where(F.col("rank") <= F.greatest(F.col("_c.top_k"), F.lit(nearest))).drop("_c")
-        asked = spread(queries).drop("_c")
-        sure = written(_confidence(index, own, asked))
-        answers = A.ask(own, asked.select("query_id", "question"), sure, None, F.col("query_id.min_dense"), documents, locations, nearest, context, backend, make_client)
-        rows = A.ask_cases(answers, spread(cases).drop("_c")).select(F.col("query_id.run"), F.col("query_id.place"), F.lit(backend).alias("backend"), F.col("query_id.min_dense"), F.col("query_id.top_k"), "expected_behavior", "refuse", "citation_ok", "grounded_ok")
-        out = rows if out is None else out.union(rows)
-    return A.ask_rates(out, by=("run", "place", "backend", "min_dense", "top_k"))
+    ask_rates().
+
+    The queries are searched once, at the largest depth. Cases are counted by depth, outcome and how many thresholds
+    their confidence reaches; every threshold's rates are sums over those few counts, so what is shuffled doesn't grow
+    with the thresholds. Rates say what is refused and cited, which no backend changes: no answer is written."""
+    depths = sorted({max(k, nearest) for k in top_ks})
+    hits = found(index, queries, mode, depths[-1], **options)
+    ordered = sorted({float(s) for s in least})
+    reached = F.size(F.filter(F.array(*map(F.lit, ordered)), lambda s: s <= F.col("confidence")))
+    states = _states(index, hits, queries, cases, documents, locations, depths, nearest, context).withColumn("reached", F.when(F.col("confidence").isNull(), len(ordered)).otherwise(reached))
+    counts = states.drop("confidence").groupBy("depth", "reached", "expected_behavior", "fixed", "cited", "grounded", "refused_cited").agg(F.count("*").alias("cases"))
+    grid = [(f"{b}:{float(s)}:{int(k)}", i, b, float(s), int(k), max(k, nearest), ordered.index(float(s))) for i, (b, s, k) in enumerate((b, s, k) for b in backends for s in least for k in top_ks)]
+    runs = counts.sparkSession.createDataFrame(grid, "run string, place int, backend string, min_dense double, top_k int, depth int, number int")
+    rows = counts.join(F.broadcast(runs), "depth")  # a sweep's runs are a few
+    rows = rows.withColumn("refuse", F.col("fixed") | ((F.col("min_dense") > 0) & (F.col("reached") <= F.col("number"))))
+    rows = rows.withColumn("citation_ok", F.when(F.col("refuse"), F.col("refused_cited")).otherwise(F.col("cited"))).withColumn("grounded_ok", F.col("refuse") | F.col("grounded"))
+    return A.ask_rates(rows, by=("run", "place", "backend", "min_dense", "top_k"), weight=F.col("cases"))
 
 
 def best_retrieval(runs: DataFrame) -> DataFrame:
