@@ -118,15 +118,32 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> tuple[list[
     return langs, [g["gram"].to_numpy(np.int64) for g in by], [g["n"].to_numpy(np.int64) for g in by]
 
 
-def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+def usual_rates(docs: DataFrame, stats, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
+    """The median code length of each learned language, in bits a byte, over about SAMPLE_DOCS of its labelled texts:
+    those with the next hashes after the ones that fit() learns from, or learned ones where there are no others. Texts
+    that aren't taken for their label's language are left out."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("string"), F.col(text)).alias("key")).where("lang IS NOT NULL AND text <> ''")
+    share = {r["lang"]: min(1.0, SAMPLE_DOCS / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not share:
+        return {}
+    width = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) * (1 << 30)
+    sample = rows.where(F.pmod(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) - width, F.lit(float(1 << 30))) < width)
+    found = predict(sample, stats, keep=["lang"], rate=True).where("lang = lang_pred")
+    return {r["lang"]: r["rate"] for r in found.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 1000).alias("rate")).collect()}
+
+
+def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | None = None, rate: bool = False) -> DataFrame:
     """The columns `keep` of docs (None: all) with lang_pred and score (the share of the best language's 2^-bits in
     their sum; 0 where unknown); columns of docs with these two names are replaced.
 
     A null text, or one without a letter, is `und`; so is every text if nothing was learned. Equal code lengths go to
-    the first language by code point."""
-    names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    the first language by code point. rate: one more column, `rate`, the code length in bits a byte under the best
+    language; null where unknown."""
+    added = ("lang_pred", "score", "rate") if rate else ("lang_pred", "score")
+    names = [c for c in (keep or docs.columns) if c not in added]
     if not stats[0]:
-        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        out = docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return out.withColumn("rate", F.lit(None).cast("double")) if rate else out
     shared, key, langs = docs.sparkSession.sparkContext.broadcast(stats), uuid.uuid4().hex, stats[0]
     starts = range(0, len(langs), LANGS)
 
@@ -146,8 +163,11 @@ def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | No
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 found = pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), found, pa.array(np.where(known, share, 0.0))], names=[*names, "lang_pred", "score"])
+                columns = [*(part.column(c) for c in names), found, pa.array(np.where(known, share, 0.0))]
+                if rate:
+                    columns.append(pa.array(bits.min(axis=1) / np.maximum([len(t) for t in texts], 1), mask=~np.array(known, bool)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     lettered = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("_lettered")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*dict.fromkeys([*names, text]), lettered).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*names, text]), lettered).mapInArrow(score, f"{schema}, lang_pred string, score double{', rate double' if rate else ''}")
