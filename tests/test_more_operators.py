@@ -232,6 +232,21 @@ def test_sweeps_winners_and_report(spark, index, places):
     assert (empty.refuse_rate, empty.citation_contract_rate, empty.grounded_rate, empty.answered_rate) == (1.0, 0.0, 1.0, 1.0)
 
 
+def test_a_sweep_of_many_thresholds_shuffles_no_more(spark, index, places):
+    queries = spark.createDataFrame([(1, "alpha", [1.0, 0.0]), (2, "beta", [0.6, 0.8]), (3, "", [0.0, 1.0]), (4, "gamma", None)], "query_id long, question string, vector array<double>")
+    cases = spark.createDataFrame([(1, "answer", ["a"]), (2, "answer", ["b"]), (3, "refuse", []), (4, "answer", ["zz"])], "query_id long, expected_behavior string, relevant_doc_ids array<string>")
+    many = [0.0, *(i / 20 for i in range(1, 30))]
+    few, all_ = (experiments.ask_sweep(index, queries, cases, *places, least=tuple(s), top_ks=(3, 5)) for s in (many[:2], many))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(few) == exchanges(all_)
+    rows = {(r.min_dense, r.top_k): r for r in all_.collect()}
+    assert len(rows) == 60
+    for least in (0.0, 0.95, 1.0, 1.05):
+        one = A.ask_rates(A.ask_cases(experiments.ask(index, queries, *places, least=least), cases)).first()
+        got = rows[least, 5]
+        assert all(got[c] == pytest.approx(one[c]) for c in ("n_refuse", "n_answer", "refuse_rate", "citation_contract_rate", "grounded_rate", "answered_rate", "answer_refuse_rate", "grounded_among_answered"))
+
+
 def test_scopes_and_counts(spark):
     catalog = spark.createDataFrame([("a", "p0"), ("b", "p1"), ("c", "exclude"), ("d", None)], "source_id string, priority string")
     scoped = corpus.in_scope(catalog, ("p0", "exclude"))
