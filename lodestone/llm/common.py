@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..session import discard, shared_dir, written  # noqa: F401  (operators take them from here)
 
@@ -32,6 +33,19 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def named(name: str) -> Column:
+    """A column of the top level by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str], list[StructField]]:
+    """docs with only these columns, called _k0, _k1, ... so that no name can clash; the new name of each; their fields."""
+    unique = list(dict.fromkeys(names))
+    at = {c: f"_k{i}" for i, c in enumerate(unique)}
+    out = docs.select(*[named(c).alias(at[c]) for c in unique])
+    return out, at, [StructField(c, f.dataType) for c, f in zip(unique, out.schema, strict=True)]
+
+
 def byte_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column holds about `limit` bytes each (one row at least)."""
     n = batch.num_rows

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import byte_chunks
+from .common import byte_chunks, named, numbered
 
 ORDER = 3
 #: Labelled texts learned from, per language, in expectation: a bounded sample by hash of the id.
@@ -134,7 +135,7 @@ def usual_rates(docs: DataFrame, stats, text: str = "text", lang: str = "lang",
 
 def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | None = None, rate: bool = False) -> DataFrame:
     """The columns `keep` of docs (None: all) with lang_pred and score (the share of the best language's 2^-bits in
-    their sum; 0 where unknown); columns of docs with these two names are replaced.
+    their sum; 0 where unknown); columns of docs with these two names are replaced, others may have any name.
 
     A null text, or one without a letter, is `und`; so is every text if nothing was learned. Equal code lengths go to
     the first language by code point. rate: one more column, `rate`, the code length in bits a byte under the best
@@ -142,10 +143,11 @@ def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | No
     added = ("lang_pred", "score", "rate") if rate else ("lang_pred", "score")
     names = [c for c in (keep or docs.columns) if c not in added]
     if not stats[0]:
-        out = docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        out = docs.select(*map(named, names), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
         return out.withColumn("rate", F.lit(None).cast("double")) if rate else out
     shared, key, langs = docs.sparkSession.sparkContext.broadcast(stats), uuid.uuid4().hex, stats[0]
     starts = range(0, len(langs), LANGS)
+    rows, at, fields = numbered(docs, [*names, text])
 
     def model(start: int) -> Model:
         if (key, start) not in _models:
@@ -156,18 +158,19 @@ def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | No
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_chunks(batch, text, 2 << 20):
+            for part in byte_chunks(batch, at[text], 2 << 20):
                 known = part.column("_lettered").to_pylist()
-                texts = [t.encode() if k else b"" for t, k in zip(part.column(text).to_pylist(), known, strict=True)]
+                texts = [t.encode() if k else b"" for t, k in zip(part.column(at[text]).to_pylist(), known, strict=True)]
                 bits = np.hstack([model(a).bits(texts) for a in starts])
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 found = pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)])
-                columns = [*(part.column(c) for c in names), found, pa.array(np.where(known, share, 0.0))]
+                columns = [*(part.column(at[c]) for c in names), found, pa.array(np.where(known, share, 0.0))]
                 if rate:
                     columns.append(pa.array(bits.min(axis=1) / np.maximum([len(t) for t in texts], 1), mask=~np.array(known, bool)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    lettered = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("_lettered")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*dict.fromkeys([*names, text]), lettered).mapInArrow(score, f"{schema}, lang_pred string, score double{', rate double' if rate else ''}")
+    lettered = F.coalesce(F.col(at[text]).rlike(_LETTER), F.lit(False))
+    kinds = (StringType(), DoubleType(), DoubleType())
+    schema = StructType([*fields[: len(names)], *(StructField(c, k) for c, k in zip(added, kinds, strict=False))])
+    return rows.withColumn("_lettered", lettered).mapInArrow(score, schema)

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import byte_chunks
+from .common import byte_chunks, numbered
 
 FEATURES = ("log_chars", "word_length", "vocabulary", "repeats", "symbols", "upper", "digits", "commas_stops", "breaks", "non_ascii", "line_copies", "exclamations")
 #: Labelled rows learned from, in expectation: a bounded sample by hash of the id.
@@ -153,15 +154,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 def score(docs: DataFrame, model: Additive, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (None: all) with score (0 to 1) and predicted (1 if score >= 0.5); columns of docs
-    with these two names are replaced. A null text scores as an empty one."""
+    with these two names are replaced, others may have any name. A null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
+    rows, at, fields = numbered(docs, [*names, text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_chunks(batch, text):
-                s = shared.value.score(features([t or "" for t in part.column(text).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            for part in byte_chunks(batch, at[text]):
+                s = shared.value.score(features([t or "" for t in part.column(at[text]).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*(part.column(at[c]) for c in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(run, StructType([*fields[: len(names)], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))

@@ -104,7 +104,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken. The texts are filtered where they lie."""
+    """The mix itself: the rows of docs, each as often as it is taken. The texts are filtered where they lie. Columns of
+    docs may have any name; a row is carried as one struct."""
     ends = thresholds(_sized(docs, key, text, source), weights, share, most)
-    out = with_times(docs.select("*", F.col(source).alias("_s"), _hash(F.col(key)).alias("_h")), ends, F.col("_s"), F.col("_h"), most)
-    return out.where("times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(source).alias("_s"), _hash(F.col(key)).alias("_h"))
+    out = with_times(rows, ends, F.col("_s"), F.col("_h"), most)
+    return out.where("times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("_row.*")
