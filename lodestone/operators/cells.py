@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,12 @@ def load_cells(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(spark.read.parquet(f"{path}/bounds"), spark.read.parquet(f"{path}/all").select("cell", "ids", "vectors"))
 
 
+def restricted(index: CellIndex, allow: DataFrame | None) -> CellIndex:
+    """The index as a filter (cell, mask) leaves it (access): cells without an allowed vector are neither bounded nor
+    read, and other vectors are passed over before any product. None leaves all."""
+    return index if allow is None else replace(index, bounds=index.bounds.join(allow, "cell", "left_semi"), cells=index.cells.join(allow, "cell"))
+
+
 def _bounds(part: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
     """(cells, queries): no vector of the cell has a larger inner product with the query."""
     length, mean = np.sqrt((q**2).sum(axis=1)), matrix(part.column("mean"), q.shape[1])
@@ -139,6 +145,10 @@ def _score(q: np.ndarray, k: int, schema: pa.Schema):
                 row = batch.slice(r, 1)
                 own = np.array(row.column("queries")[0].as_py())
                 ids, x = row.column("ids")[0].values, matrix(row.column("vectors"), q.shape[1])
+                if "mask" in row.schema.names:
+                    bits = np.unpackbits(np.array(row.column("mask")[0].as_py(), "<i8").view(np.uint8), bitorder="little")
+                    keep = np.flatnonzero(bits[: len(x)])
+                    ids, x = ids.take(pa.array(keep)), x[keep]
                 product = x @ q[own].T
                 least = np.partition(product, max(0, len(x) - k), axis=0)[max(0, len(x) - k)]
                 at, who = np.nonzero(product >= least - ROOM * (1 + np.abs(least)))
@@ -156,7 +166,7 @@ def _scores(index: CellIndex, pairs: DataFrame, q: np.ndarray, k: int) -> DataFr
     schema = f"q long, id {kind}, score double"
     by_cell = pairs.groupBy("cell").agg(F.collect_list("q").alias("queries"))  # QUERIES of them at most
     arrow = to_arrow_schema(pairs.sparkSession.createDataFrame([], schema).schema)
-    return by_cell.join(index.cells, "cell").select("queries", "ids", "vectors").mapInArrow(_score(q, k, arrow), schema)
+    return by_cell.join(index.cells, "cell").select("queries", "ids", "vectors", *(["mask"] if "mask" in index.cells.columns else [])).mapInArrow(_score(q, k, arrow), schema)
 
 
 def plan_cells(index: CellIndex, q: np.ndarray, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame, DataFrame]:

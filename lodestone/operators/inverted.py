@@ -8,12 +8,15 @@ A search first reads the blocks' maxima alone: for a query they bound what any d
 with the largest bounds are scored first; the k-th score found there is a floor, and only ranges whose bound reaches it
 are scored after them. Each needed block is shuffled once to its group of ranges, whatever the number of its postings or
 of the queries that ask for it, up to QUERIES queries a group.
+
+A restricted index has a mask of the documents that an access filter allows in each range (access): ranges without any
+are neither bounded nor read, and other documents' postings are passed over before anything is scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,13 @@ FEW_TERMS = 2000
 
 @dataclass
 class InvertedIndex:
-    """blocks(term, range, peak, ids, tfs, dls), terms(term, df), stats(n, avgdl, k1, b): one row."""
+    """blocks(term, range, peak, ids, tfs, dls, slots: places in the range), terms(term, df), stats(n, avgdl, k1, b): one
+    row, and members(range, ids: all its documents, by slot)."""
 
     blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    members: DataFrame
 
 
 def _parts(tf: np.ndarray, dl: np.ndarray, average: float, k1: float, b: float) -> np.ndarray:
@@ -46,7 +51,7 @@ def _parts(tf: np.ndarray, dl: np.ndarray, average: float, k1: float, b: float)
 
 def _invert(width: int, average: float, k1: float, b: float):
     def block(batch: pa.RecordBatch, name: int) -> pa.RecordBatch:
-        """The blocks of one range, by term."""
+        """The blocks of one range, by term, and its members under no term."""
         lists = batch.column("terms")
         coded = lists.flatten().dictionary_encode()
         what = coded.indices.to_numpy(zero_copy_only=False)
@@ -56,8 +61,13 @@ def _invert(width: int, average: float, k1: float, b: float):
         dl = batch.column("dl").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
         cuts = np.append(0, np.cumsum(np.bincount(what, minlength=len(coded.dictionary))))
         peak = np.maximum.reduceat(_parts(tf, dl, average, k1, b), cuts[:-1]) if len(tf) else np.zeros(0)
-        lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in (batch.column("id").take(pa.array(doc)), pa.array(tf, pa.int64()), pa.array(dl))]
-        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(peak), name)), pa.array(peak), *lists], names=["term", "range", "peak", "ids", "tfs", "dls"])
+        cuts = pa.array(np.append(cuts, [len(doc) + batch.num_rows]), pa.int32())
+        ids = pa.concat_arrays([batch.column("id").take(pa.array(doc)), batch.column("id")])
+        rest = np.zeros(batch.num_rows, np.int64)
+        numbers = (pa.array(np.append(tf, rest), pa.int64()), pa.array(np.append(dl, rest)), pa.array(np.append(doc, np.arange(batch.num_rows)), pa.int16()))
+        lists = [pa.ListArray.from_arrays(cuts, x) for x in (ids, *numbers)]
+        terms = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)])
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(terms), name)), pa.array(np.append(peak, 0.0)), *lists], names=["term", "range", "peak", "ids", "tfs", "dls", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
@@ -76,15 +86,21 @@ def write_inverted(index: LexicalIndex, path: str, width: int = RANGE, k1: float
     stats = index.stats.first()
     kind = index.documents.schema["id"].dataType.simpleString()
     rows = index.documents.select("id", F.col("dl").cast("long").alias("dl"), "terms", "tfs")
-    made = written(rows.mapInArrow(_invert(width, stats["avgdl"] or 1.0, k1, b), f"term string, range long, peak double, ids array<{kind}>, tfs array<long>, dls array<long>"))
-    made.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{path}/blocks")
+    made = written(rows.mapInArrow(_invert(width, stats["avgdl"] or 1.0, k1, b), f"term string, range long, peak double, ids array<{kind}>, tfs array<long>, dls array<long>, slots array<short>"))
+    made.where("term IS NULL").select("range", "ids").write.mode("overwrite").parquet(f"{path}/members")
+    made.where("term IS NOT NULL").repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{path}/blocks")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))}).write.mode("overwrite").parquet(f"{path}/stats")
     return load_inverted(spark, path)
 
 
 def load_inverted(spark: SparkSession, path: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")))
+    return InvertedIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats", "members")))
+
+
+def restricted(index: InvertedIndex, allow: DataFrame | None) -> InvertedIndex:
+    """The index as a filter (range, mask) leaves it: the same statistics, only the allowed documents. None leaves all."""
+    return index if allow is None else replace(index, blocks=index.blocks.join(allow, "range"))
 
 
 def _of_terms(rows: DataFrame, words: DataFrame) -> DataFrame:
@@ -101,6 +117,13 @@ def range_bounds(index: InvertedIndex, words: DataFrame) -> DataFrame:
     return words.join(peaks, "term").groupBy("query_id", "range").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
 
 
+def _set(masks: pa.Array, row: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether each slot's bit is set in the mask of its row."""
+    n = masks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = masks.flatten().to_numpy(zero_copy_only=False)
+    return words[(np.cumsum(n) - n)[row] + (slot >> 6)] >> (slot & 63) & 1 == 1
+
+
 def _score(average: float, k1: float, b: float, k: int, schema: pa.Schema):
     def run(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
         """The k best documents of these ranges for each query that wants some of them."""
@@ -109,10 +132,14 @@ def _score(average: float, k1: float, b: float, k: int, schema: pa.Schema):
         block = {key: i for i, key in enumerate(zip(blocks["term"].to_pylist(), blocks["range"].to_pylist(), strict=True))}
         lists = blocks["ids"].combine_chunks()
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        start = np.cumsum(size) - size
         flat = lambda c: blocks[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        part = _parts(flat("tfs"), flat("dls"), average, k1, b)
-        coded = lists.flatten().dictionary_encode()
+        ids, tf, dl = lists.flatten(), flat("tfs"), flat("dls")
+        if "mask" in blocks.column_names:
+            row = np.repeat(np.arange(len(size)), size)
+            keep = np.flatnonzero(_set(blocks["mask"].combine_chunks(), row, flat("slots").astype(np.int64)))
+            ids, tf, dl, size = ids.take(pa.array(keep)), tf[keep], dl[keep], np.bincount(row[keep], minlength=len(size))
+        start = np.cumsum(size) - size
+        part, coded = _parts(tf, dl, average, k1, b), ids.dictionary_encode()
         doc, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
         rows = np.array([block.get(key, -1) for key in zip(wanted["term"].to_pylist(), wanted["range"].to_pylist(), strict=True)], np.int64)
         weight, names = wanted["w"].to_numpy(), wanted["query_id"].combine_chunks().dictionary_encode()
@@ -149,7 +176,7 @@ def _best(index: InvertedIndex, words: DataFrame, pairs: DataFrame, k: int, seat
     place = {"zone": F.col("range") - F.pmod(F.col("range"), F.lit(GROUP)), "seat": F.pmod(F.xxhash64("query_id"), F.lit(seats))}
     wanted = pairs.join(words, "query_id").select("query_id", "range", "term", "w").withColumns(place)
     needed = wanted.select("term", "range", F.col("zone").alias("own_zone"), F.col("seat").alias("own_seat")).distinct()
-    blocks = _of_terms(index.blocks, words).join(needed, ["term", "range"]).select("own_zone", "own_seat", "term", "range", "ids", "tfs", "dls")
+    blocks = _of_terms(index.blocks, words).join(needed, ["term", "range"]).select("own_zone", "own_seat", "term", "range", "ids", "tfs", "dls", *(("slots", "mask") if "mask" in index.blocks.columns else ()))
     score = _score(stats["avgdl"] or 1.0, stats["k1"], stats["b"], k, to_arrow_schema(spark.createDataFrame([], schema).schema))
     return wanted.groupBy("zone", "seat").cogroup(blocks.groupBy("own_zone", "own_seat")).applyInArrow(score, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import OUT_OF_SCOPE, SECRET, TOKEN, clip, content_hash, dot, normalized, quote, refuse_reason, tokens
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
-from lodestone.operators import cells, corpus, experiments, indexing, inverted, reports, segments
+from lodestone.operators import access, cells, corpus, experiments, indexing, inverted, reports, segments
 from lodestone.operators import retrieval as R
 from lodestone.session import shared_dir
 from lodestone.sources import frontmatter
@@ -395,12 +395,16 @@ def incremental_reuse(spark, d):
     return reports.embed_report(now).select("total", "new", "reused")
 
 
+def _cells(spark, d) -> cells.CellIndex:
+    vectors = read(spark, d, "embeddings").selectExpr("vec_id AS id", "embedding AS vector")
+    return cells.load_cells(spark, _once(spark, d, "cells", ("embeddings",), lambda path: cells.write_cells(vectors, path)))
+
+
 @query(SQL["dense_topk"])
 def dense_topk_cells(spark, d):
     """The same rows from vectors in cells, of which only those are read that may hold one of the best."""
     e = read(spark, d, "embeddings")
-    path = _once(spark, d, "cells", ("embeddings",), lambda path: cells.write_cells(e.selectExpr("vec_id AS id", "embedding AS vector"), path))
-    found = cells.search_cells(cells.load_cells(spark, path), e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), 10)
+    found = cells.search_cells(_cells(spark, d), e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), 10)
     return R.ranking(found, 10, overfetch=None).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -441,6 +445,53 @@ def filtered_search_prefilter(spark, d):
     return _hybrid(spark, d, team="team1", overfetch=None)
 
 
+def _masks(spark, d, what: str) -> DataFrame:
+    """Stored masks of the inverted index's ranges, or of the cells of vectors, by the documents' metadata."""
+    meta = with_meta(read(spark, d, "documents")).selectExpr("doc_id AS id", "source AS source_id", "team", "acl", "priority")
+    group, members = ("range", _inverted(spark, d).members) if what == "documents" else ("cell", _cells(spark, d).cells)
+    path = _once(spark, d, f"masks of {what}", ("documents", "embeddings"), lambda path: access.write_masks(access.masks(members, meta, group), path))
+    return access.load_masks(spark, path)
+
+
+def _allowed_words(spark, d, k: int, **filters) -> DataFrame:
+    index = inverted.restricted(_inverted(spark, d), access.allowed(_masks(spark, d, "documents"), **filters))
+    return R.ranking(inverted.search_blocks(index, read(spark, d, "benchmark").selectExpr("item_id AS query_id", "text AS question"), k), k, overfetch=None, top_k=k)
+
+
+def _allowed_vectors(spark, d, queries: DataFrame, k: int, **filters) -> DataFrame:
+    index = cells.restricted(_cells(spark, d), access.allowed(_masks(spark, d, "vectors"), **filters))
+    return R.ranking(cells.search_cells(index, queries, k), k, overfetch=None, top_k=k)
+
+
+@query(f"""WITH c AS (SELECT source AS source_id, team, acl, priority FROM {DOCS}), m AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, {f} AS value FROM c" for f in access.FIELDS)})
+SELECT field, value, CAST(count(*) AS BIGINT) AS n FROM m WHERE value IS NOT NULL GROUP BY field, value""")
+def access_counts(spark, d):
+    """Documents by each value of each field, counted from the stored masks."""
+    return access.allowed_counts(_masks(spark, d, "documents"))
+
+
+@query(f"WITH {LEX} SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0 AND doc_id IN (SELECT doc_id FROM {DOCS} WHERE team = 'team1' AND acl = 'team-only')) WHERE rank <= 10")
+def filtered_bm25_topk(spark, d):
+    """The best allowed documents: others are passed over inside the scorer, and ranges without an allowed one are left unread."""
+    found = _allowed_words(spark, d, 10, team="team1", acl="team-only")
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {DENSE} SELECT qid AS query_id, vid AS vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT qid, vid, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE vid IN (SELECT doc_id FROM {DOCS} WHERE priority = 'p1' AND team = 'team2')) WHERE rank <= 10")
+def filtered_dense_topk(spark, d):
+    queries = read(spark, d, "embeddings").where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    found = _allowed_vectors(spark, d, queries, 10, priority="p1", team="team2")
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(SQL["filtered_search_prefilter"])
+def filtered_search_masks(spark, d):
+    """The same rows without a join by id: both branches pass over what the masks don't allow."""
+    dense = _allowed_vectors(spark, d, _asked(spark, d).select("query_id", "vector"), R.CANDIDATES, team="team1")
+    hits = R.fuse(dense, _allowed_words(spark, d, R.CANDIDATES, team="team1")).where(F.col("rank") <= R.TOP_K)
+    return hits.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "dense_rank", "bm25_rank")
+
+
 # Dense hits against the vectors' labels: a hit is relevant if it has the query's label.
 REL = f"{DENSE}, r AS (SELECT qid, min(CASE WHEN label = qlabel THEN rank END) AS first_rank FROM (SELECT qid, label, qlabel, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dr WHERE qid <> vid AND rank <= 11) GROUP BY qid)"
 
