@@ -23,9 +23,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: the best learned language also codes them about as well as its own texts."""
     stats = op01_language_id.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
-    usual = op01_language_id.usual_rates(docs, stats)
+    found = written(op01_language_id.predict(docs.select(*COLUMNS), stats, rate=True))
+    usual = op01_language_id.medians(found)
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in usual.items() for x in kv]).cast("map<string,double>"), F.col("lang_pred")) * MOST_RATE
-    found = op01_language_id.predict(docs.select(*COLUMNS), stats, rate=True)
     coded = F.coalesce(F.col("rate") <= limit + SLACK / F.greatest(F.octet_length("text"), F.lit(1)), F.lit(True))
     return found.where((F.col("lang_pred") != op01_language_id.UNKNOWN) & (F.col("score") >= LEAST_BELIEF) & coded).select(*COLUMNS)
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -119,18 +119,21 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> tuple[list[
     return langs, [g["gram"].to_numpy(np.int64) for g in by], [g["n"].to_numpy(np.int64) for g in by]
 
 
-def usual_rates(docs: DataFrame, stats, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
-    """The median code length of each learned language, in bits a byte, over about SAMPLE_DOCS of its labelled texts:
-    those with the next hashes after the ones that fit() learns from, or learned ones where there are no others. Texts
-    that aren't taken for their label's language are left out."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("string"), F.col(text)).alias("key")).where("lang IS NOT NULL AND text <> ''")
-    share = {r["lang"]: min(1.0, SAMPLE_DOCS / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return {}
-    width = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) * (1 << 30)
-    sample = rows.where(F.pmod(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) - width, F.lit(float(1 << 30))) < width)
-    found = predict(sample, stats, keep=["lang"], rate=True).where("lang = lang_pred")
-    return {r["lang"]: r["rate"] for r in found.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 1000).alias("rate")).collect()}
+def usual_rates(docs: DataFrame, stats, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """medians() of all labelled texts of docs under the model."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text <> ''")
+    return medians(predict(rows, stats, keep=["lang"], rate=True))
+
+
+def medians(found: DataFrame) -> dict[str, float]:
+    """The median code length of each learned language, in bits a byte to three digits, over all texts of found (lang,
+    lang_pred, rate) that are labelled with it and taken for it: the least rate that half of them don't exceed.
+
+    Texts are counted by language and rate, so what is ordered are a few thousand counts a language."""
+    counts = found.where("lang = lang_pred AND rate IS NOT NULL").groupBy("lang", F.round("rate", 3).alias("rate")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    ranked = counts.withColumns({"upto": F.sum("n").over(own.orderBy("rate")), "all": F.sum("n").over(own)})
+    return {r["lang"]: r["rate"] for r in ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min("rate").alias("rate")).collect()}
 
 
 def predict(docs: DataFrame, stats, text: str = "text", keep: Sequence[str] | None = None, rate: bool = False) -> DataFrame:

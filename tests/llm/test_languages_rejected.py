@@ -29,3 +29,16 @@ def test_rates(spark):
     assert got[50] == got[51] == ("und", None) and 0 < got[1][1] < 2
     assert op01_language_id.usual_rates(docs.limit(0), stats) == {}
     assert op01_language_id.predict(docs, ([], [], []), rate=True).where("rate IS NULL").count() == docs.count()
+
+
+def test_usual_rates_are_those_of_all_labelled_texts(spark, monkeypatch):
+    letters = random.Random(2)
+    texts = [f"the cat sat on mat {i} " + "".join(letters.choices("etaoin shrdlu", k=i % 50)) for i in range(401)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(900 + i, f"le chat dort {i}", "fr") for i in range(3)], "doc_id long, text string, lang string")
+    stats = op01_language_id.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    monkeypatch.setattr(op01_language_id, "SAMPLE_DOCS", 3)
+    rows = op01_language_id.predict(docs, stats, rate=True).where("lang = lang_pred").collect()
+    usual = op01_language_id.usual_rates(docs, stats)
+    for lang in ("en", "fr"):
+        own = sorted(round(r.rate, 3) for r in rows if r.lang == lang)
+        assert usual[lang] == own[(len(own) - 1) // 2]
