@@ -1,8 +1,9 @@
 """An inverted index in blocks with maxima, and exact top-k search that skips blocks.
 
 Documents are cut into ranges of RANGE documents where they lie. A block holds the postings of one term in one range,
-and the largest contribution that any of them can make. Blocks are stored in the order of their terms, so a filter on
-terms reaches the files' statistics, and the blocks of a frequent term are spread over as many files as they fill.
+and the largest contribution that any of them can make. A task writes its ranges' blocks where they lie, in runs of about
+RUN postings, each in the order of its terms, so a filter on terms reaches the statistics of files' pages. Nothing is
+shuffled or sorted beyond a run, and the blocks of a frequent term lie in as many files as its ranges.
 
 A search first reads the blocks' maxima alone: for a query they bound what any document of a range can score. The ranges
 with the largest bounds are scored first; the k-th score found there is a floor, and only ranges whose bound reaches it
@@ -20,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from lodestone.session import written
 RANGE, GROUP, FIRST, QUERIES = 256, 16, 2, 1024
 #: Query terms up to which they are handed to the scan as a filter on its files; more are joined.
 FEW_TERMS = 2000
+#: Postings that are put in order together, about, and blocks that leave a task together.
+RUN, BATCH = 2_000_000, 16_384
 
 
 @dataclass
@@ -58,44 +62,56 @@ def _invert(width: int, average: float, k1: float, b: float):
         order = np.argsort(what, kind="stable")
         doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[order]
         tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)[order]
-        dl = batch.column("dl").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+        dl = batch.column("dl").to_numpy(zero_copy_only=False)[doc]
         cuts = np.append(0, np.cumsum(np.bincount(what, minlength=len(coded.dictionary))))
         peak = np.maximum.reduceat(_parts(tf, dl, average, k1, b), cuts[:-1]) if len(tf) else np.zeros(0)
         cuts = pa.array(np.append(cuts, [len(doc) + batch.num_rows]), pa.int32())
         ids = pa.concat_arrays([batch.column("id").take(pa.array(doc)), batch.column("id")])
-        rest = np.zeros(batch.num_rows, np.int64)
-        numbers = (pa.array(np.append(tf, rest), pa.int64()), pa.array(np.append(dl, rest)), pa.array(np.append(doc, np.arange(batch.num_rows)), pa.int16()))
+        rest = np.zeros(batch.num_rows, np.int32)
+        numbers = (pa.array(np.append(tf, rest).astype(np.int32)), pa.array(np.append(dl, rest).astype(np.int32)), pa.array(np.append(doc, np.arange(batch.num_rows)), pa.int16()))
         lists = [pa.ListArray.from_arrays(cuts, x) for x in (ids, *numbers)]
         terms = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)])
         return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(terms), name)), pa.array(np.append(peak, 0.0)), *lists], names=["term", "range", "peak", "ids", "tfs", "dls", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 32
+        name, made, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for a in range(0, batch.num_rows, width):
-                yield block(batch.slice(a, width), name)
-                name += 1
+                made.append(block(batch.slice(a, width), name))
+                name, size = name + 1, size + len(made[-1].column("slots").flatten())
+                if size >= RUN:
+                    yield from _in_order(made)
+                    made, size = [], 0
+        if made:
+            yield from _in_order(made)
 
     return run
 
 
+def _in_order(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """These ranges' rows by term and range, members first."""
+    rows = pa.Table.from_batches(made)
+    order = pc.sort_indices(rows, sort_keys=[("term", "ascending"), ("range", "ascending")], null_placement="at_start")
+    for a in range(0, len(order), BATCH):
+        yield from rows.take(order.slice(a, BATCH)).combine_chunks().to_batches()
+
+
 def write_inverted(index: LexicalIndex, path: str, width: int = RANGE, k1: float = K1, b: float = B) -> InvertedIndex:
-    """The inverted form of an index, written to a folder. No group of postings larger than a range's is ever built, and
-    rows are dealt by ranges of (term, range): a term that all documents have is cut like any other."""
-    spark = index.documents.sparkSession
+    """The inverted form of an index, written to a folder in one pass over its documents. No group of postings larger than
+    a range's is ever built, and none is shuffled: a term that all documents have is cut like any other."""
     stats = index.stats.first()
     kind = index.documents.schema["id"].dataType.simpleString()
     rows = index.documents.select("id", F.col("dl").cast("long").alias("dl"), "terms", "tfs")
-    made = written(rows.mapInArrow(_invert(width, stats["avgdl"] or 1.0, k1, b), f"term string, range long, peak double, ids array<{kind}>, tfs array<long>, dls array<long>, slots array<short>"))
-    made.where("term IS NULL").select("range", "ids").write.mode("overwrite").parquet(f"{path}/members")
-    made.where("term IS NOT NULL").repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{path}/blocks")
+    made = rows.mapInArrow(_invert(width, stats["avgdl"] or 1.0, k1, b), f"term string, range long, peak double, ids array<{kind}>, tfs array<int>, dls array<int>, slots array<short>")
+    made.write.mode("overwrite").parquet(f"{path}/blocks")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))}).write.mode("overwrite").parquet(f"{path}/stats")
-    return load_inverted(spark, path)
+    return load_inverted(index.documents.sparkSession, path)
 
 
 def load_inverted(spark: SparkSession, path: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats", "members")))
+    rows, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats"))
+    return InvertedIndex(rows.where("term IS NOT NULL"), terms, stats, rows.where("term IS NULL").select("range", "ids"))
 
 
 def restricted(index: InvertedIndex, allow: DataFrame | None) -> InvertedIndex:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import inverted as I
 from lodestone.operators import retrieval as R
@@ -73,3 +74,18 @@ def test_empty_inputs(spark, index, tmp_path):
     docs = spark.createDataFrame([], "id long, text string")
     empty = I.write_inverted(R.build_lexical(docs, "id"), str(tmp_path / "x"))
     assert I.search_blocks(empty, spark.createDataFrame([(1, "a")], "query_id long, question string"), 3).count() == 0
+
+
+def test_blocks_are_written_where_they_lie(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "RUN", 400)
+    monkeypatch.setattr(I, "BATCH", 50)
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").coalesce(2)
+    index = I.write_inverted(R.store_lexical(R.build_lexical(docs, "id"), str(tmp_path / "l")), str(tmp_path / "i"), width=16)
+    files = index.blocks.select("range", F.input_file_name().alias("f")).groupBy("range").agg(F.countDistinct("f").alias("n"))
+    assert files.where("n > 1").count() == 0  # a range's blocks never leave their task
+    assert sorted(i for r in index.members.collect() for i in r.ids) == sorted(texts)
+    queries = spark.createDataFrame(list(ASKED.items()), "query_id long, question string")
+    for q, text in ASKED.items():
+        own = scores(texts, text)
+        got = [(r.id, round(r.score, 9)) for r in I.search_blocks(index, queries.where(F.col("query_id") == q), 4).orderBy(F.desc("score"), "id").collect()] if q in (0, 5) else None
+        assert got is None or dict(got) == {i: round(own[i], 9) for i in sorted(own, key=lambda i: (-round(own[i], 9), i))[:4]}
