@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import tokens
 from lodestone.session import written
@@ -22,6 +23,8 @@ K1, B, RRF = 1.5, 0.75, 60
 TOP_K, CANDIDATES = 5, 20
 #: Queries and query words that are broadcast at once, about; vectors multiplied at once; products held at once.
 QUERY_BLOCK, WORD_BLOCK, VECTOR_BLOCK, PRODUCTS = 1024, 500_000, 4096, 4 << 20
+#: Products of vectors that a task holds at once, a few times over, and scored pairs that it sends at once.
+DENSE_PRODUCTS, PAIRS = 1 << 19, 1 << 14
 
 
 def rank_by(score: Column, *ties: str | Column, name: str = "query_id") -> Column:
@@ -181,6 +184,28 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), float)
 
 
+def _dense_scorer(names: pa.Array, q: np.ndarray, k: int):
+    """Scores of batches (id, v) for the queries `names`, whose vectors are the rows of q. About DENSE_PRODUCTS products
+    are held at once, and PAIRS rows are sent at once, however many vectors are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(q), k)
+        step = max(1, min(VECTOR_BLOCK, DENSE_PRODUCTS // len(q)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                own = batch.slice(lo, step)
+                if (own.column("v").value_lengths().to_numpy(zero_copy_only=False) != q.shape[1]).any():
+                    raise ValueError(f"vectors must have {q.shape[1]} components")
+                x = own.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+                rows, whose = np.nonzero(best.keep(x @ q.T))
+                for a in range(0, len(rows), PAIRS):
+                    row, who = rows[a : a + PAIRS], whose[a : a + PAIRS]
+                    score = (x[row] * q[who]).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), own.column("id").take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, most: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score): for each query its k largest inner products, zero and negative ones included.
 
@@ -191,27 +216,19 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, most: int = QUE
     vectors = vectors.select("id", F.col("vector").alias("v")).where("v is not null")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
 
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+
     def scorer(few: pd.DataFrame):
         few = few.sort_values("query_id")
-        names, q = few["query_id"].to_numpy(), _matrix(few["q"])
-
-        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(len(names), k)
-            for batch in batches:
-                for lo in range(0, len(batch), VECTOR_BLOCK):
-                    own = batch.iloc[lo : lo + VECTOR_BLOCK]
-                    ids, x = own["id"].to_numpy(), _matrix(own["v"])
-                    row, who = np.nonzero(best.keep(x @ q.T))
-                    yield pd.DataFrame({"query_id": names[who], "id": ids[row], "score": (x[row] * q[who]).sum(axis=1)})
-
-        return multiply
+        return _dense_scorer(pa.array(few["query_id"], kind, from_pandas=True), _matrix(few["q"]), k)
 
     few = queries.limit(most + 1).toPandas()
     if len(few) <= most:
         groups = [few]
     else:
+        queries = written(queries)  # each pass reads its share of them
         groups = (g.toPandas() for g in _seats(queries, -(-queries.count() // most)))
-    parts = [vectors.mapInPandas(scorer(g), schema) for g in groups if len(g)]
+    parts = [vectors.mapInArrow(scorer(g), schema) for g in groups if len(g)]
     best = functools.reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     return best.withColumn("rank", rank_by(F.col("score"), "id")).where(F.col("rank") <= k).drop("rank")
 

@@ -1,8 +1,10 @@
 """Operators on small made rows: readers, chunking, retrieval both ways, answers, gates, incremental ingest."""
 
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,15 @@ def test_dense_scores_broadcast_and_in_blocks(spark, monkeypatch, most):
     assert R.dense_scores(vectors, queries.limit(0), 5, most).count() == 0 and R.dense_scores(vectors.limit(0), queries, 5, most).count() == 0
 
 
+def test_equal_vectors_are_scored_in_bounded_memory():
+    equal = pa.RecordBatch.from_pydict({"id": list(range(4096)), "v": pa.array([[1.0] * 64] * 4096, pa.list_(pa.float32()))})
+    tracemalloc.start()
+    rows = [b.num_rows for b in R._dense_scorer(pa.array(range(256)), np.ones((256, 64)), 10)(iter([equal]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 4096 * 256 and max(rows) <= R.PAIRS and peak < 100e6
+
+
 def test_fusion(spark):
     part = lambda rows: spark.createDataFrame(rows, "query_id long, id string, rank int")
     got = R.fuse(part([(1, "a", 1), (1, "b", 2)]), part([(1, "b", 1), (1, "c", 2)])).orderBy("rank").collect()
