@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,18 @@ def ask(index: Index, queries: DataFrame, documents: DataFrame, locations: DataF
     return A.ask(hits, queries.select("query_id", "question"), sure, None, least, documents, locations, nearest, context, backend, make_client)
 
 
+def ask_cases(index: Index, queries: DataFrame, cases: DataFrame, documents: DataFrame, locations: DataFrame, mode: str = "hybrid", top_k: int = R.TOP_K, least: float = A.MIN_DENSE, nearest: int = A.NEAREST, context: int = A.CONTEXT, **options) -> DataFrame:
+    """answers.ask_cases() of what ask() says to the queries. What is refused and cited decides them, so no answer is
+    written and no text is fetched."""
+    bare = replace(index, meta=index.meta.withColumn("text", F.lit(None).cast("string")))
+    hits = found(bare, queries, mode, max(top_k, nearest), **options)
+    decisions = written(A.decide(hits, queries.select("query_id", "question"), _confidence(index, hits, queries), least))
+    cited = A.cite(hits, decisions, documents, locations, nearest, context)
+    lists = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "doc_id", "path"))).alias("citations"))
+    said = decisions.select("query_id", F.col("refuse_reason").isNotNull().alias("refuse"), "refuse_reason").join(lists, "query_id", "left")
+    return A.ask_cases(said, cases)
+
+
 def retrieval_ranks(index: Index, queries: DataFrame, relevant: DataFrame, mode: str, top_k: int = 10, ks: tuple[int, ...] = (1, 5, 10), **options) -> tuple[DataFrame, DataFrame]:
     """(first ranks, ranked documents) of queries: max(top_k, ks) chunks are fetched, and ranked by their documents."""
     docs = A.first_per_document(found(index, queries, mode, max(top_k, *ks), **options).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rank"), max(ks))

@@ -15,12 +15,13 @@ EMBEDDINGS = "chunk_id string, embedding array<float>, content_hash string, mode
 
 @dataclass
 class Index:
-    """lexical tables, vectors(id, vector), meta(id and the chunk's other columns) and info, one row."""
+    """lexical tables (None: for dense searches only), vectors(id, vector), meta(id and the chunk's other columns) and
+    info, one row (None where nothing was stored)."""
 
-    lexical: LexicalIndex
+    lexical: LexicalIndex | None
     vectors: DataFrame
     meta: DataFrame
-    info: DataFrame
+    info: DataFrame | None
 
 
 def write_embeddings(embeddings: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -247,6 +248,18 @@ def test_a_sweep_of_many_thresholds_shuffles_no_more(spark, index, places):
         assert all(got[c] == pytest.approx(one[c]) for c in ("n_refuse", "n_answer", "refuse_rate", "citation_contract_rate", "grounded_rate", "answered_rate", "answer_refuse_rate", "grounded_among_answered"))
 
 
+@pytest.mark.parametrize("mode", ["hybrid", "dense"])
+def test_cases_are_judged_without_words_texts_or_answers(spark, index, places, mode):
+    queries = spark.createDataFrame([(1, "alpha", [1.0, 0.0]), (2, "beta", [0.6, 0.8]), (3, "", [0.0, 1.0]), (4, "gamma", None)], "query_id long, question string, vector array<double>")
+    cases = spark.createDataFrame([(1, "answer", ["a"]), (2, "answer", ["b"]), (3, "refuse", []), (4, "answer", ["zz"])], "query_id long, expected_behavior string, relevant_doc_ids array<string>")
+    own = index if mode == "hybrid" else replace(index, lexical=None)
+    for least in (0.5, 1.05):
+        want = A.ask_cases(experiments.ask(index, queries, *places, mode=mode, least=least), cases)
+        got = experiments.ask_cases(own, queries, cases, *places, mode=mode, least=least)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scopes_and_counts(spark):
     catalog = spark.createDataFrame([("a", "p0"), ("b", "p1"), ("c", "exclude"), ("d", None)], "source_id string, priority string")
     scoped = corpus.in_scope(catalog, ("p0", "exclude"))
