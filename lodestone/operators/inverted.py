@@ -35,6 +35,8 @@ RANGE, GROUP, FIRST, QUERIES = 256, 16, 2, 1024
 FEW_TERMS = 2000
 #: Postings that are put in order together, about, and blocks that leave a task together.
 RUN, BATCH = 2_000_000, 16_384
+#: Ranges (for each group of queries) that are broadcast; more are joined by shuffle.
+BROADCAST_RANGES = 1_000_000
 
 
 @dataclass
@@ -191,8 +193,10 @@ def _best(index: InvertedIndex, words: DataFrame, pairs: DataFrame, k: int, seat
     schema = f"query_id {words.schema['query_id'].dataType.simpleString()}, id {kind}, score double"
     place = {"zone": F.col("range") - F.pmod(F.col("range"), F.lit(GROUP)), "seat": F.pmod(F.xxhash64("query_id"), F.lit(seats))}
     wanted = pairs.join(words, "query_id").select("query_id", "range", "term", "w").withColumns(place)
-    needed = wanted.select("term", "range", F.col("zone").alias("own_zone"), F.col("seat").alias("own_seat")).distinct()
-    blocks = _of_terms(index.blocks, words).join(needed, ["term", "range"]).select("own_zone", "own_seat", "term", "range", "ids", "tfs", "dls", *(("slots", "mask") if "mask" in index.blocks.columns else ()))
+    # Ranges, not (term, range): they are few, so blocks are shuffled once, to those who score them.
+    needed = written(pairs.withColumns(place).select("range", F.col("zone").alias("own_zone"), F.col("seat").alias("own_seat")).distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_RANGES else needed
+    blocks = _of_terms(index.blocks, words).join(needed, "range").select("own_zone", "own_seat", "term", "range", "ids", "tfs", "dls", *(("slots", "mask") if "mask" in index.blocks.columns else ()))
     score = _score(stats["avgdl"] or 1.0, stats["k1"], stats["b"], k, to_arrow_schema(spark.createDataFrame([], schema).schema))
     return wanted.groupBy("zone", "seat").cogroup(blocks.groupBy("own_zone", "own_seat")).applyInArrow(score, schema)
 

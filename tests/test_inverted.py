@@ -89,3 +89,10 @@ def test_blocks_are_written_where_they_lie(spark, texts, tmp_path, monkeypatch):
         own = scores(texts, text)
         got = [(r.id, round(r.score, 9)) for r in I.search_blocks(index, queries.where(F.col("query_id") == q), 4).orderBy(F.desc("score"), "id").collect()] if q in (0, 5) else None
         assert got is None or dict(got) == {i: round(own[i], 9) for i in sorted(own, key=lambda i: (-round(own[i], 9), i))[:4]}
+
+
+def test_blocks_are_shuffled_once(spark, index):
+    words = spark.createDataFrame([(0, "rare", 1.0), (1, "all", 1.0)], "query_id long, term string, w double")
+    pairs = spark.createDataFrame([(q, r.range) for r in index.members.collect() for q in (0, 1)], "query_id long, range long")
+    plan = I._best(index, words, pairs, 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "term" not in " ".join(x for x in plan.splitlines() if "Join" in x)
