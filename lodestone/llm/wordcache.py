@@ -137,9 +137,8 @@ class WordIds:
         self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _forget(self) -> None:
-        """Keep the half of the words that was used most."""
-        most = min(WORDS, CACHE_WORDS) // 2
+    def _forget(self, most: int) -> None:
+        """Keep this many words, those that were used most."""
         keep = np.sort(np.argpartition(-self.hits, most)[:most])
         words, size = list(self.words), self.size[keep]
         self.ids = _ranges(self.ids, self.start[keep], size)
@@ -203,8 +202,8 @@ class WordIds:
 
     def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
-        if len(self.words) > min(WORDS, CACHE_WORDS):
-            self._forget()
+        if len(self.words) > (most := min(WORDS, CACHE_WORDS)):
+            self._forget(most // 2)
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         lower = pc.ascii_lower(texts)
         # Special strings are matched as they are written, so texts that may hold one aren't lower-cased.
@@ -245,71 +244,91 @@ def cuttable(texts: pa.Array, special: list[str]) -> np.ndarray:
     return ~whole.to_numpy(zero_copy_only=False)
 
 
-#: Distinct pieces that one worker keeps the ids of, before the half of WORDS that was used most is left.
+#: Distinct pieces that one worker keeps the ids of, before the half that was used most is left.
 PIECES = 600_000
+#: Letters of the Latin blocks, as _plain() has them.
+_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+
+
+def _cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words of letters and closing marks without their marks, and these; other words whole, and nothing."""
+    tail, head = pc.utf8_ltrim(words, characters=_LATIN), pc.ascii_rtrim(words, characters=_MARKS.decode())
+    cut = pc.and_(pc.equal(pc.ascii_rtrim(tail, characters=_MARKS.decode()), ""), pc.less(pc.binary_length(tail), pc.binary_length(words)))
+    return pc.if_else(cut, head, words), pc.if_else(cut, tail, "")
 
 
 class PieceIds(WordIds):
     """Token ids of whole texts under a byte-level tokenizer.
 
-    Texts are cut before each space and their distinct pieces are looked up, chunk by chunk, as WordIds looks up words;
-    texts that cuttable() leaves out go whole through the library."""
+    Texts are cut before each space and line feed, and a chunk's distinct words into letters and closing marks: letters,
+    marks and a line feed by itself are pre-tokens of their own, so each word of letters is encoded once whatever marks
+    follow it. Parts are looked up as WordIds looks up words: one that follows a space by its bytes alone, which start
+    with the line feed if that stands before it, and any other (a text's first, marks) by its bytes after a space. Texts that
+    cuttable() leaves out go whole through the library."""
 
     def __init__(self, path: str):
         self.tok = load(path)
         self.special = _specials(self.tok)
         self.opens = np.zeros(self.tok.get_vocab_size() + 1, bool)
-        self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, byte-level
+        self.opens[[i for t, i in self.tok.get_vocab().items() if t[0] in "\u0120\u010a"]] = True  # a space or line feed, byte-level
         self.words = _Numbers()
         self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        each = [e.ids for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+        each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each))
 
     def _encode_pieces(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces with their space, one after the other: many make one text, in which a token that starts with a
-        space starts a piece."""
-        texts = [b"".join(parts[a : a + _AT_ONCE]) for a in range(0, len(parts), _AT_ONCE)]
+        """Ids of parts with the space or line feed before them, one after the other: many make one text, in which a token
+        that starts with either starts a part."""
+        texts = [(b" " + b" ".join(parts[a : a + _AT_ONCE])).replace(b" \n", b"\n") for a in range(0, len(parts), _AT_ONCE)]
         ids, _ = self._encode(texts)
         return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
 
-    def _numbers(self, distinct: pa.Array, mark: bytes) -> np.ndarray:
-        keys = [mark + w for w in distinct.cast(pa.binary()).to_pylist()]
-        number = np.fromiter(map(self.words.__getitem__, keys), np.int64, len(keys))
-        if self.words.new:
-            self._append(*(self._encode_pieces if mark else self._encode)(self.words.new))
-        return number
+    def _numbers(self, parts: pa.Array, spaced: bool) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        keys = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.words.__getitem__, keys if spaced else [b" " + k for k in keys]), np.int64, len(keys))
+        if new := self.words.new:
+            self._append(*(self._encode_pieces(new) if spaced else self._encode([k[1:] for k in new])))
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
 
     def of(self, texts: pa.Array | list[str], close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the id `close` is put after each text. A null text is empty."""
         if len(self.words) > PIECES:
-            self._forget()
+            self._forget(PIECES // 2)
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         plain = cuttable(texts, self.special)
-        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n"), " ")
         many = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(many) - many
-        # Units of all texts: the first piece, further pieces with their space, and whole texts.
-        coded, opening = split.flatten().dictionary_encode(), split.flatten().take(pa.array(first)).dictionary_encode()
-        unit = self._numbers(coded.dictionary, b" ")[coded.indices.to_numpy(zero_copy_only=False)]
-        unit[first] = self._numbers(opening.dictionary, b"")[opening.indices.to_numpy(zero_copy_only=False)]
-        self.hits += np.bincount(unit, minlength=len(self.hits))
+        # Units of all texts: distinct words after a space or line feed, distinct first words, and whole texts.
+        flat = split.flatten()
+        coded, opening = flat.dictionary_encode(), flat.take(pa.array(first)).dictionary_encode()
+        (head, tail), (opened, closed) = _cut(coded.dictionary), _cut(opening.dictionary)
+        spaced, other = self._numbers(head, True), self._numbers(pa.concat_arrays([tail, closed, opened]), False)
+        n = len(head) + len(opened)
+        pair = np.stack([np.append(spaced, other[n:]), other[:n]], axis=1)
+        unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        unit[first] = len(head) + opening.indices.to_numpy(zero_copy_only=False)
+        np.add.at(self.hits, pair, np.bincount(unit, minlength=len(pair))[:, None])
+        each = self.size[pair]
+        # First the ids of the units, one after the other, then a range of them for each place of a unit.
         ids, size = self._encode(texts.filter(pa.array(~plain)).cast(pa.binary()).to_pylist())
-        start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        size = np.concatenate([self.size, size])
+        own = np.concatenate([_ranges(self.ids, self.start[pair].ravel(), each.ravel()), ids])
+        size = np.concatenate([each.sum(axis=1), size])
         count = np.ones(len(texts), np.int64)
         count[plain] = many
         begin = np.cumsum(count) - count
-        all_units = np.empty(int(count.sum()), np.int64)
-        all_units[begin[~plain]] = len(self.size) + np.arange(int((~plain).sum()))
-        all_units[_ranges(np.arange(len(all_units)), begin[plain], many)] = unit
-        size = size[all_units]
-        out = _ranges(np.concatenate([self.ids, ids]), start[all_units], size)
+        if not plain.all():
+            among, unit = unit, np.empty(int(count.sum()), np.int64)
+            unit[begin[~plain]] = len(pair) + np.arange(int((~plain).sum()))
+            unit[_ranges(np.arange(len(unit)), begin[plain], many)] = among
+        start, size = (np.cumsum(size) - size)[unit], size[unit]
+        out = _ranges(own, start, size)
         counts = np.add.reduceat(size, begin) if len(begin) else count
         if close is not None:
-            ends = np.cumsum(counts)
-            out = np.insert(out, ends, close)
+            out = np.insert(out, np.cumsum(counts), close)
             counts = counts + 1
         return out, counts

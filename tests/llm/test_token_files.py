@@ -1,5 +1,6 @@
 """Token files: blocks and files are exact round trips, and the query equals the library."""
 
+import itertools
 import random
 import zlib
 
@@ -81,6 +82,36 @@ def test_pieces_equal_the_library(monkeypatch):
             assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
+def test_a_word_is_encoded_once_whatever_marks_or_lines_surround_it():
+    pieces, sent = wordcache.PieceIds(PATH), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return TOKENIZER.encode_batch_fast(texts, **options)
+
+    pieces.tok = Spy()
+    words = ["".join(c) for c in itertools.product("abé", "xyz", "qüw", "rst")]
+    text = "".join(f" {w}{m}" for m in ["", ",", ".", "!?", "###", ".***", '")'] for w in words)[1:]
+    lines = "".join(f" {v}.\n{w}," for v, w in itertools.pairwise(words))[1:]
+    for texts in ([text, lines], [lines], [text]):
+        ids, sizes = pieces.of(texts)
+        assert ids.tolist() == sum(map(whole, texts), []) and sizes.tolist() == [len(whole(t)) for t in texts]
+    # Once after a space, once after a line feed, and the two texts' first words; not once for each mark and neighbour.
+    assert sum(c.isalpha() for t in sent for c in t) <= 4 * (2 * len(words) + 4)
+
+
+def test_marks_that_do_not_close_a_word():
+    # Apostrophes, marks alone, digits, letters beyond the Latin blocks and combining ones, at a text's or line's start too.
+    words = ["it's", "it'", "dogs'.", "'s", "...", ".", "a.b", "a.b.", "1,", "a1,", "Привет,", "日本.", "e\u0301.", "ǅ!", "ª;", "µ:", "ɐ,", "_x_", "x_", "@", "<|endoftext|", "a\tb,", "\x1ca.", "ß\x85,"]
+    texts = [*words, *(f"{v} {w}" for v in words for w in words), *(f"{v}\n{w}" for v in words for w in words), "\n", "a\n", "\na", "a\n\nb", "a \nb", "a\r\nb"]
+    pieces = wordcache.PieceIds(PATH)
+    for _ in range(2):  # learned, then looked up
+        ids, sizes = pieces.of(texts, 2)
+        want = [[*whole(t), 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def expected(rows, close=2):
     """Documents in key order, nulls first; equal keys keep their order."""
     out, start = [], 0
